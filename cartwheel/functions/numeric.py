@@ -26,7 +26,8 @@ def exact_avg(c: Column | str) -> Column:
 def round_half_up(c: Column, places: int = 6) -> Column:
     """Round the scaled double half away from zero (the oracle uses the same formula)."""
     scale = float(10 ** places)
-    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
+    # "+ 0.0" turns a negative zero into 0.0 so equal values also print equal
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def safe_ratio(num: Column, den: Column, floor: float = 1) -> Column:

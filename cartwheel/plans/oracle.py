@@ -116,7 +116,7 @@ def with_base(body: str, extra: dict[str, str] | None = None) -> str:
 
 def r6(expr: str) -> str:
     """Same rounding as ``round_half_up`` on the Spark side."""
-    return f"(round(CAST({expr} AS DOUBLE) * 1e6) / 1e6)"
+    return f"(round(CAST({expr} AS DOUBLE) * 1e6) / 1e6 + 0.0)"
 
 
 def xsum(expr: str) -> str:
@@ -136,5 +136,5 @@ def oracle(name: str, body: str, **extra: str) -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    from cartwheel.plans import o_clean, o_features, o_profile, o_sampling  # noqa: F401
+    from cartwheel.plans import o_clean, o_features, o_profile, o_retrieval, o_sampling  # noqa: F401
     return dict(ORACLE)
