@@ -142,3 +142,20 @@ oracle("factorized_topk", f"""
 SELECT {", ".join(r6(f"avg(CASE WHEN r.rank <= {k} THEN 1.0 ELSE 0.0 END)") + f" AS top_{k}" for k in (1, 5, 10, 50, 100))},
        count(*) AS n_pairs
 FROM test t LEFT JOIN top r ON t.user_id = r.user_id AND t.item_id = r.item_id""", **FT)
+
+oracle("inbatch_softmax_loss", f"""
+SELECT batch_id, count(*) AS n_pairs, {r6("sum(m + ln(se) - diag)")} AS loss FROM (
+  SELECT a.batch_id, a.user_id, a.item_id, max(a.m) AS m, sum(exp(a.s - a.m)) AS se, max(a.diag) AS diag FROM (
+    SELECT p.batch_id, p.user_id, p.item_id, list_inner_product(p.uv, q.iv) AS s,
+           max(list_inner_product(p.uv, q.iv)) OVER (PARTITION BY p.batch_id, p.user_id, p.item_id) AS m,
+           max(CASE WHEN q.user_id = p.user_id AND q.item_id = p.item_id THEN list_inner_product(p.uv, q.iv) END)
+             OVER (PARTITION BY p.batch_id, p.user_id, p.item_id) AS diag
+    FROM pb p JOIN pb q ON p.batch_id = q.batch_id) a
+  GROUP BY a.batch_id, a.user_id, a.item_id) r
+GROUP BY batch_id""", **BASE, tp="""
+  SELECT customer_id AS user_id, article_id AS item_id FROM (SELECT DISTINCT customer_id, article_id FROM transactions) p
+  WHERE substr(md5('42:' || customer_id || ':' || article_id), 1, 8) < 'cccccccc'""", pb="""
+  SELECT t.user_id, t.item_id, u.v AS uv, i.v AS iv,
+         CAST(('0x' || substr(md5('42:' || t.user_id || ':' || t.item_id), 1, 15)) AS BIGINT)
+           % CAST(greatest(ceil((SELECT count(*) FROM tp) / 128.0), 1) AS BIGINT) AS batch_id
+  FROM tp t JOIN users u ON t.user_id = u.id JOIN items i ON t.item_id = i.id""")
