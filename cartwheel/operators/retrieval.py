@@ -75,27 +75,34 @@ def _local_topk(k: int):
         if q.empty or it.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype=object), "item_id": pd.Series([], dtype=object),
                                  "score": pd.Series([], dtype=float)})
-        imat = np.stack(it["ivec"].to_numpy()).astype(np.float64)
         iids = it["iid"].to_numpy().astype(object)
+        order = np.argsort(iids, kind="stable")          # id order: ties resolve to the smallest ids
+        iids = iids[order]
+        imat = np.stack(it["ivec"].to_numpy()[order]).astype(np.float64)
         qmat_all = np.stack(q["qvec"].to_numpy()).astype(np.float64)
         qids = q["qid"].to_numpy().astype(object)
         ni = imat.shape[0]
         kk = min(k, ni)
         step = max(1, _CHUNK_CELLS // max(ni, 1))
-        out = []
+        out_q, out_i, out_s = [], [], []
         for s in range(0, qmat_all.shape[0], step):
             sc = qmat_all[s:s + step] @ imat.T
             if kk < ni:
-                thr = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
-                r, c = np.nonzero(sc >= thr[:, None])       # ties at the boundary kept, cut below
+                thr = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1:kk]     # k-th largest score per row
+                gt = sc > thr
+                eq = sc == thr
+                need = kk - gt.sum(axis=1, keepdims=True)                # slots left for boundary ties
+                keep = gt | (eq & (np.cumsum(eq, axis=1) <= need))        # exactly kk per row
+                r, c = np.nonzero(keep)
             else:
-                r, c = np.nonzero(np.ones_like(sc, dtype=bool))
-            part = pd.DataFrame({"r": r, "item_id": iids[c], "score": sc[r, c]})
-            part = part.sort_values(["r", "score", "item_id"], ascending=[True, False, True], kind="mergesort")
-            part = part[part.groupby("r").cumcount() < kk]
-            part["query_id"] = qids[s + part["r"].to_numpy()]
-            out.append(part[["query_id", "item_id", "score"]])
-        return pd.concat(out, ignore_index=True)
+                r, c = np.divmod(np.arange(sc.shape[0] * ni), ni)
+            v = sc[r, c]
+            o = np.lexsort((c, -v, r))                                    # row, score desc, id asc
+            out_q.append(qids[s + r[o]])
+            out_i.append(iids[c[o]])
+            out_s.append(v[o])
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
+                             "score": np.concatenate(out_s)})
     return fn
 
 
@@ -116,9 +123,12 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     i0 = items.select(F.col("id").alias("iid"), F.col("cluster").alias("icl"), F.col("features").alias("ivec"))
     isz = i0.groupBy("icl").agg(F.count("*").alias("ni"))
     qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
-    meta = (isz.join(qsz, isz.icl == qsz.qcl)
-               .select(F.col("icl").alias("cl"), _blocks(F.col("ni"), item_block).alias("ib"),
-                       _blocks(F.col("nq"), query_block).alias("qb")))
+    # query blocks: at most ``query_block`` rows, and enough groups to occupy every core
+    par = queries.sparkSession.sparkContext.defaultParallelism
+    ib = _blocks(F.col("ni"), item_block)
+    qb = F.greatest(_blocks(F.col("nq"), query_block),
+                    F.least(F.ceil(F.lit(par) / ib), _blocks(F.col("nq"), 256)).cast("int"))
+    meta = isz.join(qsz, isz.icl == qsz.qcl).select(F.col("icl").alias("cl"), ib.alias("ib"), qb.alias("qb"))
     # one row per cluster: bounded by nlist, so both sides may broadcast it
     mi = F.broadcast(meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb")))
     mq = F.broadcast(meta.select(F.col("cl").alias("qcl"), F.col("ib").alias("q_ib"), F.col("qb").alias("q_qb")))
