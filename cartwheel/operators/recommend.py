@@ -87,15 +87,21 @@ def request_guard(requests: DataFrame, known_users: DataFrame) -> DataFrame:
 def cache_lookup(requests: DataFrame, computed: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Serve a request from the latest result computed at or before it, if still fresh.
 
-    An as-of join without a range join: requests and cache entries are unioned,
-    ordered by time inside each user, and the last entry time is carried forward
-    with ``last(ignorenulls)``.  Requests without a fresh entry are recomputed.
+    An as-of join without a range join.  Only entries younger than the TTL can
+    serve, so time is cut into TTL-long buckets and every entry is also copied
+    into the next bucket; requests and entries are then ordered inside
+    (user, bucket) and the last entry time is carried forward with
+    ``last(ignorenulls)``.  No partition is larger than two TTL windows of one
+    user, however many rows that user has overall.
     requests: ``(request_id, user_id, ts)``; computed: ``(user_id, computed_at)``.
     """
-    r = requests.select("request_id", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("_c"), F.lit(1).alias("_o"))
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / F.lit(ttl_seconds))
+    r = requests.select("request_id", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("_c"),
+                        F.lit(1).alias("_o"), bucket("ts").alias("_b"))
     c = computed.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "user_id",
-                        F.col("computed_at").alias("ts"), F.col("computed_at").alias("_c"), F.lit(0).alias("_o"))
-    w = (Window.partitionBy("user_id").orderBy("ts", "_o")
+                        F.col("computed_at").alias("ts"), F.col("computed_at").alias("_c"), F.lit(0).alias("_o"),
+                        F.explode(F.array(bucket("computed_at"), bucket("computed_at") + 1)).alias("_b"))
+    w = (Window.partitionBy("user_id", "_b").orderBy("ts", "_o")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = r.unionByName(c).withColumn("cached_at", F.last("_c", ignorenulls=True).over(w)).where(F.col("_o") == 1)
     fresh = F.col("cached_at").isNotNull() & (F.col("ts") < F.col("cached_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))

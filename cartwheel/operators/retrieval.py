@@ -124,7 +124,10 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     isz = i0.groupBy("icl").agg(F.count("*").alias("ni"))
     qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
     # query blocks: at most ``query_block`` rows, and enough groups to occupy every core
-    par = queries.sparkSession.sparkContext.defaultParallelism
+    try:
+        par = queries.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # sessions without a local SparkContext handle
+        par = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ib = _blocks(F.col("ni"), item_block)
     qb = F.greatest(_blocks(F.col("nq"), query_block),
                     F.least(F.ceil(F.lit(par) / ib), _blocks(F.col("nq"), 256)).cast("int"))

@@ -90,16 +90,25 @@ def negatives(tx: DataFrame, ratio: int = 1, oversample: int = 3, seed: int = SE
     offsets are a running sum over a user's few blocks, and ranks are taken
     inside a block only.  May return fewer than asked (SURVEY H12).
     """
-    pos = tx.select("customer_id", "article_id").distinct()
-    items = index_ids(tx, "article_id")
+    from cartwheel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tx.sparkSession)
+    # the positives feed four branches (item index, counts, draws, anti join):
+    # materialise them once in the shared checkpoint folder instead of recomputing
+    pos = tx.select("customer_id", "article_id").distinct().checkpoint(eager=True)
+    items = index_ids(pos, "article_id")
     n_items = items.select(F.count("*")).scalar()
     npos = pos.groupBy("customer_id").agg(F.count("*").alias("n_pos"))
-    draws = (npos.withColumn("n_neg", F.col("n_pos") * ratio)
-                 .withColumn("m", F.least(F.col("n_neg") * oversample, n_items))
-                 .where(F.col("m") > 0)
-                 .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-                 .withColumn("idx", F.pmod(F.conv(F.substring(seeded_key(seed, "customer_id", "j"), 1, 15), 16, 10)
-                                          .cast("long"), n_items)))
+    # draws are generated chunk by chunk: a user with a huge history is spread over
+    # many tasks instead of exploding into one
+    chunks = (npos.withColumn("n_neg", F.col("n_pos") * ratio)
+                  .withColumn("m", F.least(F.col("n_neg") * oversample, n_items))
+                  .where(F.col("m") > 0)
+                  .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))))
+                  .repartition("customer_id", "blk"))
+    draws = (chunks.withColumn("j", F.explode(F.sequence(F.col("blk") * block,
+                                                         F.least(F.col("m"), (F.col("blk") + 1) * block) - 1)))
+                   .withColumn("idx", F.pmod(F.conv(F.substring(seeded_key(seed, "customer_id", "j"), 1, 15), 16, 10)
+                                            .cast("long"), n_items)))
     cand = (draws.join(items, "idx")
                  .groupBy("customer_id", "article_id").agg(F.min("j").alias("j"), F.max("n_neg").alias("n_neg"))
                  .join(pos, ["customer_id", "article_id"], "left_anti")
