@@ -31,3 +31,11 @@ def truncate_label(c: Column, n: int, suffix: str = "") -> Column:
     if not suffix:
         return F.substring(c, 1, n)
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(suffix))).otherwise(c)
+
+
+def safe_str(c: Column, floating: bool = False) -> Column:
+    """Text form of a value; NULL (and NaN for floating columns) stays NULL."""
+    out = c.cast("string")
+    if floating:
+        return F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string")).otherwise(out)
+    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions.numeric import round_half_up
+from cartwheel.functions.text import safe_str
 
 # Fixed values of the studied output formats.
 READABLE_COLUMNS = ["user_id", "rank", "product_id", "product_type_name", "colour_group_name",
@@ -56,6 +57,24 @@ def display_recommendations(recs: DataFrame, articles: DataFrame) -> DataFrame:
     return j.select(*sel).select(*DISPLAY_ORDER)
 
 
+# Fixed value: key layout of a stored recommendation list.
+CACHE_KEY_FORMAT = "recommendations:%s:top%d"
+
+PAYLOAD_SCHEMA = ("struct<user_id:string,total_recommendations:int,recommendations:array<struct<rank:int,"
+                  "product_id:string,product_type:string,color:string,garment_group:string,product_group:string,"
+                  "score:double>>>")
+
+
+def cache_key(user: Column, k: Column) -> Column:
+    """``recommendations:{user}:top{k}``."""
+    return F.format_string(CACHE_KEY_FORMAT, user, k)
+
+
+def parse_payload(json_col: Column) -> Column:
+    """The stored JSON text back into the nested record."""
+    return F.from_json(json_col, PAYLOAD_SCHEMA)
+
+
 def payload(recs: DataFrame, articles: DataFrame) -> DataFrame:
     """One nested record per user (list bounded by k) and its JSON text.
 
@@ -63,12 +82,14 @@ def payload(recs: DataFrame, articles: DataFrame) -> DataFrame:
     """
     j = _with_metadata(recs, articles)
     item = F.struct(F.col("rank"), F.col("item_id").alias("product_id"),
-                    F.col("product_type_name").alias("product_type"), F.col("colour_group_name").alias("color"),
-                    F.col("garment_group_name").alias("garment_group"),
-                    F.col("product_group_name").alias("product_group"),
+                    safe_str(F.col("product_type_name")).alias("product_type"),
+                    safe_str(F.col("colour_group_name")).alias("color"),
+                    safe_str(F.col("garment_group_name")).alias("garment_group"),
+                    safe_str(F.col("product_group_name")).alias("product_group"),
                     round_half_up(F.col("score")).alias("score"))
     g = j.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
     g = g.withColumn("total_recommendations", F.size("recommendations"))
+    g = g.withColumn("cache_key", cache_key(F.col("user_id"), F.col("total_recommendations")))
     return g.withColumn("json", F.to_json(F.struct("user_id", "total_recommendations", "recommendations")))
 
 

@@ -159,3 +159,8 @@ GROUP BY batch_id""", **BASE, tp="""
          CAST(('0x' || substr(md5('42:' || t.user_id || ':' || t.item_id), 1, 15)) AS BIGINT)
            % CAST(greatest(ceil((SELECT count(*) FROM tp) / 128.0), 1) AS BIGINT) AS batch_id
   FROM tp t JOIN users u ON t.user_id = u.id JOIN items i ON t.item_id = i.id""")
+
+oracle("rec_cache_keys", """
+SELECT user_id, 'recommendations:' || user_id || ':top' || CAST(count(*) AS VARCHAR) AS cache_key,
+       CAST(count(*) AS INTEGER) AS total_recommendations
+FROM recs GROUP BY user_id""", **BASE, recs=BATCH)

@@ -134,6 +134,12 @@ def q_rec_payload(spark, d):
     return rc.payload(_batch_recs(spark, d), tb.articles(spark, d)).select("user_id", "total_recommendations", "json")
 
 
+@query("rec_cache_keys")
+def q_rec_cache_keys(spark, d):
+    """The stored key and list length of every customer's payload."""
+    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d)).select("user_id", "cache_key", "total_recommendations")
+
+
 @query("request_guard")
 def q_request_guard(spark, d):
     """view/click events as requests, k = the event value; known = customer table."""

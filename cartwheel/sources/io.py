@@ -18,7 +18,11 @@ DEFAULT_MODEL_CONFIG = {"embedding_dim": 32, "user_id_col": "customer_id", "item
 
 
 def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """Header CSV read as text (no inference), then each present column cast to its
+    declared type; absent columns stay absent (they are optional downstream)."""
+    raw = spark.read.option("header", True).csv(path)
+    types = {f.name: f.dataType for f in schema.fields}
+    return raw.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns])
 
 
 def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
