@@ -90,7 +90,8 @@ def payload(recs: DataFrame, articles: DataFrame) -> DataFrame:
     g = j.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
     g = g.withColumn("total_recommendations", F.size("recommendations"))
     g = g.withColumn("cache_key", cache_key(F.col("user_id"), F.col("total_recommendations")))
-    return g.withColumn("json", F.to_json(F.struct("user_id", "total_recommendations", "recommendations")))
+    return g.withColumn("json", F.to_json(F.struct("user_id", "total_recommendations", "recommendations"),
+                                          {"ignoreNullFields": "false"}))
 
 
 def request_guard(requests: DataFrame, known_users: DataFrame) -> DataFrame:
