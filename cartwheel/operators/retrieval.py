@@ -129,8 +129,10 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     except Exception:  # sessions without a local SparkContext handle
         par = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ib = _blocks(F.col("ni"), item_block)
+    # the boost only matters for small inputs; it is capped so that the item side
+    # (copied once per query block) is never replicated more than 256 / ib times
     qb = F.greatest(_blocks(F.col("nq"), query_block),
-                    F.least(F.ceil(F.lit(par) / ib), _blocks(F.col("nq"), 256)).cast("int"))
+                    F.least(F.ceil(F.lit(min(par, 256)) / ib), _blocks(F.col("nq"), 256)).cast("int"))
     meta = isz.join(qsz, isz.icl == qsz.qcl).select(F.col("icl").alias("cl"), ib.alias("ib"), qb.alias("qb"))
     # one row per cluster: bounded by nlist, so both sides may broadcast it
     mi = F.broadcast(meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb")))

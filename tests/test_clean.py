@@ -68,3 +68,15 @@ def test_clean_is_idempotent(spark):
     once = clean.clean_transactions(spark.createDataFrame(rows, TX))
     twice = clean.clean_transactions(once)
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_bounded_median_matches_exact(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = [float(v) for v in np.round(rng.lognormal(3, 1, 5001), 2)] + [7.0] * 300 + [None] * 10
+    df = spark.createDataFrame([(v,) for v in vals], "p double")
+    exact = df.select(F.median("p")).first()[0]
+    assert clean.bounded_median(df, "p", buckets=16, max_collect=50) == exact
+    even = df.where(F.col("p") != 7.0).limit(4000)
+    assert clean.bounded_median(even, "p", buckets=8, max_collect=10) == even.select(F.median("p")).first()[0]
+    assert clean.bounded_median(spark.createDataFrame([(1.0,)] * 500, "p double"), "p", max_collect=5) == 1.0
