@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +119,9 @@ def cache_lookup(requests: DataFrame, computed: DataFrame, ttl_seconds: int = CA
     user, however many rows that user has overall.
     requests: ``(request_id, user_id, ts)``; computed: ``(user_id, computed_at)``.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / F.lit(ttl_seconds))
+    epoch = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    # seconds are counted on the wall-clock value itself: no session time zone, no DST jumps
+    bucket = lambda c: F.floor(F.timestamp_diff("SECOND", epoch, F.col(c).cast("timestamp_ntz")) / F.lit(ttl_seconds))
     r = requests.select("request_id", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("_c"),
                         F.lit(1).alias("_o"), bucket("ts").alias("_b"))
     c = computed.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "user_id",
