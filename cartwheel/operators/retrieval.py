@@ -111,38 +111,51 @@ def _blocks(n: Column, rows: int) -> Column:
 
 
 def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
-                item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+                item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK,
+                single_cluster: bool = False) -> DataFrame:
     """Exact top-k of ``items`` for every query within the clusters it probes.
 
     queries: ``(id, cluster, features)`` one row per probed cluster;
     items:   ``(id, cluster, features)`` one row per item.
     Returns ``(query_id, item_id, score, rank)``.  The two sides get distinct
-    column names so that a table can be searched against itself.
+    column names so that a table can be searched against itself.  With a single
+    cluster (exact search) the block counts are scalar subqueries; otherwise they
+    come from a per-cluster table (one row per cluster, broadcast).
     """
     q0 = queries.select(F.col("id").alias("qid"), F.col("cluster").alias("qcl"), F.col("features").alias("qvec"))
     i0 = items.select(F.col("id").alias("iid"), F.col("cluster").alias("icl"), F.col("features").alias("ivec"))
-    isz = i0.groupBy("icl").agg(F.count("*").alias("ni"))
-    qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
-    # query blocks: at most ``query_block`` rows, and enough groups to occupy every core
     try:
         par = queries.sparkSession.sparkContext.defaultParallelism
     except Exception:  # sessions without a local SparkContext handle
         par = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ib = _blocks(F.col("ni"), item_block)
-    # the boost only matters for small inputs; it is capped so that the item side
-    # (copied once per query block) is never replicated more than 256 / ib times
-    qb = F.greatest(_blocks(F.col("nq"), query_block),
-                    F.least(F.ceil(F.lit(min(par, 256)) / ib), _blocks(F.col("nq"), 256)).cast("int"))
-    meta = isz.join(qsz, isz.icl == qsz.qcl).select(F.col("icl").alias("cl"), ib.alias("ib"), qb.alias("qb"))
-    # one row per cluster: bounded by nlist, so both sides may broadcast it
-    mi = F.broadcast(meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb")))
-    mq = F.broadcast(meta.select(F.col("cl").alias("qcl"), F.col("ib").alias("q_ib"), F.col("qb").alias("q_qb")))
-    it = (i0.join(mi, "icl")
-            .select(F.col("icl").alias("cluster"), F.pmod(F.xxhash64("iid"), F.col("i_ib")).cast("int").alias("isub"),
-                    F.explode(F.sequence(F.lit(0), F.col("i_qb") - 1)).alias("qsub"), "iid", "ivec"))
-    qs = (q0.join(mq, "qcl")
-            .select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("q_ib") - 1)).alias("isub"),
-                    F.pmod(F.xxhash64("qid"), F.col("q_qb")).cast("int").alias("qsub"), "qid", "qvec"))
+
+    def block_counts(ni: Column, nq: Column):
+        ib = _blocks(ni, item_block)
+        # enough query blocks to occupy the cores on small inputs; capped so the item side
+        # (copied once per query block) is never replicated more than 256 / ib times
+        qb = F.greatest(_blocks(nq, query_block), F.least(F.ceil(F.lit(min(par, 256)) / ib), _blocks(nq, 256)).cast("int"))
+        return ib, qb
+
+    if single_cluster:
+        ib, qb = block_counts(i0.select(F.count("*")).scalar(), q0.select(F.count("*")).scalar())
+        it = i0.select(F.col("icl").alias("cluster"), F.pmod(F.xxhash64("iid"), ib).cast("int").alias("isub"),
+                       F.explode(F.sequence(F.lit(0), qb - 1)).alias("qsub"), "iid", "ivec")
+        qs = q0.select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), ib - 1)).alias("isub"),
+                       F.pmod(F.xxhash64("qid"), qb).cast("int").alias("qsub"), "qid", "qvec")
+    else:
+        isz = i0.groupBy("icl").agg(F.count("*").alias("ni"))
+        qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
+        ib, qb = block_counts(F.col("ni"), F.col("nq"))
+        meta = isz.join(qsz, isz.icl == qsz.qcl).select(F.col("icl").alias("cl"), ib.alias("ib"), qb.alias("qb"))
+        # one row per cluster: bounded by nlist, so both sides may broadcast it
+        mi = F.broadcast(meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb")))
+        mq = F.broadcast(meta.select(F.col("cl").alias("qcl"), F.col("ib").alias("q_ib"), F.col("qb").alias("q_qb")))
+        it = (i0.join(mi, "icl")
+                .select(F.col("icl").alias("cluster"), F.pmod(F.xxhash64("iid"), F.col("i_ib")).cast("int").alias("isub"),
+                        F.explode(F.sequence(F.lit(0), F.col("i_qb") - 1)).alias("qsub"), "iid", "ivec"))
+        qs = (q0.join(mq, "qcl")
+                .select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("q_ib") - 1)).alias("isub"),
+                        F.pmod(F.xxhash64("qid"), F.col("q_qb")).cast("int").alias("qsub"), "qid", "qvec"))
     keys = ["cluster", "isub", "qsub"]
     local = qs.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInPandas(_local_topk(k), PAIR_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
@@ -154,7 +167,7 @@ def topk_flat(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, **kw) ->
     k = k or DEFAULT_K
     q = queries.select("id", F.lit(0).alias("cluster"), "features")
     i = items.select("id", F.lit(0).alias("cluster"), "features")
-    return routed_topk(q, i, k, **kw)
+    return routed_topk(q, i, k, single_cluster=True, **kw)
 
 
 # ------------------------------------------------------------------ IVF
