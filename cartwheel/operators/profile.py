@@ -125,14 +125,20 @@ def dtype_report(df: DataFrame) -> DataFrame:
     return r.withColumn("flag", flag).drop("_intlike")
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles (interpolated), max per column, one pass."""
+def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """Count, mean, std, min, quartiles (interpolated), max per column, one pass.
+
+    Exact quartiles keep a value->count map per column in the final task (bounded by
+    the distinct values); ``approx=True`` uses ``percentile_approx`` sketches instead
+    for high-cardinality columns at scale.
+    """
     aggs = []
+    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
+        q = F.percentile_approx(x, qs, 100000) if approx else F.percentile(x, qs)
         aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_a{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                 F.min(x).alias(f"_lo{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}"),
-                 F.max(x).alias(f"_hi{i}")]
+                 F.min(x).alias(f"_lo{i}"), q.alias(f"_q{i}"), F.max(x).alias(f"_hi{i}")]
     row = df.agg(*aggs)
     exprs = []
     for i, c in enumerate(cols):
@@ -174,14 +180,15 @@ def weekly_volume(tx: DataFrame, col: str = "t_dat") -> DataFrame:
     return cal.join(counts, "week", "left").select("week", F.coalesce("purchase_count", F.lit(0)).alias("purchase_count"))
 
 
-def quality_report(tx: DataFrame) -> DataFrame:
-    """One-row summary of the cleaned transactions."""
+def quality_report(tx: DataFrame, approx_median: bool = False) -> DataFrame:
+    """One-row summary of the cleaned transactions (``approx_median`` for huge tables)."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in tx.columns), F.lit(0))
+    median = F.percentile_approx("price", 0.5, 100000).cast("double") if approx_median else F.median("price")
     return tx.agg(F.count("*").alias("n_rows"), F.count_distinct("customer_id").alias("n_customers"),
                   F.count_distinct("article_id").alias("n_articles"), F.min("t_dat").alias("first_date"),
                   F.max("t_dat").alias("last_date"), nulls.alias("null_cells"),
                   F.min("price").alias("price_min"), F.max("price").alias("price_max"),
-                  exact_avg("price").alias("price_mean"), F.median("price").alias("price_median"),
+                  exact_avg("price").alias("price_mean"), median.alias("price_median"),
                   F.count_if(F.col("sales_channel_id") == 1).alias("channel_1_rows"),
                   F.count_if(F.col("sales_channel_id") == 2).alias("channel_2_rows"))
 
