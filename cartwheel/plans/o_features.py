@@ -118,3 +118,6 @@ POS = f"""
 oracle("positive_pairs", f"""
 SELECT customer_id, article_id, t_dat, pair_purchase_count, label, days_since_purchase,
        {r6("recency_weight")} AS recency_weight FROM pos""", pos=POS)
+oracle("popularity_score", f"""
+SELECT article_id, total_purchases, {r6("total_purchases / (SELECT max(total_purchases) FROM pop)")} AS popularity_score
+FROM pop""", pop=POP)

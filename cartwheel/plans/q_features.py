@@ -97,3 +97,9 @@ def q_calendar_features(spark, d):
 @query("positive_pairs")
 def q_positive_pairs(spark, d):
     return inter.positive_pairs(tb.transactions(spark, d))
+
+
+@query("popularity_score")
+def q_popularity_score(spark, d):
+    """Purchases per article as a share of the best seller (scalar max, no global window)."""
+    return item.popularity_features(tb.transactions(spark, d)).select("article_id", "total_purchases", "popularity_score")
