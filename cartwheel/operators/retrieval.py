@@ -49,9 +49,10 @@ def l2_normalize(factors: DataFrame) -> DataFrame:
     return factors.withColumn("features", V.l2_normalize(F.col("features")))
 
 
-def vector_norms(factors: DataFrame) -> DataFrame:
-    return factors.select("id", V.l2_norm(F.col("features")).alias("norm"),
-                          F.size("features").alias("dim"))
+def vector_norms(factors: DataFrame, preview: int = 8) -> DataFrame:
+    """Norm, dimension and the first ``preview`` components of every vector."""
+    return factors.select("id", V.l2_norm(F.col("features")).alias("norm"), F.size("features").alias("dim"),
+                          F.slice("features", 1, preview).alias("head"))
 
 
 def lookup_embedding(ids: DataFrame, id_col: str, factors: DataFrame, dim: int | Column | None = None) -> DataFrame:

@@ -56,6 +56,22 @@ def train_test_split(df: DataFrame, key_cols: list[str], train_fraction: float =
                                    .otherwise("test"))
 
 
+def train_test_split_exact(df: DataFrame, key_cols: list[str], train_fraction: float = 0.8,
+                           seed: int = SEED) -> DataFrame:
+    """R2 exact form: the first ``int(n * fraction)`` rows in seeded hash order are 'train'.
+
+    The hash order position comes from :func:`index_ids` over the md5 keys (range
+    partitions + offsets), never from a single-partition window.
+    """
+    keyed = df.withColumn("_h", seeded_key(seed, *key_cols))
+    n = keyed.select(F.count("*")).scalar()
+    pos = index_ids(keyed, "_h")
+    cut = F.floor(n * F.lit(train_fraction))
+    return (keyed.join(pos, "_h")
+                 .withColumn("split", F.when(F.col("idx") < cut, "train").otherwise("test"))
+                 .drop("_h", "idx"))
+
+
 def temporal_split(df: DataFrame, cut, col: str = "t_dat") -> DataFrame:
     """Rows strictly before ``cut`` are training rows."""
     return df.withColumn("split", F.when(F.col(col) < F.lit(cut).cast("date"), "train").otherwise("test"))

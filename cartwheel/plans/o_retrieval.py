@@ -34,7 +34,8 @@ oracle("l2_normalize", f"""
 SELECT id, list_transform(v, lambda x: {r6("CAST(CAST(x / (CASE WHEN n = 0 THEN 1.0 ELSE n END) AS FLOAT) AS DOUBLE)")}) AS features
 FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM f) q""", **BASE)
 oracle("vector_norms", f"""
-SELECT id, {r6("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm, CAST(len(v) AS INTEGER) AS dim FROM f""", **BASE)
+SELECT id, {r6("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm, CAST(len(v) AS INTEGER) AS dim,
+       {vec6("v[1:8]")} AS head FROM f""", **BASE)
 oracle("lookup_embedding", f"SELECT id AS customer_id, {vec6('v')} AS features FROM users", **BASE)
 oracle("topk_flat", recs_out(topk("SELECT id, v FROM f", "SELECT id, v FROM f", 10)), **BASE)
 oracle("user_similarity", recs_out(topk("SELECT id, v FROM fn", "SELECT id, v FROM fn", 10)), **BASE, fn="""

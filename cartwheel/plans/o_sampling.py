@@ -10,6 +10,11 @@ oracle("train_test_split", """
 SELECT customer_id, article_id,
        CASE WHEN substr(md5('42:' || customer_id || ':' || article_id), 1, 8) < 'cccccccc' THEN 'train' ELSE 'test' END AS split
 FROM (SELECT DISTINCT customer_id, article_id FROM transactions) p""")
+oracle("train_test_split_exact", """
+SELECT customer_id, article_id,
+       CASE WHEN row_number() OVER (ORDER BY md5('42:' || customer_id || ':' || article_id)) - 1
+                 < floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT DISTINCT customer_id, article_id FROM transactions) p""")
 oracle("temporal_split", """
 SELECT customer_id, article_id, t_dat, CASE WHEN t_dat < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split
 FROM transactions""")

@@ -46,7 +46,8 @@ def q_l2_normalize(spark, d):
 
 @query("vector_norms")
 def q_vector_norms(spark, d):
-    return rt.vector_norms(_factors(spark, d))
+    v = rt.vector_norms(_factors(spark, d))
+    return v.withColumn("head", _rounded(F.col("head")))
 
 
 @query("lookup_embedding")

@@ -23,6 +23,13 @@ def q_train_test_split(spark, d):
     return sp.train_test_split(pairs, ["customer_id", "article_id"], 0.8)
 
 
+@query("train_test_split_exact")
+def q_train_test_split_exact(spark, d):
+    """R2: exactly the first 80% of distinct pairs in seeded hash order are training pairs."""
+    pairs = tb.transactions(spark, d).select("customer_id", "article_id").distinct()
+    return sp.train_test_split_exact(pairs, ["customer_id", "article_id"], 0.8)
+
+
 @query("temporal_split")
 def q_temporal_split(spark, d):
     tx = tb.transactions(spark, d).select("customer_id", "article_id", "t_dat")

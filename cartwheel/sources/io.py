@@ -25,9 +25,15 @@ def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return raw.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns])
 
 
-def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """Declared types, ids as text; ``t_dat`` parsed to a date."""
+def read_raw_transactions(spark: SparkSession, path: str, lenient_dates: bool = False) -> DataFrame:
+    """Declared types, ids as text; ``t_dat`` parsed to a date.
+
+    A malformed date fails the job (ANSI, like the studied loader); ``lenient_dates``
+    turns it into NULL instead, so the NULL-key rule drops the row.
+    """
     df = _csv(spark, path, schemas.RAW_TRANSACTIONS)
+    if lenient_dates:
+        return df.withColumn("t_dat", F.try_to_timestamp(F.col("t_dat"), F.lit("yyyy-MM-dd")).cast("date"))
     return df.withColumn("t_dat", F.to_date("t_dat"))
 
 

@@ -85,3 +85,11 @@ def test_request_guard_and_cache(spark):
     comp = spark.createDataFrame([("u", t(9, 45)), ("u", t(10, 31))], "user_id string, computed_at timestamp_ntz")
     out = {r.request_id: r.source for r in rc.cache_lookup(reqs, comp).collect()}
     assert out == {1: "cache", 2: "compute", 3: "compute"}
+
+
+def test_lenient_dates(spark):
+    d = _tmp()
+    with open(f"{d}/tx.csv", "w") as f:
+        f.write("t_dat,customer_id,article_id,price,sales_channel_id\n2020-09-01,c,a,1.0,1\nnot-a-date,c,b,1.0,1\n")
+    rows = io.read_raw_transactions(spark, f"{d}/tx.csv", lenient_dates=True).orderBy("article_id").collect()
+    assert str(rows[0].t_dat) == "2020-09-01" and rows[1].t_dat is None
