@@ -82,14 +82,16 @@ def _local_topk(k: int):
         imat = np.stack(it["ivec"].to_numpy()[order]).astype(np.float64)
         qmat_all = np.stack(q["qvec"].to_numpy()).astype(np.float64)
         qids = q["qid"].to_numpy().astype(object)
+        qks = q["qk"].to_numpy().astype(np.int64) if "qk" in q.columns else np.full(len(q), k, np.int64)
         ni = imat.shape[0]
-        kk = min(k, ni)
         step = max(1, _CHUNK_CELLS // max(ni, 1))
         out_q, out_i, out_s = [], [], []
         for s in range(0, qmat_all.shape[0], step):
             sc = qmat_all[s:s + step] @ imat.T
+            kq = np.minimum(qks[s:s + step], ni)                # per-query k (k + excluded count)
+            kk = int(kq.max())
             if kk < ni:
-                thr = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1:kk]     # k-th largest score per row
+                thr = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1:kk]     # kk-th largest score per row
                 gt = sc > thr
                 eq = sc == thr
                 need = kk - gt.sum(axis=1, keepdims=True)                # slots left for boundary ties
@@ -99,9 +101,13 @@ def _local_topk(k: int):
                 r, c = np.divmod(np.arange(sc.shape[0] * ni), ni)
             v = sc[r, c]
             o = np.lexsort((c, -v, r))                                    # row, score desc, id asc
-            out_q.append(qids[s + r[o]])
-            out_i.append(iids[c[o]])
-            out_s.append(v[o])
+            r, c, v = r[o], c[o], v[o]
+            pos = np.arange(len(r)) - np.repeat(np.arange(sc.shape[0]) * kk, kk)[:len(r)] if kk < ni \
+                else np.arange(len(r)) % ni
+            sel = pos < kq[r]                                             # each row's own prefix
+            out_q.append(qids[s + r[sel]])
+            out_i.append(iids[c[sel]])
+            out_s.append(v[sel])
         return pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
                              "score": np.concatenate(out_s)})
     return fn
@@ -113,7 +119,7 @@ def _blocks(n: Column, rows: int) -> Column:
 
 def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
                 item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK,
-                single_cluster: bool = False) -> DataFrame:
+                single_cluster: bool = False, exclude: DataFrame | None = None) -> DataFrame:
     """Exact top-k of ``items`` for every query within the clusters it probes.
 
     queries: ``(id, cluster, features)`` one row per probed cluster;
@@ -124,6 +130,13 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     come from a per-cluster table (one row per cluster, broadcast).
     """
     q0 = queries.select(F.col("id").alias("qid"), F.col("cluster").alias("qcl"), F.col("features").alias("qvec"))
+    if exclude is not None:
+        # exact exclusion without a cap: a query that must skip s items asks for k + s
+        seen = exclude.groupBy(F.col("query_id").alias("qid")).agg(F.count("*").alias("_s"))
+        q0 = (q0.join(seen, "qid", "left")
+                .withColumn("qk", (F.lit(k) + F.coalesce(F.col("_s"), F.lit(0))).cast("long")).drop("_s"))
+    else:
+        q0 = q0.withColumn("qk", F.lit(k).cast("long"))
     i0 = items.select(F.col("id").alias("iid"), F.col("cluster").alias("icl"), F.col("features").alias("ivec"))
     try:
         par = queries.sparkSession.sparkContext.defaultParallelism
@@ -142,7 +155,7 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
         it = i0.select(F.col("icl").alias("cluster"), F.pmod(F.xxhash64("iid"), ib).cast("int").alias("isub"),
                        F.explode(F.sequence(F.lit(0), qb - 1)).alias("qsub"), "iid", "ivec")
         qs = q0.select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), ib - 1)).alias("isub"),
-                       F.pmod(F.xxhash64("qid"), qb).cast("int").alias("qsub"), "qid", "qvec")
+                       F.pmod(F.xxhash64("qid"), qb).cast("int").alias("qsub"), "qid", "qvec", "qk")
     else:
         isz = i0.groupBy("icl").agg(F.count("*").alias("ni"))
         qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
@@ -156,15 +169,21 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
                         F.explode(F.sequence(F.lit(0), F.col("i_qb") - 1)).alias("qsub"), "iid", "ivec"))
         qs = (q0.join(mq, "qcl")
                 .select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("q_ib") - 1)).alias("isub"),
-                        F.pmod(F.xxhash64("qid"), F.col("q_qb")).cast("int").alias("qsub"), "qid", "qvec"))
+                        F.pmod(F.xxhash64("qid"), F.col("q_qb")).cast("int").alias("qsub"), "qid", "qvec", "qk"))
     keys = ["cluster", "isub", "qsub"]
     local = qs.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInPandas(_local_topk(k), PAIR_SCHEMA)
+    if exclude is not None:
+        local = local.join(exclude.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def topk_flat(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, **kw) -> DataFrame:
-    """Exact (brute-force) inner-product top-k; ``k`` None/0 -> default."""
+    """Exact (brute-force) inner-product top-k; ``k`` None/0 -> default.
+
+    ``exclude=(query_id, item_id)`` pairs (e.g. already bought items) are never
+    returned and do not use up any of the k slots.
+    """
     k = k or DEFAULT_K
     q = queries.select("id", F.lit(0).alias("cluster"), "features")
     i = items.select("id", F.lit(0).alias("cluster"), "features")

@@ -165,3 +165,24 @@ oracle("rec_cache_keys", """
 SELECT user_id, 'recommendations:' || user_id || ':top' || CAST(count(*) AS VARCHAR) AS cache_key,
        CAST(count(*) AS INTEGER) AS total_recommendations
 FROM recs GROUP BY user_id""", **BASE, recs=BATCH)
+
+HO = dict(BASE)
+HO.update({
+    "eusers": "SELECT customer_id FROM transactions GROUP BY customer_id HAVING count(DISTINCT article_id) >= 2",
+    "pairs": """
+  SELECT customer_id AS user_id, article_id AS item_id,
+         substr(md5('42:' || customer_id || ':' || article_id), 1, 8) < 'cccccccc' AS is_train
+  FROM (SELECT DISTINCT customer_id, article_id FROM transactions) p""",
+    "rel": "SELECT user_id, item_id FROM pairs WHERE NOT is_train AND user_id IN (SELECT customer_id FROM eusers)",
+    "recs": """
+  SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT q.id AS user_id, i.id AS item_id,
+           row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, i.v) DESC, i.id) AS rank
+    FROM (SELECT * FROM users WHERE id IN (SELECT customer_id FROM eusers)) q CROSS JOIN items i
+    WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.is_train AND p.user_id = q.id AND p.item_id = i.id)) s
+  WHERE rank <= 10""",
+})
+HO["pu"] = EVAL["pu"]
+oracle("evaluate_heldout", f"""
+SELECT {r6("coalesce(avg(precision), 0.0)")} AS precision, {r6("coalesce(avg(recall), 0.0)")} AS recall,
+       {r6("coalesce(avg(ndcg), 0.0)")} AS ndcg, count(*) AS users_evaluated FROM pu""", **HO)

@@ -226,3 +226,20 @@ def q_factorized_topk(spark, d):
     u, items = _towers(spark, d)
     u = u.join(test.select(F.col("user_id").alias("id")), "id", "left_semi")
     return rt.factorized_topk(test, rt.topk_flat(u, items, 100))
+
+
+@query("evaluate_heldout")
+def q_evaluate_heldout(spark, d):
+    """E6 split-aware: training purchases are excluded from the
+    recommendations and only held-out (test) pairs count as relevant."""
+    tx = tb.transactions(spark, d)
+    users = sp.eligible_users(tx, 2).select("customer_id")
+    pairs = sp.train_test_split(tx.select("customer_id", "article_id").distinct(), ["customer_id", "article_id"])
+    seen = pairs.where(F.col("split") == "train").select(F.col("customer_id").alias("query_id"),
+                                                         F.col("article_id").alias("item_id"))
+    test = pairs.where(F.col("split") == "test")
+    rel = ev.relevant_items(test, users)
+    u, items = _towers(spark, d)
+    u = u.join(users.withColumnRenamed("customer_id", "id"), "id", "left_semi")
+    recs = _as_recs(rt.topk_flat(u, items, 10, exclude=seen))
+    return ev.evaluate(recs, rel, 10, users)

@@ -70,3 +70,20 @@ def test_negatives_never_positives(spark):
     pos = {r.customer_id: r.n for r in tx.distinct().groupBy("customer_id").agg(F.count("*").alias("n")).collect()}
     assert all(counts.get(u, 0) <= pos[u] for u in pos)
     assert neg.select("customer_id", "article_id").distinct().count() == neg.count()
+
+
+def test_exclusion_is_exact(spark):
+    rng = np.random.default_rng(4)
+    its = [(f"i{j:03d}", [float(x) for x in rng.integers(-3, 4, 3)]) for j in range(50)]
+    qs = [(f"q{j}", [float(x) for x in rng.integers(-3, 4, 3)]) for j in range(12)]
+    full = brute(qs, its, 50)
+    # each query excludes a different number of its own best items (0 .. 11)
+    excl = [(q, full[q][m]) for n, (q, _) in enumerate(qs) for m in range(n)]
+    ex = spark.createDataFrame(excl, "query_id string, item_id string")
+    res = rt.topk_flat(spark.createDataFrame(qs, FAC), spark.createDataFrame(its, FAC), 5, exclude=ex,
+                       item_block=16, query_block=3)
+    got = {}
+    for r in res.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    want = {q: [i for i in full[q] if (q, i) not in set(excl)][:5] for q, _ in qs}
+    assert got == want
