@@ -2,12 +2,16 @@
 
 import math
 import os
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+from check_types import norm_duck, norm_spark  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"softmax_factors", "als_factors", "als_evaluate", "topk_ivf_kmeans"}
@@ -52,6 +56,9 @@ def test_oracle_matches(spark, duck, name):
     sdf = entry.queries()[name](spark, SF)
     cols = sorted(sdf.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
+    rel = duck.sql(entry.oracle_sql()[name])
+    types = {c: norm_duck(str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {c: norm_spark(t) for c, t in sdf.dtypes} == types            # same schema, not only names
     cur = duck.execute(entry.oracle_sql()[name])
     dcols = [x[0] for x in cur.description]
     assert sorted(dcols) == cols
