@@ -141,6 +141,14 @@ def negatives(tx: DataFrame, ratio: int = 1, oversample: int = 3, seed: int = SE
                         F.lit(None).cast("int").alias("days_since_purchase")))
 
 
-def training_pairs(positives: DataFrame, negs: DataFrame) -> DataFrame:
-    """Positives UNION ALL negatives, missing columns NULL."""
-    return positives.unionByName(negs, allowMissingColumns=True)
+def training_pairs(positives: DataFrame, negs: DataFrame, seed: int | None = SEED) -> DataFrame:
+    """Positives UNION ALL negatives, missing columns NULL.
+
+    The studied notebook shuffles the rows; here each row gets a seeded
+    ``shuffle_key`` (md5 of seed:user:item) to order by when an order is wanted -
+    no global shuffle is performed.
+    """
+    out = positives.unionByName(negs, allowMissingColumns=True)
+    if seed is not None:
+        out = out.withColumn("shuffle_key", seeded_key(seed, "customer_id", "article_id"))
+    return out

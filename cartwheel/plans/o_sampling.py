@@ -62,10 +62,11 @@ NEG = {
 }
 oracle("negatives", "SELECT * FROM neg", **NEG)
 oracle("training_pairs", f"""
+SELECT *, md5('42:' || customer_id || ':' || article_id) AS shuffle_key FROM (
 SELECT customer_id, article_id, t_dat, pair_purchase_count, label, days_since_purchase, {r6("recency_weight")} AS recency_weight
 FROM pos2
 UNION ALL
-SELECT customer_id, article_id, NULL, NULL, label, days_since_purchase, recency_weight FROM neg""", **NEG, pos2="""
+SELECT customer_id, article_id, NULL, NULL, label, days_since_purchase, recency_weight FROM neg) u""", **NEG, pos2="""
   SELECT customer_id, article_id, max(t_dat) AS t_dat, count(*) AS pair_purchase_count, 1 AS label,
          CAST(date_diff('day', max(t_dat), (SELECT max(t_dat) FROM transactions)) AS INTEGER) AS days_since_purchase,
          exp(-date_diff('day', max(t_dat), (SELECT max(t_dat) FROM transactions)) / 90.0) AS recency_weight
