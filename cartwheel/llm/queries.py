@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import decontaminate, exact_dedup, html_extract, langid, mixing, token_count, url_filter
+from cartwheel.llm import decontaminate, exact_dedup, html_extract, langid, mixing, pii, token_count, url_filter
 from cartwheel.llm.common import shared_path, table
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+PII_KEY = "cartwheel-example-key"
 TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with surrogates; the key stands in for a secret of the site."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_replaced", "pii_types")
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op5_language_id, op6_exact_dedup, op7_mixing,
-                                    op8_html_extraction, op9_decontamination)}
+                                    op8_html_extraction, op9_decontamination, op10_pii)}
