@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import decontaminate, exact_dedup, html_extract, langid, mixing, pii, token_count, url_filter
+from cartwheel.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, mixing, pii, token_count, url_filter
 from cartwheel.llm.common import shared_path, table
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -59,5 +63,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op5_language_id, op6_exact_dedup, op7_mixing,
+    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_jaccard_join, op5_language_id, op6_exact_dedup, op7_mixing,
                                     op8_html_extraction, op9_decontamination, op10_pii)}
