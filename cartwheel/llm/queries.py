@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwheel.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, mixing, pii, token_count, url_filter
+from cartwheel.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, mixing, pii, suffix_dedup, token_count, url_filter
 from cartwheel.llm.common import shared_path, table
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
@@ -21,6 +21,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so every distinct text is encoded in this run."""
     import public_tokenizers
@@ -63,5 +68,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_jaccard_join, op5_language_id, op6_exact_dedup, op7_mixing,
+    return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_exact_dedup, op7_mixing,
                                     op8_html_extraction, op9_decontamination, op10_pii)}
