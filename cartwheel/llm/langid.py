@@ -149,18 +149,22 @@ class Scorer:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (share of the likelihood, 0 to 1); columns of these names are replaced.
-
-    A text that is null or has no letter, or a model without languages, gives ``und`` and 0.
-    """
+def _guessed(df: DataFrame, model: Model, text: str) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
             yield pd.DataFrame([scorer.predict(t) for t in batch], columns=["lang_pred", "score"])
 
-    rows = without(df.withColumn("__guess", guess(F.col(text))), "lang_pred", "score")
+    return df.withColumn("__guess", guess(F.col(text)))
+
+
+def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (share of the likelihood, 0 to 1); columns of these names are replaced.
+
+    A text that is null or has no letter, or a model without languages, gives ``und`` and 0.
+    """
+    rows = without(_guessed(df, model, text), "lang_pred", "score")
     return rows.withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
 
 
@@ -171,8 +175,8 @@ def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 def keep_known(df: DataFrame, model: Model, langs: list[str] | None = None, min_score: float = 0.0, text: str = "text") -> DataFrame:
     """Rows, with their own columns, whose predicted language is a learned one (or in ``langs``)."""
-    judged = predict(df.withColumn("__text", F.col(text)), model, "__text") if {"lang_pred", "score"} & {*df.columns} else predict(df, model, text)
-    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    lang, score = F.col("__guess.lang_pred"), F.col("__guess.score")
+    good = (lang != UNKNOWN) & (score >= min_score)
     if langs is not None:
-        good = good & F.col("lang_pred").isin(langs)
-    return judged.filter(good).select(*df.columns)
+        good = good & lang.isin(langs)
+    return _guessed(df, model, text).filter(good).drop("__guess")
