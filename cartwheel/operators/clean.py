@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.text import py_strip, title_case
+from cartwheel.operators.quantiles import exact_quantiles
 
 # Fixed values of the studied cleaning policy.
 TX_KEYS = ("customer_id", "article_id", "t_dat")
@@ -74,69 +75,15 @@ def clip(c: Column, lo=None, hi=None) -> Column:
     return F.when(c.isNull(), c).otherwise(out)
 
 
-def bounded_median(df: DataFrame, col: str, buckets: int = 4096, max_collect: int = 200_000) -> float | None:
-    """Exact median (pandas interpolation) with bounded memory at any scale.
-
-    Spark's exact ``percentile`` merges a value->count map of *every* distinct value
-    in one final task; for a continuous column over 100 TB that map is unbounded.
-    Here the rank is located by histogram refinement: each pass is an aggregate
-    into at most ``buckets`` rows (count, min, max per bucket), the bucket that
-    holds the wanted rank becomes the next range, and once it holds at most
-    ``max_collect`` values they are fetched and sorted.  About three passes over
-    the (persisted, single-column) input for 10^12 rows.
-    """
-    from pyspark import StorageLevel
-    x = (df.select(F.col(col).cast("double").alias("x"))
-           .where(F.col("x").isNotNull() & ~F.isnan(F.col("x"))).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        row = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        n = row["n"]
-        if not n:
-            return None
-        vals = [_value_at_rank(x, r, row["lo"], row["hi"], n, buckets, max_collect) for r in sorted({(n - 1) // 2, n // 2})]
-        return sum(vals) / len(vals)
-    finally:
-        x.unpersist()
-
-
-def _value_at_rank(x: DataFrame, r: int, lo: float, hi: float, n: int, buckets: int, max_collect: int) -> float:
-    cond = F.lit(True)
-    below, count = 0, n
-    while True:
-        if lo == hi:
-            return lo
-        sub = x.where(cond)
-        if count <= max_collect:
-            vals = sorted(v for (v,) in sub.collect())       # bounded by max_collect
-            return vals[r - below]
-        width = (hi - lo) / buckets
-        bk = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        hist = sorted(sub.groupBy(bk.alias("b")).agg(F.count("*").alias("c"), F.min("x").alias("lo"),
-                                                      F.max("x").alias("hi")).collect())   # <= buckets rows
-        for h in hist:
-            if below + h["c"] > r:
-                cond = cond & (bk == h["b"])
-                lo, hi, count = h["lo"], h["hi"], h["c"]
-                break
-            below += h["c"]
-
-
-def column_medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, Column]:
-    """One scalar subquery holding the median of every column (P5)."""
-    if not cols:
-        return {}
-    if approx:
-        aggs = [F.percentile_approx(F.col(c), 0.5, 100000).cast("double").alias(c) for c in cols]
-    else:
-        aggs = [F.median(F.col(c)).alias(c) for c in cols]
-    s = df.select(F.struct(*aggs).alias("m")).scalar()
-    return {c: s.getField(c) for c in cols}
+def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """The exact median of every column (P5), found when called; NULL and NaN are missing."""
+    return {c: F.lit(q[0]).cast("double") for c, q in exact_quantiles(df, cols, [0.5]).items()}
 
 
-def fill_median(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P5: NULL -> column median (interpolated like pandas); filled columns become double."""
     cols = present(df, cols)
-    med = column_medians(df, cols, approx)
+    med = column_medians(df, cols)
     return df.select(*[F.coalesce(F.col(c).cast("double"), med[c]).alias(c) if c in med else F.col(c)
                        for c in df.columns])
 
@@ -188,28 +135,22 @@ def fill_by_type(df: DataFrame, exclude: Sequence[str] = ARTICLE_KEYS) -> DataFr
 
 # ---------------------------------------------------------------- composed jobs
 
-def clean_transactions(df: DataFrame, approx_median: bool = False, bounded_median_fill: bool = False) -> DataFrame:
+def clean_transactions(df: DataFrame) -> DataFrame:
     """Dedupe -> drop NULL keys -> price median / channel mode -> dates -> types.
 
     Ids are stripped *after* de-duplication, as in the studied job, so ids that
-    differ only by padding survive as separate rows (SURVEY H18).
+    differ only by padding survive as separate rows (SURVEY H18).  The median is found
+    when called (one job).
     """
-    df = drop_key_duplicates(df, TX_KEYS)
-    df = drop_null_keys(df, TX_KEYS)
-    stats = []
-    if "price" in df.columns:
-        if bounded_median_fill:
-            med = bounded_median(df, "price")
-            stats.append(F.lit(med).cast("double").alias("price"))
-        else:
-            stats.append((F.percentile_approx("price", 0.5, 100000).cast("double") if approx_median
-                          else F.median("price")).alias("price"))
+    return fill_transactions(drop_null_keys(drop_key_duplicates(df, TX_KEYS), TX_KEYS))
+
+
+def fill_transactions(df: DataFrame) -> DataFrame:
+    """C1 after de-duplication: price median / channel mode -> dates -> types."""
+    fills = column_medians(df, present(df, ["price"]))
     if "sales_channel_id" in df.columns:
-        stats.append(F.mode("sales_channel_id", True).alias("sales_channel_id"))
-    if stats:
-        s = df.select(F.struct(*stats).alias("s")).scalar()
-        df = df.select(*[F.coalesce(F.col(c), s.getField(c)).alias(c) if c in ("price", "sales_channel_id")
-                         else F.col(c) for c in df.columns])
+        fills["sales_channel_id"] = df.select(F.mode("sales_channel_id", True)).scalar()
+    df = df.select(*[F.coalesce(F.col(c), fills[c]).alias(c) if c in fills else F.col(c) for c in df.columns])
     cols = []
     for c in df.columns:
         if c == "t_dat":

@@ -30,20 +30,27 @@ def popularity_features(tx: DataFrame, reference_date=None) -> DataFrame:
                .withColumn("popularity_score", F.col("total_purchases") / mx))
 
 
-def recent_popularity(tx: DataFrame, days: int = RECENT_DAYS, reference_date=None) -> DataFrame:
-    """Purchases in the inclusive window ``[ref - days, ...]``.
+def recent_window(tx: DataFrame, days: int, ref) -> DataFrame:
+    """Rows of the inclusive window ``[ref - days, ...]``.
 
-    The bound is a scalar subquery, so the filter reaches the Parquet scan.
+    The bound is a scalar subquery.  On the job's fact table, which is partitioned by
+    ``month``, the same bound on the month leaves only the partitions that can hold such rows.
     """
-    ref = _ref(tx, reference_date)
-    recent = tx.where(F.col("t_dat") >= F.date_sub(ref, days))
+    first = F.date_sub(ref, days)
+    if "month" in tx.columns:
+        tx = tx.where(F.col("month") >= F.date_format(first, "yyyy-MM")).drop("month")
+    return tx.where(F.col("t_dat") >= first)
+
+
+def recent_popularity(tx: DataFrame, days: int = RECENT_DAYS, reference_date=None) -> DataFrame:
+    """purchases in the recent window."""
+    recent = recent_window(tx, days, _ref(tx, reference_date))
     return recent.groupBy("article_id").agg(F.count("customer_id").alias(f"purchases_last_{days}d"))
 
 
 def trending(tx: DataFrame, days: int = RECENT_DAYS, reference_date=None) -> DataFrame:
     """recent purchases and their share of the window's best seller."""
-    ref = _ref(tx, reference_date)
-    recent = tx.where(F.col("t_dat") >= F.date_sub(ref, days))
+    recent = recent_window(tx, days, _ref(tx, reference_date))
     g = recent.groupBy("article_id").agg(F.count("customer_id").alias("recent_purchases"))
     mx = g.select(F.max("recent_purchases")).scalar()
     return g.withColumn("recent_popularity_score", F.col("recent_purchases") / mx)

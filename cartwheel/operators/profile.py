@@ -15,23 +15,16 @@ from pyspark.sql import types as T
 
 from cartwheel.functions.dates import week_ending_sunday
 from cartwheel.functions.numeric import exact_avg
+from cartwheel.operators.quantiles import exact_quantiles
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-# Suggested actions of the missing-value report, and its thresholds.
-ACTION_NONE = "No action needed"
-ACTION_DROP = "Consider dropping column"
-ACTION_HIGH = "High missing - fill carefully"
-ACTION_TEXT = "Fill with Unknown / mode"
-ACTION_NUM = "Fill with median or 0"
-ACTION_OTHER = "Investigate"
+# Codes of the missing-value report's actions, and its thresholds (fixed values).
+ACTION_NONE, ACTION_DROP, ACTION_HIGH = "none", "drop_column", "fill_with_care"
+ACTION_TEXT, ACTION_NUM, ACTION_OTHER = "fill_unknown_or_mode", "fill_median_or_zero", "inspect"
 DROP_PCT, HIGH_PCT = 70, 30
-# Flags of the type report.
-FLAG_ID = "ID should be string/int"
-FLAG_DATE = "Convert to datetime"
-FLAG_LOWCARD = "Low cardinality - consider category dtype"
-FLAG_INTLIKE = "Might be integer with NaNs"
-FLAG_OK = "OK"
+# Codes of the type report's flags.
+FLAG_ID, FLAG_DATE, FLAG_LOWCARD, FLAG_INTLIKE, FLAG_OK = "id_as_text", "parse_date", "low_cardinality", "integer_with_gaps", "ok"
 LOW_CARDINALITY = 50
 
 
@@ -125,24 +118,23 @@ def dtype_report(df: DataFrame) -> DataFrame:
     return r.withColumn("flag", flag).drop("_intlike")
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Count, mean, std, min, quartiles (interpolated), max per column, one pass.
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, mean, std, min, quartiles (interpolated), max per column.
 
-    Exact quartiles keep a value->count map per column in the final task (bounded by
-    the distinct values); ``approx=True`` uses ``percentile_approx`` sketches instead
-    for high-cardinality columns at scale.
+    The quartiles are found when called (one job over the counted values); NaN is missing.
     """
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = F.percentile_approx(x, qs, 100000) if approx else F.percentile(x, qs)
+        x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_a{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                 F.min(x).alias(f"_lo{i}"), q.alias(f"_q{i}"), F.max(x).alias(f"_hi{i}")]
+                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+        aggs += [F.lit(q).cast("double").alias(f"_q{i}_{k}") for k, q in enumerate(quartiles[c])]
     row = df.agg(*aggs)
     exprs = []
     for i, c in enumerate(cols):
-        exprs += [_lit(c), f"_n{i}", f"_a{i}", f"_s{i}", f"_lo{i}", f"_q{i}[0]", f"_q{i}[1]", f"_q{i}[2]", f"_hi{i}"]
+        exprs += [_lit(c), f"_n{i}", f"_a{i}", f"_s{i}", f"_lo{i}", f"_q{i}_0", f"_q{i}_1", f"_q{i}_2", f"_hi{i}"]
     return _stack(row, len(cols), exprs, "column_name, count, mean, std, min, p25, p50, p75, max")
 
 
@@ -180,10 +172,10 @@ def weekly_volume(tx: DataFrame, col: str = "t_dat") -> DataFrame:
     return cal.join(counts, "week", "left").select("week", F.coalesce("purchase_count", F.lit(0)).alias("purchase_count"))
 
 
-def quality_report(tx: DataFrame, approx_median: bool = False) -> DataFrame:
-    """One-row summary of the cleaned transactions (``approx_median`` for huge tables)."""
+def quality_report(tx: DataFrame) -> DataFrame:
+    """One-row summary of the cleaned transactions; the exact median is found when called."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in tx.columns), F.lit(0))
-    median = F.percentile_approx("price", 0.5, 100000).cast("double") if approx_median else F.median("price")
+    median = F.lit(exact_quantiles(tx, ["price"], [0.5])["price"][0]).cast("double")
     return tx.agg(F.count("*").alias("n_rows"), F.count_distinct("customer_id").alias("n_customers"),
                   F.count_distinct("article_id").alias("n_articles"), F.min("t_dat").alias("first_date"),
                   F.max("t_dat").alias("last_date"), nulls.alias("null_cells"),

@@ -22,6 +22,7 @@ DISPLAY_NAMES = {"item_id": "Product ID", "product_type_name": "Product Type", "
 DISPLAY_ORDER = ["user_id", "rank", "Product ID", "Product Type", "Color", "Garment Group", "Category", "Score",
                  "Description"]
 TOP_K_RANGE = (1, 100)
+DEFAULT_TOP_K = 10
 CACHE_TTL_SECONDS = 3600
 
 
@@ -77,10 +78,11 @@ def parse_payload(json_col: Column) -> Column:
     return F.from_json(json_col, PAYLOAD_SCHEMA)
 
 
-def payload(recs: DataFrame, articles: DataFrame) -> DataFrame:
+def payload(recs: DataFrame, articles: DataFrame, top_k: int) -> DataFrame:
     """One nested record per user (list bounded by k) and its JSON text.
 
-    Unknown items keep NULL metadata, scores are rounded to 6 places.
+    Unknown items keep NULL metadata, scores are rounded to 6 places.  ``top_k`` is the
+    number that was asked for: the cache key holds it also when the list is shorter.
     """
     j = _with_metadata(recs, articles)
     item = F.struct(F.col("rank"), F.col("item_id").alias("product_id"),
@@ -91,16 +93,16 @@ def payload(recs: DataFrame, articles: DataFrame) -> DataFrame:
                     round_half_up(F.col("score")).alias("score"))
     g = j.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
     g = g.withColumn("total_recommendations", F.size("recommendations"))
-    g = g.withColumn("cache_key", cache_key(F.col("user_id"), F.col("total_recommendations")))
+    g = g.withColumn("cache_key", cache_key(F.col("user_id"), F.lit(top_k)))
     return g.withColumn("json", F.to_json(F.struct("user_id", "total_recommendations", "recommendations"),
                                           {"ignoreNullFields": "false"}))
 
 
 def request_guard(requests: DataFrame, known_users: DataFrame) -> DataFrame:
-    """Clamp k to [1, 100]; unknown users are rejected with a reason."""
+    """Clamp k to [1, 100], a missing k is the default; unknown users are rejected with a reason."""
     known = known_users.select(F.col(known_users.columns[0]).alias("user_id")).distinct().withColumn("_known", F.lit(True))
     k = F.col("top_k")
-    clamped = F.greatest(F.lit(TOP_K_RANGE[0]), F.least(F.lit(TOP_K_RANGE[1]), k))
+    clamped = F.greatest(F.lit(TOP_K_RANGE[0]), F.least(F.lit(TOP_K_RANGE[1]), F.coalesce(k, F.lit(DEFAULT_TOP_K))))
     j = requests.join(known, "user_id", "left")
     return j.select(*[c for c in requests.columns if c != "top_k"], k.alias("top_k_requested"),
                     clamped.alias("top_k"),
@@ -109,27 +111,27 @@ def request_guard(requests: DataFrame, known_users: DataFrame) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, computed: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """Serve a request from the latest result computed at or before it, if still fresh.
+    """Serve a request from the latest list stored for its user and k at or before it, if still fresh.
 
     An as-of join without a range join.  Only entries younger than the TTL can
     serve, so time is cut into TTL-long buckets and every entry is also copied
     into the next bucket; requests and entries are then ordered inside
-    (user, bucket) and the last entry time is carried forward with
+    (user, k, bucket) and the last entry time is carried forward with
     ``last(ignorenulls)``.  No partition is larger than two TTL windows of one
     user, however many rows that user has overall.
-    requests: ``(request_id, user_id, ts)``; computed: ``(user_id, computed_at)``.
+    requests: ``(request_id, user_id, top_k, ts)``; computed: ``(user_id, top_k, computed_at)``.
     """
     epoch = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
     # seconds are counted on the wall-clock value itself: no session time zone, no DST jumps
     bucket = lambda c: F.floor(F.timestamp_diff("SECOND", epoch, F.col(c).cast("timestamp_ntz")) / F.lit(ttl_seconds))
-    r = requests.select("request_id", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("_c"),
+    r = requests.select("request_id", "user_id", "top_k", "ts", F.lit(None).cast("timestamp_ntz").alias("_c"),
                         F.lit(1).alias("_o"), bucket("ts").alias("_b"))
-    c = computed.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "user_id",
+    c = computed.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "user_id", "top_k",
                         F.col("computed_at").alias("ts"), F.col("computed_at").alias("_c"), F.lit(0).alias("_o"),
                         F.explode(F.array(bucket("computed_at"), bucket("computed_at") + 1)).alias("_b"))
-    w = (Window.partitionBy("user_id", "_b").orderBy("ts", "_o")
+    w = (Window.partitionBy("user_id", "top_k", "_b").orderBy("ts", "_o")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = r.unionByName(c).withColumn("cached_at", F.last("_c", ignorenulls=True).over(w)).where(F.col("_o") == 1)
     fresh = F.col("cached_at").isNotNull() & (F.col("ts") < F.col("cached_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    return u.select("request_id", "user_id", "ts", F.when(fresh, F.col("cached_at")).alias("cached_at"),
+    return u.select("request_id", "user_id", "top_k", "ts", F.when(fresh, F.col("cached_at")).alias("cached_at"),
                     F.when(fresh, "cache").otherwise("compute").alias("source"))

@@ -93,18 +93,26 @@ def sample_eval_users(inter: DataFrame, max_users: int | None = None, min_items:
     return sample_n(el, max_users, [user], seed)
 
 
-def negatives(tx: DataFrame, ratio: int = 1, oversample: int = 3, seed: int = SEED,
-              block: int = 4096) -> DataFrame:
-    """per user ``n_pos * ratio`` never-bought articles, drawn by seeded hash.
-
-    Each user draws ``min(oversample * n_neg, N)`` candidate indices
-    ``hash(seed:user:j) mod N`` (j = 0, 1, ...) into the sorted article list;
-    repeated draws and bought articles are dropped and the first ``n_neg``
-    survivors in draw order are kept.  Work is linear in the positives; there is
-    no user x item product.  A user who owns a large share of all rows is split
-    into blocks of ``block`` draws: survivors are counted per block, block
-    offsets are a running sum over a user's few blocks, and ranks are taken
-    inside a block only.  May return fewer than asked (SURVEY H12).
+def prime_from(n: int) -> int:
+    """The smallest prime that is at least ``n`` (and 2)."""
+    p = max(2, n)
+    while any(p % d == 0 for d in range(2, int(p ** 0.5) + 1)):
+        p += 1
+    return p
+
+
+def negatives(tx: DataFrame, ratio: int = 1, seed: int = SEED, block: int = 4096) -> DataFrame:
+    """per user ``n_pos * ratio`` never-bought articles, drawn without replacement.
+
+    Draw j of a user is ``(start + j * step) mod P``, P the smallest prime not below the
+    number of articles, start and step hashed from the user: a permutation of ``0..P-1``,
+    so no draw repeats.  ``n_neg + n_pos`` draws and as many as P exceeds the articles
+    leave ``n_neg`` survivors, or use up the catalogue: a user always gets
+    ``min(n_neg, articles not bought)``.  Work is linear in the positives; there is no
+    user x item product.  A user who owns a large share of all rows is split into blocks
+    of ``block`` draws: survivors are counted per block, block offsets are a running sum
+    over a user's few blocks, and ranks are taken inside a block only.  Counts the
+    articles when called.
     """
     from cartwheel.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(tx.sparkSession)
@@ -112,23 +120,24 @@ def negatives(tx: DataFrame, ratio: int = 1, oversample: int = 3, seed: int = SE
     # materialise them once in the shared checkpoint folder instead of recomputing
     pos = tx.select("customer_id", "article_id").distinct().checkpoint(eager=True)
     items = index_ids(pos, "article_id")
-    n_items = items.select(F.count("*")).scalar()
+    n_items = items.count()
+    prime = prime_from(n_items)
+    number = lambda *what: F.conv(F.substring(seeded_key(seed, "customer_id", *what), 1, 15), 16, 10).cast("long")
     npos = pos.groupBy("customer_id").agg(F.count("*").alias("n_pos"))
     # draws are generated chunk by chunk: a user with a huge history is spread over
     # many tasks instead of exploding into one
     chunks = (npos.withColumn("n_neg", F.col("n_pos") * ratio)
-                  .withColumn("m", F.least(F.col("n_neg") * oversample, n_items))
-                  .where(F.col("m") > 0)
+                  .withColumn("m", F.least(F.col("n_neg") + F.col("n_pos") + F.lit(prime - n_items), F.lit(prime)))
+                  .withColumn("start", F.pmod(number(F.lit("start")), F.lit(prime)))
+                  .withColumn("step", 1 + F.pmod(number(F.lit("step")), F.lit(prime - 1)))
+                  .where(F.col("n_neg") > 0)
                   .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))))
                   .repartition("customer_id", "blk"))
     draws = (chunks.withColumn("j", F.explode(F.sequence(F.col("blk") * block,
                                                          F.least(F.col("m"), (F.col("blk") + 1) * block) - 1)))
-                   .withColumn("idx", F.pmod(F.conv(F.substring(seeded_key(seed, "customer_id", "j"), 1, 15), 16, 10)
-                                            .cast("long"), n_items)))
-    cand = (draws.join(items, "idx")
-                 .groupBy("customer_id", "article_id").agg(F.min("j").alias("j"), F.max("n_neg").alias("n_neg"))
-                 .join(pos, ["customer_id", "article_id"], "left_anti")
-                 .withColumn("blk", F.floor(F.col("j") / block)))
+                   .withColumn("idx", F.pmod(F.col("start") + F.col("j") * F.col("step"), F.lit(prime))))
+    cand = (draws.join(items, "idx").select("customer_id", "article_id", "j", "n_neg", "blk")
+                 .join(pos, ["customer_id", "article_id"], "left_anti"))
     per_blk = cand.groupBy("customer_id", "blk").agg(F.count("*").alias("_c"))
     w = Window.partitionBy("customer_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_blk.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")

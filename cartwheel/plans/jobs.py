@@ -1,8 +1,8 @@
 """Composed batch jobs (C1-C7): each reads tables, runs operators, writes tables.
 
 Stages communicate through Parquet tables (never CSV, never the driver).  The
-fact table is written partitioned by month and sorted by date inside files, so
-later date-window filters prune partitions and row groups.
+fact table is written range-partitioned by month and date, so a month is a few files;
+a reader that bounds ``month`` beside the date prunes partitions.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from cartwheel.sources import io
 def clean_tables(spark: SparkSession, raw_tx: DataFrame, raw_articles: DataFrame, raw_customers: DataFrame,
                  out: str) -> None:
     """C1-C3."""
-    # production path: exact median with bounded memory (no value map of a continuous column in one task)
-    tx = clean.clean_transactions(raw_tx, bounded_median_fill=True).withColumn("month", F.date_format("t_dat", "yyyy-MM"))
+    # the de-duplicated rows feed the median and the fills: write them once
+    io.write_table(clean.drop_null_keys(clean.drop_key_duplicates(raw_tx, clean.TX_KEYS), clean.TX_KEYS), f"{out}/transactions_distinct")
+    distinct = spark.read.parquet(f"{out}/transactions_distinct")
+    tx = clean.fill_transactions(distinct).withColumn("month", F.date_format("t_dat", "yyyy-MM"))
     io.write_table(tx, f"{out}/transactions", partition_by=["month"], sort_within=["t_dat"])
     io.write_table(clean.clean_articles(raw_articles), f"{out}/articles")
     io.write_table(clean.clean_customers(raw_customers), f"{out}/customers")
@@ -26,11 +28,12 @@ def clean_tables(spark: SparkSession, raw_tx: DataFrame, raw_articles: DataFrame
 
 def feature_tables(spark: SparkSession, base: str, out: str) -> None:
     """C4: user, item and interaction feature tables from the cleaned tables."""
-    tx = spark.read.parquet(f"{base}/transactions").drop("month")
+    dated = spark.read.parquet(f"{base}/transactions").withColumn("month", F.col("month").cast("string"))
+    tx = dated.drop("month")
     arts = spark.read.parquet(f"{base}/articles")
     custs = spark.read.parquet(f"{base}/customers")
     io.write_table(user.user_features(custs, tx), f"{out}/user_features")
-    io.write_table(item.item_features(arts, tx), f"{out}/item_features")
+    io.write_table(item.item_features(arts, dated), f"{out}/item_features")
     io.write_table(interactions.interaction_features(tx), f"{out}/interaction_features")
 
 
@@ -70,7 +73,7 @@ def recommend_job(spark: SparkSession, model: str, base: str, out: str, k: int =
     recs = spark.read.parquet(f"{out}/recommendations")
     arts = io.check_metadata(spark.read.parquet(f"{base}/articles"))
     io.write_table(recommend.readable_recommendations(recs, arts), f"{out}/readable")
-    io.write_table(recommend.payload(recs, arts).withColumn("computed_at", F.current_timestamp()), f"{out}/served")
+    io.write_table(recommend.payload(recs, arts, k).withColumn("computed_at", F.current_timestamp()), f"{out}/served")
 
 
 def evaluate_job(spark: SparkSession, recs_path: str, features: str, k: int = 10,

@@ -64,11 +64,14 @@ SELECT article_id, total_purchases, unique_buyers, {r6("avg_price")} AS avg_pric
        days_since_last_sale, {r6("total_purchases / (SELECT max(total_purchases) FROM pop)")} AS popularity_score
 FROM pop""", pop=POP)
 oracle("recent_popularity", "SELECT * FROM recent", recent=RECENT)
-oracle("trending_items", f"""
-SELECT article_id, recent_purchases, {r6("recent_purchases / (SELECT max(recent_purchases) FROM t)")} AS recent_popularity_score
-FROM t ORDER BY recent_purchases DESC, article_id LIMIT 5""", t=f"""
+TRENDING = f"""
   SELECT article_id, count(customer_id) AS recent_purchases FROM transactions
-  WHERE t_dat >= {MAXD} - INTERVAL 30 DAY GROUP BY article_id""")
+  WHERE t_dat >= {MAXD} - INTERVAL 30 DAY GROUP BY article_id"""
+TRENDING_SCORES = f"""
+SELECT article_id, recent_purchases, {r6("recent_purchases / (SELECT max(recent_purchases) FROM t)")} AS recent_popularity_score
+FROM t"""
+oracle("trending_scores", TRENDING_SCORES, t=TRENDING)
+oracle("trending_items", TRENDING_SCORES + " ORDER BY recent_purchases DESC, article_id LIMIT 5", t=TRENDING)
 oracle("article_age", """
 SELECT a.article_id, f.first_sold_date, coalesce(f.article_age_days, (SELECT max(article_age_days) FROM f)) AS article_age_days
 FROM articles a LEFT JOIN f ON a.article_id = f.article_id""", f=f"""

@@ -65,12 +65,12 @@ SELECT column_name, missing_count, {r6("round(missing_count * 100.0 / total_rows
 FROM m WHERE missing_count > 0""", m=_missing("raw_customers", _COLS_C, _TYPES_C))
 oracle("missing_actions", f"""
 SELECT column_name, dtype, missing_count, {r6("round(missing_count * 100.0 / total_rows, 2)")} AS missing_pct,
-       CASE WHEN missing_count = 0 THEN 'No action needed'
-            WHEN missing_count * 100.0 / total_rows > 70 THEN 'Consider dropping column'
-            WHEN missing_count * 100.0 / total_rows > 30 THEN 'High missing - fill carefully'
-            WHEN dtype = 'string' THEN 'Fill with Unknown / mode'
-            WHEN dtype IN ('double', 'int', 'bigint') THEN 'Fill with median or 0'
-            ELSE 'Investigate' END AS suggested_action
+       CASE WHEN missing_count = 0 THEN 'none'
+            WHEN missing_count * 100.0 / total_rows > 70 THEN 'drop_column'
+            WHEN missing_count * 100.0 / total_rows > 30 THEN 'fill_with_care'
+            WHEN dtype = 'string' THEN 'fill_unknown_or_mode'
+            WHEN dtype IN ('double', 'int', 'bigint') THEN 'fill_median_or_zero'
+            ELSE 'inspect' END AS suggested_action
 FROM m""", m=_missing("raw_articles", _COLS_A, _TYPES_A))
 
 
@@ -106,11 +106,11 @@ def _dtype_rows():
 
 oracle("dtype_report", """
 SELECT column_name, dtype, sample_value, unique_values,
-       CASE WHEN column_name LIKE '%\\_id' ESCAPE '\\' AND dtype IN ('double', 'string') THEN 'ID should be string/int'
-            WHEN lower(column_name) LIKE '%date%' OR (column_name = 't_dat' AND dtype = 'string') THEN 'Convert to datetime'
-            WHEN dtype = 'string' AND unique_values < 50 THEN 'Low cardinality - consider category dtype'
-            WHEN dtype = 'double' AND intlike THEN 'Might be integer with NaNs'
-            ELSE 'OK' END AS flag
+       CASE WHEN column_name LIKE '%\\_id' ESCAPE '\\' AND dtype IN ('double', 'string') THEN 'id_as_text'
+            WHEN lower(column_name) LIKE '%date%' OR (column_name = 't_dat' AND dtype = 'string') THEN 'parse_date'
+            WHEN dtype = 'string' AND unique_values < 50 THEN 'low_cardinality'
+            WHEN dtype = 'double' AND intlike THEN 'integer_with_gaps'
+            ELSE 'ok' END AS flag
 FROM d""", d=_dtype_rows())
 oracle("shape_overview", """
 SELECT 'transactions' AS dataset, count(*) AS n_rows, 5 AS n_columns FROM raw_transactions

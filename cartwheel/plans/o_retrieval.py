@@ -87,22 +87,23 @@ SELECT r.user_id, r.rank, r.item_id AS "Product ID", coalesce(a.product_type_nam
        substr(coalesce(a.detail_desc, 'No description available'), 1, 120) AS "Description"
 FROM recs r LEFT JOIN articles a ON r.item_id = a.article_id""", **BASE, recs=BATCH)
 oracle("request_guard", """
-SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(trunc(value) AS INTEGER) AS top_k_requested,
-       greatest(1, least(100, CAST(trunc(value) AS INTEGER))) AS top_k,
-       CASE WHEN CAST(user_id AS VARCHAR) IN (SELECT customer_id FROM customers) THEN 'served' ELSE 'rejected' END AS status,
-       CASE WHEN CAST(user_id AS VARCHAR) IN (SELECT customer_id FROM customers) THEN NULL ELSE 'unknown user' END AS reason
-FROM events WHERE event_type IN ('view', 'click')""")
+SELECT event_id, user_id, k AS top_k_requested, greatest(1, least(100, coalesce(k, 10))) AS top_k,
+       CASE WHEN user_id IN (SELECT customer_id FROM customers) THEN 'served' ELSE 'rejected' END AS status,
+       CASE WHEN user_id IN (SELECT customer_id FROM customers) THEN NULL ELSE 'unknown user' END AS reason
+FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 7 <> 0 THEN CAST(trunc(value) AS INTEGER) END AS k
+      FROM events WHERE event_type IN ('view', 'click')) r""")
 oracle("unknown_users", """
 SELECT customer_id AS user_id, 10 AS top_k_requested, 10 AS top_k, 'rejected' AS status, 'unknown user' AS reason
 FROM (SELECT DISTINCT customer_id FROM transactions) t
 WHERE customer_id NOT IN (SELECT customer_id FROM customers)""")
 oracle("rec_cache_lookup", """
-SELECT r.event_id AS request_id, CAST(r.user_id AS VARCHAR) AS user_id, r.ts,
+SELECT r.event_id AS request_id, CAST(r.user_id AS VARCHAR) AS user_id, r.top_k, r.ts,
        CASE WHEN c.cached_at IS NOT NULL AND r.ts < c.cached_at + INTERVAL 3600 SECOND THEN c.cached_at END AS cached_at,
        CASE WHEN c.cached_at IS NOT NULL AND r.ts < c.cached_at + INTERVAL 3600 SECOND THEN 'cache' ELSE 'compute' END AS source
-FROM (SELECT * FROM events WHERE event_type = 'click') r
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 20 ELSE 10 END AS top_k FROM events WHERE event_type = 'click') r
 LEFT JOIN LATERAL (SELECT max(v.ts) AS cached_at FROM events v
-                   WHERE v.event_type = 'view' AND v.user_id = r.user_id AND v.ts <= r.ts) c ON true""")
+                   WHERE v.event_type = 'view' AND v.user_id = r.user_id AND v.ts <= r.ts
+                     AND CASE WHEN v.event_id % 3 = 0 THEN 20 ELSE 10 END = r.top_k) c ON true""")
 
 EVAL = dict(BASE)
 EVAL.update({
@@ -162,7 +163,7 @@ GROUP BY batch_id""", **BASE, tp="""
   FROM tp t JOIN users u ON t.user_id = u.id JOIN items i ON t.item_id = i.id""")
 
 oracle("rec_cache_keys", """
-SELECT user_id, 'recommendations:' || user_id || ':top' || CAST(count(*) AS VARCHAR) AS cache_key,
+SELECT user_id, 'recommendations:' || user_id || ':top10' AS cache_key,
        CAST(count(*) AS INTEGER) AS total_recommendations
 FROM recs GROUP BY user_id""", **BASE, recs=BATCH)
 

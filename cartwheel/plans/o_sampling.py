@@ -33,7 +33,7 @@ SAMPLED = """
 oracle("sample_eval_users", "SELECT customer_id FROM sampled", sampled=SAMPLED)
 oracle("semi_sampled_users", """
 SELECT customer_id, article_id, t_dat, round(price * 1e6) / 1e6 AS price, sales_channel_id FROM transactions
-WHERE customer_id IN (SELECT customer_id FROM sampled)""", sampled=SAMPLED)
+WHERE customer_id IN (SELECT customer_id FROM transactions GROUP BY customer_id HAVING count(DISTINCT article_id) >= 2)""")
 oracle("keep_known", """
 SELECT customer_id, article_id, t_dat, round(price * 1e6) / 1e6 AS price, sales_channel_id FROM transactions
 WHERE customer_id IN (SELECT customer_id FROM customers) AND article_id IN (SELECT article_id FROM articles)""")
@@ -43,15 +43,19 @@ NEG = {
   SELECT article_id, CAST(dense_rank() OVER (ORDER BY article_id) - 1 AS BIGINT) AS idx
   FROM (SELECT DISTINCT article_id FROM transactions) a""",
     "pos": "SELECT DISTINCT customer_id, article_id FROM transactions",
+    "prime": """
+  SELECT min(p) AS p FROM (SELECT unnest(range(greatest(2, (SELECT count(*) FROM items)), 2 * (SELECT count(*) FROM items) + 3)) AS p) r
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, CAST(sqrt(2 * (SELECT count(*) FROM items) + 3) AS BIGINT) + 1)) AS d) f WHERE d < p AND p % d = 0)""",
     "draws": """
-  SELECT customer_id, n_neg, j,
-         CAST(('0x' || substr(md5('42:' || customer_id || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT)
-           % (SELECT count(*) FROM items) AS idx
-  FROM (SELECT customer_id, n_neg, unnest(range(0, least(n_neg * 3, (SELECT count(*) FROM items)))) AS j
-        FROM (SELECT customer_id, count(*) AS n_neg FROM pos GROUP BY customer_id) n) x""",
+  SELECT customer_id, n_neg, j, (first + j * step) % (SELECT p FROM prime) AS idx
+  FROM (SELECT customer_id, n_neg,
+               CAST(('0x' || substr(md5('42:' || customer_id || ':start'), 1, 15)) AS BIGINT) % (SELECT p FROM prime) AS first,
+               1 + CAST(('0x' || substr(md5('42:' || customer_id || ':step'), 1, 15)) AS BIGINT) % ((SELECT p FROM prime) - 1) AS step,
+               unnest(range(0, (SELECT p FROM prime))) AS j
+        FROM (SELECT customer_id, count(*) AS n_neg FROM pos GROUP BY customer_id) n) x
+  WHERE j < 2 * n_neg + (SELECT p FROM prime) - (SELECT count(*) FROM items)""",
     "cand": """
-  SELECT d.customer_id, i.article_id, min(d.j) AS j, max(d.n_neg) AS n_neg
-  FROM draws d JOIN items i ON d.idx = i.idx GROUP BY d.customer_id, i.article_id""",
+  SELECT d.customer_id, i.article_id, d.j, d.n_neg FROM draws d JOIN items i ON d.idx = i.idx""",
     "neg": """
   SELECT customer_id, article_id, 0 AS label, CAST(0.0 AS DOUBLE) AS recency_weight,
          CAST(NULL AS INTEGER) AS days_since_purchase

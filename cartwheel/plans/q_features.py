@@ -56,6 +56,12 @@ def q_recent_popularity(spark, d):
     return item.recent_popularity(tb.transactions(spark, d), 30)
 
 
+@query("trending_scores")
+def q_trending_scores(spark, d):
+    """recent popularity and its score for every article sold in the last 30 days."""
+    return item.trending(tb.transactions(spark, d), 30)
+
+
 @query("trending_items")
 def q_trending_items(spark, d):
     """The five trending articles of the last 30 days."""

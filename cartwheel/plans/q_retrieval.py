@@ -132,21 +132,21 @@ def q_display_recs(spark, d):
 
 @query("rec_payload", rows_only=True)
 def q_rec_payload(spark, d):
-    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d)).select("user_id", "total_recommendations", "json")
+    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d), 10).select("user_id", "total_recommendations", "json")
 
 
 @query("rec_cache_keys")
 def q_rec_cache_keys(spark, d):
     """The stored key and list length of every customer's payload."""
-    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d)).select("user_id", "cache_key", "total_recommendations")
+    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d), 10).select("user_id", "cache_key", "total_recommendations")
 
 
 @query("request_guard")
 def q_request_guard(spark, d):
     """view/click events as requests, k = the event value; known = customer table."""
     ev_ = tb.read(spark, d, "events").where(F.col("event_type").isin("view", "click"))
-    req = ev_.select("event_id", F.col("user_id").cast("string").alias("user_id"),
-                     F.col("value").cast("int").alias("top_k"))
+    k = F.when(F.col("event_id") % 7 != 0, F.col("value").cast("int"))  # every seventh request names no k
+    req = ev_.select("event_id", F.col("user_id").cast("string").alias("user_id"), k.alias("top_k"))
     return rc.request_guard(req, tb.customers(spark, d).select("customer_id"))
 
 
@@ -160,12 +160,11 @@ def q_unknown_users(spark, d):
 
 @query("rec_cache_lookup")
 def q_rec_cache_lookup(spark, d):
-    """Clicks are requests; a user's views mark when their list was computed (TTL 1 h)."""
-    e = tb.read(spark, d, "events")
-    req = e.where(F.col("event_type") == "click").select(F.col("event_id").alias("request_id"),
-                                                          F.col("user_id").cast("string").alias("user_id"), "ts")
-    comp = e.where(F.col("event_type") == "view").select(F.col("user_id").cast("string").alias("user_id"),
-                                                         F.col("ts").alias("computed_at"))
+    """Clicks are requests, a user's views mark when their list was computed (TTL 1 h); k is 10 or 20 by event."""
+    e = tb.read(spark, d, "events").withColumn("top_k", F.when(F.col("event_id") % 3 == 0, 20).otherwise(10))
+    user = F.col("user_id").cast("string").alias("user_id")
+    req = e.where(F.col("event_type") == "click").select(F.col("event_id").alias("request_id"), user, "top_k", "ts")
+    comp = e.where(F.col("event_type") == "view").select(user, "top_k", F.col("ts").alias("computed_at"))
     return rc.cache_lookup(req, comp)
 
 

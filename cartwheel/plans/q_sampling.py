@@ -59,10 +59,9 @@ def q_sample_eval_users(spark, d):
 
 @query("semi_sampled_users")
 def q_semi_sampled_users(spark, d):
-    """Interactions of the sampled users (left semi join, never a big IN list)."""
+    """Interactions of all eligible users (left semi join, never a big IN list)."""
     tx = tb.transactions(spark, d)
-    users = sp.sample_eval_users(tx, 500, 2)
-    return tx.join(users, "customer_id", "left_semi")
+    return tx.join(sp.eligible_users(tx, 2), "customer_id", "left_semi")
 
 
 @query("keep_known")

@@ -7,32 +7,38 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Defaults tuned for the local test box; on a cluster the submitter's settings win
-# because ``getOrCreate`` keeps an existing session's configuration.
-_LOCAL_DEFAULTS = {
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
+# SQL defaults, set only where the submitter (``--conf``, ``spark-defaults``) has not set them.
+_SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.driver.memory": "16g",
 }
+# For a local master named by the caller, which starts its own JVM: that JVM does all the work.
+_LOCAL_DEFAULTS = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "cartwheel", extra: dict | None = None) -> SparkSession:
+    """The running session or a new one; what was submitted wins over the defaults, arguments win over both."""
     builder = SparkSession.builder.appName(app_name)
+    asked = dict(extra or {})
+    if shuffle_partitions:
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    submitted = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
     if master:
         builder = builder.master(master)
-    conf = dict(_LOCAL_DEFAULTS)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+        if master.startswith("local") and "PYSPARK_GATEWAY_PORT" not in os.environ:
+            asked = {k: v for k, v in _LOCAL_DEFAULTS.items() if k not in submitted and not (k == "spark.driver.memory" and "--driver-memory" in submitted)} | asked
+    for k, v in asked.items():
         builder = builder.config(k, v)
+    fresh = SparkSession.getActiveSession() is None
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in _SQL_DEFAULTS.items():
+        if fresh and k not in asked and not given.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

@@ -101,8 +101,15 @@ def check_metadata(df: DataFrame, required: Sequence[str] = REQUIRED_METADATA) -
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] | None = None,
                 sort_within: Sequence[str] | None = None) -> None:
-    """Overwrite a table; optional partitioning (e.g. by month) and in-file sort."""
-    if sort_within:
+    """Overwrite a table; optional partitioning (e.g. by month) and in-file sort.
+
+    Rows of a partitioned table are ranged by partition and sort columns first, so every
+    partition is written by one task or a few neighbours, not by all.
+    """
+    if partition_by:
+        by = [*partition_by, *(sort_within or [])]
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    elif sort_within:
         df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode("overwrite")
     if partition_by:

@@ -70,13 +70,15 @@ def test_clean_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect())
 
 
-def test_bounded_median_matches_exact(spark):
-    import numpy as np
-    rng = np.random.default_rng(5)
-    vals = [float(v) for v in np.round(rng.lognormal(3, 1, 5001), 2)] + [7.0] * 300 + [None] * 10
-    df = spark.createDataFrame([(v,) for v in vals], "p double")
-    exact = df.select(F.median("p")).first()[0]
-    assert clean.bounded_median(df, "p", buckets=16, max_collect=50) == exact
-    even = df.where(F.col("p") != 7.0).limit(4000)
-    assert clean.bounded_median(even, "p", buckets=8, max_collect=10) == even.select(F.median("p")).first()[0]
-    assert clean.bounded_median(spark.createDataFrame([(1.0,)] * 500, "p double"), "p", max_collect=5) == 1.0
+def test_exact_quantiles_equal_spark(spark):
+    from cartwheel.operators.quantiles import exact_quantiles
+    rows = [(float((k * 7919) % 1000) / 3, float(k % 4), None if k % 5 else float(k)) for k in range(501)] + [(None, float("nan"), None), (-0.0, 1e300, -5.5)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    fractions = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c"], fractions)
+    for c in "abc":
+        x = F.when(~F.isnan(c), F.col(c))
+        assert got[c] == [df.select(F.percentile(x, F.lit(f))).first()[0] for f in fractions]
+    assert exact_quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+    nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "p double")
+    assert exact_quantiles(nan, ["p"], [0.5]) == {"p": [1.5]}

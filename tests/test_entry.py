@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import sys
 
 import duckdb
@@ -14,7 +15,7 @@ from check_types import norm_duck, norm_spark  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"softmax_factors", "als_factors", "als_evaluate", "topk_ivf_kmeans"}
+SLOW = {"softmax_factors", "softmax_history", "als_factors", "als_evaluate", "topk_ivf_kmeans"}
 
 
 def _norm(v):
@@ -38,7 +39,8 @@ def test_every_query_has_oracle_or_is_rows_only():
     from cartwheel.plans.registry import ROWS_ONLY
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    corpus = {n for n in q if re.match(r"op\d+_|pipeline$", n)}   # tested on their own where SQL cannot express them
+    assert set(q) - set(o) - corpus == ROWS_ONLY
 
 
 @pytest.fixture(scope="module")
@@ -68,4 +70,4 @@ def test_oracle_matches(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_rows_only_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+    assert entry.queries()[name](spark, SF).count() > 0

@@ -63,12 +63,14 @@ def test_index_ids_dense_and_ordered(spark):
 
 def test_negatives_never_positives(spark):
     rows = [(f"u{u}", f"a{(u * 7 + j) % 40}") for u in range(30) for j in range(u % 6 + 1)]
+    rows += [("heavy", f"a{j}") for j in range(18)] + [("most", f"a{j}") for j in range(33)]
     tx = spark.createDataFrame(rows, "customer_id string, article_id string")
     neg = sp.negatives(tx, ratio=1, block=3)
     assert neg.join(tx, ["customer_id", "article_id"]).count() == 0
     counts = {r.customer_id: r.n for r in neg.groupBy("customer_id").agg(F.count("*").alias("n")).collect()}
     pos = {r.customer_id: r.n for r in tx.distinct().groupBy("customer_id").agg(F.count("*").alias("n")).collect()}
-    assert all(counts.get(u, 0) <= pos[u] for u in pos)
+    n_items = tx.select("article_id").distinct().count()
+    assert counts == {u: min(n, n_items - n) for u, n in pos.items()}
     assert neg.select("customer_id", "article_id").distinct().count() == neg.count()
 
 

@@ -10,28 +10,19 @@ from cartwheel.operators import recommend as rc
 from cartwheel.operators import sampling as sp
 
 
-def _draws_reference(tx_rows, ratio=1, oversample=3, seed=42):
+def _draws_reference(tx_rows, ratio=1, seed=42):
     pos = {}
     for u, a in tx_rows:
         pos.setdefault(u, set()).add(a)
     items = sorted({a for _, a in tx_rows})
-    n = len(items)
+    prime = next(p for p in range(max(2, len(items)), 2 * len(items) + 3) if all(p % d for d in range(2, p)))
     out = set()
     for u, bought in pos.items():
-        n_neg = len(bought) * ratio
-        m = min(n_neg * oversample, n)
-        seen, taken = set(), 0
-        for j in range(m):
-            h = int(hashlib.md5(f"{seed}:{u}:{j}".encode()).hexdigest()[:15], 16) % n
-            a = items[h]
-            if a in seen:
-                continue
-            seen.add(a)
-            if a in bought:
-                continue
-            if taken < n_neg:
-                out.add((u, a))
-                taken += 1
+        number = lambda what: int(hashlib.md5(f"{seed}:{u}:{what}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        start, step = number("start") % prime, 1 + number("step") % (prime - 1)
+        order = [(start + j * step) % prime for j in range(prime)]
+        left = [items[k] for k in order if k < len(items) and items[k] not in bought]
+        out |= {(u, a) for a in left[:len(bought) * ratio]}
     return out
 
 
@@ -51,9 +42,9 @@ def test_cache_lookup_hot_user_matches_brute_force(spark):
     t0 = dt.datetime(2024, 1, 1)
     views = sorted(t0 + dt.timedelta(minutes=int(x)) for x in rng.integers(0, 24 * 60, 400))
     clicks = sorted(t0 + dt.timedelta(minutes=int(x), seconds=30) for x in rng.integers(0, 24 * 60, 300))
-    req = spark.createDataFrame([(i, "hot", t) for i, t in enumerate(clicks)] + [(10_000, "cold", t0)],
-                                "request_id long, user_id string, ts timestamp_ntz")
-    comp = spark.createDataFrame([("hot", t) for t in views], "user_id string, computed_at timestamp_ntz")
+    req = spark.createDataFrame([(i, "hot", 10, t) for i, t in enumerate(clicks)] + [(10_000, "cold", 10, t0)],
+                                "request_id long, user_id string, top_k int, ts timestamp_ntz")
+    comp = spark.createDataFrame([("hot", 10, t) for t in views] + [("hot", 20, t0)], "user_id string, top_k int, computed_at timestamp_ntz")
     got = {r.request_id: (r.source, r.cached_at) for r in rc.cache_lookup(req, comp, ttl_seconds=1800).collect()}
     for i, t in enumerate(clicks):
         prior = [v for v in views if v <= t]
