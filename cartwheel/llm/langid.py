@@ -79,6 +79,8 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
             for language, t in zip(batch["lang"], batch["text"]):
                 seen.setdefault(language, Counter()).update(words(t))
         for language, of_words in seen.items():
+            if not of_words:  # only texts without a word
+                continue
             of_grams: Counter = Counter()
             for w, c in of_words.items():
                 for size in GRAMS:

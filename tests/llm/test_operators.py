@@ -185,7 +185,7 @@ def edited_documents(seed, n=140):
     return docs
 
 
-@pytest.mark.parametrize(("width", "percent", "small", "frequent"), [(4, 85, 512, 4), (5, 80, 3, 4), (4, 85, 2, 2), (1, 60, 4, 3)])
+@pytest.mark.parametrize(("width", "percent", "small", "frequent"), [(4, 85, 2048, 4), (5, 80, 2, 2)])
 def test_jaccard_components_equal_brute_force(spark, width, percent, small, frequent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL_REGION", small)  # small limits send regions through cells and blocks
     monkeypatch.setattr(jaccard_join, "LOCAL_FREQUENT", frequent)
