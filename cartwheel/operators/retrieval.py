@@ -31,9 +31,10 @@ from cartwheel.functions import vectors as V
 
 DEFAULT_K = 10
 IVF_NLIST = 100     # fixed values: studied IVF defaults
+MAX_CENTROIDS = 65_536
 IVF_NPROBE = 10
 ITEM_BLOCK = 20000
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 65_536   # the items are copied once per query block; a block of 64 floats is about 35 MB
 _CHUNK_CELLS = 1 << 22   # score-matrix cells per NumPy chunk (32 MiB of float64)
 
 PAIR_SCHEMA = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("item_id", T.StringType()),
@@ -127,7 +128,7 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     Returns ``(query_id, item_id, score, rank)``.  The two sides get distinct
     column names so that a table can be searched against itself.  With a single
     cluster (exact search) the block counts are scalar subqueries; otherwise they
-    come from a per-cluster table (one row per cluster, broadcast).
+    come from a per-cluster table (one row per cluster).
     """
     q0 = queries.select(F.col("id").alias("qid"), F.col("cluster").alias("qcl"), F.col("features").alias("qvec"))
     if exclude is not None:
@@ -161,9 +162,9 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
         qsz = q0.groupBy("qcl").agg(F.count("*").alias("nq"))
         ib, qb = block_counts(F.col("ni"), F.col("nq"))
         meta = isz.join(qsz, isz.icl == qsz.qcl).select(F.col("icl").alias("cl"), ib.alias("ib"), qb.alias("qb"))
-        # one row per cluster: bounded by nlist, so both sides may broadcast it
-        mi = F.broadcast(meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb")))
-        mq = F.broadcast(meta.select(F.col("cl").alias("qcl"), F.col("ib").alias("q_ib"), F.col("qb").alias("q_qb")))
+        # one row per cluster: adaptive execution broadcasts it if it is small
+        mi = meta.select(F.col("cl").alias("icl"), F.col("ib").alias("i_ib"), F.col("qb").alias("i_qb"))
+        mq = meta.select(F.col("cl").alias("qcl"), F.col("ib").alias("q_ib"), F.col("qb").alias("q_qb"))
         it = (i0.join(mi, "icl")
                 .select(F.col("icl").alias("cluster"), F.pmod(F.xxhash64("iid"), F.col("i_ib")).cast("int").alias("isub"),
                         F.explode(F.sequence(F.lit(0), F.col("i_qb") - 1)).alias("qsub"), "iid", "ivec"))
@@ -171,7 +172,9 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
                 .select(F.col("qcl").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("q_ib") - 1)).alias("isub"),
                         F.pmod(F.xxhash64("qid"), F.col("q_qb")).cast("int").alias("qsub"), "qid", "qvec", "qk"))
     keys = ["cluster", "isub", "qsub"]
-    local = qs.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInPandas(_local_topk(k), PAIR_SCHEMA)
+    # a given number of partitions: coalescing by bytes would put many block products into one task
+    parts = max(par, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = qs.repartition(parts, *keys).groupBy(*keys).cogroup(it.repartition(parts, *keys).groupBy(*keys)).applyInPandas(_local_topk(k), PAIR_SCHEMA)
     if exclude is not None:
         local = local.join(exclude.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
@@ -212,7 +215,10 @@ def kmeans_centroids(items: DataFrame, nlist: int = IVF_NLIST, seed: int = 42, m
 
 
 def _centroid_matrix(centroids: DataFrame):
-    rows = centroids.orderBy("cluster").collect()      # nlist rows: bounded by construction
+    rows = centroids.limit(MAX_CENTROIDS + 1).collect()   # broadcast, so the count is checked
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} clusters: their centroids are not broadcast")
+    rows.sort(key=lambda r: r["cluster"])
     ids = np.array([r["cluster"] for r in rows], dtype=np.int64)
     mat = np.array([r["centroid"] for r in rows], dtype=np.float64)
     return ids, mat
