@@ -12,7 +12,7 @@ symmetric difference, so linked sets lie within ``R`` of each other.  The join:
 4. a region that still holds several components and is large is cut into the Voronoi
    cells of several pivots, where a set joins each cell whose pivot is at most
    ``2 R`` farther than its nearest (triangle inequality); cells are cut again until they
-   are small or do not shrink;
+   are small, and a cut that copies too many sets is not used;
 5. small regions are joined directly, and those that cannot be cut in blocks of bounded
    size; only pairs of different components within ``R`` leave a task, and every pair
    is verified on the whole sets with integer arithmetic.
@@ -38,7 +38,9 @@ BUCKETS = 64
 #: A task reports a shingle as frequent from so many sets on; the table keeps the most frequent ones.
 LOCAL_FREQUENT, FREQUENT_SHINGLES = 4, 300_000
 #: Regions up to this size are joined directly; larger ones are cut by so many pivots.
-SMALL_REGION, PIVOTS, MAX_DEPTH = 512, 8, 4
+SMALL_REGION, PIVOTS, MAX_DEPTH = 2048, 8, 4
+#: A cut into cells is kept if boundary sets make its rows at most so many times as many.
+MOST_COPIES = 2
 
 
 class Threshold:
@@ -93,6 +95,8 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 def _set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``(id, n, print, sketch, heads)`` of every row: set size, fingerprint, bucket counts, region keys."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+    # region keys are as wide as the input needs: two shingles that share one only make a region larger
+    spare_bits = np.uint64(max(1, 64 - (docs.count().bit_length() + 18)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound, often = Threshold(percent), frequent.value
@@ -115,7 +119,7 @@ def _set_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     c = bound.size_class(n)
                     head = np.sort(order)[:max(own, up)]
                     keys = [shingles.mixed(head[:m] * np.uint64(2) + np.uint64(k * 0x9E3779B9 + 1)) for m, k in ((own, c), (up, c + 1))]
-                    heads.append(np.concatenate(keys).view(np.int64))
+                    heads.append((np.concatenate(keys) >> spare_bits).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints), pa.array(sketches, pa.binary()),
                                               pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "print", "sketch", "heads"])
 
@@ -146,8 +150,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "members"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    # an id that stands on several rows has one set, or it would not be one representative
-    members = written(docs.join(written(ids, "ids"), "id", "left_semi").mapInArrow(kernel, f"id {kind}, members binary").dropDuplicates(["id"]), "sets")
+    # rows repeated with their id repeat a pair, which does no harm
+    members = written(docs.join(written(ids, "ids"), "id", "left_semi").mapInArrow(kernel, f"id {kind}, members binary"), "sets")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,24 +201,16 @@ def _cells(regions: DataFrame, percent: int, depth: int) -> DataFrame:
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, cells = [], []
-            for row, (sketch, pivots_, top) in enumerate(zip(b["sketch"], b["pivots"], b["top"])):
-                if not len(pivots_):
-                    rows.append(row)
-                    cells.append(0)
-                    continue
-                d = _l1(_matrix(pd.Series([sketch])), _matrix(pd.Series(list(pivots_))))[0]
-                reach = 2 * ((100 - percent) * 2 * top // (100 + percent))
-                for cell in np.flatnonzero(d <= d.min() + reach).tolist():
-                    rows.append(row)
-                    cells.append(cell)
-            out = b.iloc[rows].drop(columns=["pivots"])
-            yield out.assign(cell=cells)
+            for _, part in b.groupby("region", sort=False):
+                centres, reach = part["pivots"].iloc[0], 2 * ((100 - percent) * 2 * part["top"].iloc[0] // (100 + percent))
+                d = _l1(_matrix(part["sketch"]), _matrix(pd.Series(list(centres)))) if len(centres) else np.zeros((len(part), 1))
+                row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
+                yield part.iloc[row].drop(columns=["pivots"]).assign(cell=cell)
 
     columns = ["region", "id", "n", "sketch", "component", "m", "top"]
     kinds = ", ".join(f"{c} {regions.schema[c].dataType.simpleString()}" for c in columns)
     cut = regions.select(columns).join(pivots, "region").mapInPandas(assign, f"{kinds}, cell long")
-    return cut.withColumn("region", F.xxhash64("region", "cell", F.lit(depth))).drop("cell")
+    return cut.withColumnRenamed("region", "parent").withColumn("region", F.xxhash64("parent", "cell", F.lit(depth))).drop("cell")
 
 
 def _direct(regions: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +259,8 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ``width``-word shingles (A-Z lower-cased); component_id is the smallest id reachable.
     A null or empty text, or one without words, has an empty set and its own component.  A
     row with a null id is not joined and has a null component.  Repeated rows share
-    theirs.  ``doc_id`` must be an integer.  Runs jobs before it returns.
+    theirs; different texts of one id are not told apart.  ``doc_id`` must be an integer.
+    Runs jobs before it returns.
     """
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     table = written(_set_table(docs, width, percent), "sets")
@@ -288,7 +285,12 @@ def link_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     for depth in range(MAX_DEPTH):
         if large.isEmpty():
             break
-        cut = written(_cells(large, percent, depth).drop("m", "top"), "cells")
+        cut = written(_cells(large, percent, depth), "cells")
+        useful = (cut.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.max("m").alias("m"), F.count_distinct("region").alias("cells"))
+                  .filter((F.col("rows") <= MOST_COPIES * F.col("m")) & (F.col("cells") > 1)).select("parent"))
+        useful = written(useful, "useful-cuts")
+        done = done.unionAll(large.join(useful.withColumnRenamed("parent", "region"), "region", "left_anti"))
+        cut = cut.join(useful, "parent", "left_semi").drop("parent", "m", "top")
         cut = written(cut.join(written(_open(cut), "open"), "region").select(rest.columns), "cells")
         done = done.unionAll(cut.filter(F.col("m") <= SMALL_REGION))
         large = cut.filter(F.col("m") > SMALL_REGION)
