@@ -34,7 +34,7 @@ from cartwheel.llm import shingles
 from cartwheel.llm.common import written
 from cartwheel.llm.components import components
 
-BUCKETS = 64
+BUCKETS, COARSE = 256, 64  # distances are first taken between sums of neighbouring buckets
 #: A task reports a shingle as frequent from so many sets on; the table keeps the most frequent ones.
 LOCAL_FREQUENT, FREQUENT_SHINGLES = 4, 300_000
 #: Regions up to this size are joined directly; larger ones are cut by so many pivots.
@@ -135,6 +135,11 @@ def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _coarse(matrix: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring buckets; distances between them are bounds as well."""
+    return matrix.reshape(len(matrix), COARSE, -1).sum(axis=2, dtype=np.int16)
+
+
 def _matrix(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BUCKETS).astype(np.int16)
 
@@ -203,7 +208,7 @@ def _cells(regions: DataFrame, percent: int, depth: int) -> DataFrame:
         for b in batches:
             for _, part in b.groupby("region", sort=False):
                 centres, reach = part["pivots"].iloc[0], 2 * ((100 - percent) * 2 * part["top"].iloc[0] // (100 + percent))
-                d = _l1(_matrix(part["sketch"]), _matrix(pd.Series(list(centres)))) if len(centres) else np.zeros((len(part), 1))
+                d = _l1(_coarse(_matrix(part["sketch"])), _coarse(_matrix(pd.Series(list(centres))))) if len(centres) else np.zeros((len(part), 1))
                 row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
                 yield part.iloc[row].drop(columns=["pivots"]).assign(cell=cell)
 
@@ -233,6 +238,7 @@ def _direct(regions: DataFrame, percent: int) -> DataFrame:
         part = part.sort_values(["tile", "id"], kind="stable")
         tile, side, cross, ids, n, component = (part[c].to_numpy() for c in ("tile", "side", "cross", "id", "n", "component"))
         sketch, a, b = _matrix(part["sketch"]), [], []
+        coarse = _coarse(sketch)
         here = np.arange(len(part))
         for offset in range(1, len(part)):
             here = here[here + offset < len(part)]
@@ -242,10 +248,12 @@ def _direct(regions: DataFrame, percent: int) -> DataFrame:
             x = here[(component[here] != component[here + offset]) & (~cross[here] | (side[here] != side[here + offset]))]
             y = x + offset
             x, y = x[good := (100 + percent) * np.abs(n[x] - n[y]) <= (100 - percent) * (n[x] + n[y])], y[good]
-            apart = np.abs(sketch[x] - sketch[y]).sum(axis=1)
-            good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-            a.append(ids[x[good]])
-            b.append(ids[y[good]])
+            for points in (coarse, sketch):
+                apart = np.abs(points[x] - points[y]).sum(axis=1)
+                good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+                x, y = x[good], y[good]
+            a.append(ids[x])
+            b.append(ids[y])
         a, b = (np.concatenate(v) if v else ids[:0] for v in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
