@@ -33,7 +33,7 @@ TYPES = {
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\+[0-9]{9,14}"
              r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "secret": r"[0-9a-f]{40}(?![\p{L}\p{N}])",
+    "secret": r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{48}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})(?![\p{L}\p{N}])",
     "name": rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?![\p{{L}}\p{{N}}])",
 }
 #: An entity starts where no letter or digit precedes (nor a sign that would belong to it).
@@ -147,7 +147,10 @@ def _formatted(kind: Column, entity: Column, made: Column) -> Column:
     title = F.regexp_extract(entity, r"\A\p{L}+\.? ", 0)
     gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.regexp_replace(entity, r"\A\p{L}+\.? ", ""), F.lit("[ -]"), F.lit(0)))
     name = F.concat(title, F.array_join(F.zip_with(gaps, made, lambda g, w: F.concat(g, F.initcap(w))), ""))
-    return F.when(kind == "name", name).when(kind.isin("card", "phone", "ssn"), digits).otherwise(made[0])
+    # a secret without lower-case letters stays so; in a mixed one every letter follows the character it stands for
+    mixed = F.array_join(F.zip_with(chars, F.split(made[0], ""), lambda c, m: F.when(c.rlike("[A-F]"), F.upper(m)).otherwise(m)), "")
+    secret = F.when(entity.rlike(r"\A[0-9A-F]*[A-F][0-9A-F]*\z"), F.upper(made[0])).otherwise(mixed)
+    return F.when(kind == "name", name).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "secret", secret).otherwise(made[0])
 
 
 def replacements(entities: DataFrame, key: str) -> DataFrame:

@@ -481,3 +481,25 @@ def test_private_data_of_the_documents_goes_and_the_rest_stays(documents, empty)
         held = set(found.findall(t or ""))
         assert not held & set(found.findall(out[k]["text"] or "")) and (held or out[k]["n_replaced"] or out[k]["text"] == t)
     assert pii.pseudonymise(empty, "k").count() == 0
+
+
+def test_secrets_go_in_any_case_and_usual_length(spark):
+    tokens = ["04dbebab91ab85687d33eeaaf9ac699e1188f962"[:n] if n < 40 else ("04dbebab91ab85687d33eeaaf9ac699e1188f962" * 4)[:n] for n in (32, 40, 48, 56, 64, 96, 128)]
+    texts = [f'a = "{t}", b = "{t.upper()}", c = "{t[:20].upper() + t[20:]}".' for t in tokens] + ["f" * 31, "F" * 41, "x" + "f" * 40]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    got = {r["doc_id"]: r for r in out}
+    for k, t in enumerate(tokens):
+        low, up, mixed = re.fullmatch(r'a = "([0-9a-f]+)", b = "([0-9A-F]+)", c = "(\w+)"\.', got[k]["text"]).groups()
+        assert low != t and len(low) == len(t) and up == low.upper() and mixed.lower() == low and mixed != low
+        assert got[k]["n_replaced"] == 3 and got[k]["pii_types"] == ["secret"]
+    assert [got[k]["text"] for k in range(len(tokens), len(texts))] == texts[len(tokens):]
+
+
+def test_upper_case_secrets_of_the_larger_table_go(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/documents.parquet").filter(F.col("text").rlike("(?i)(?<![0-9a-z_])[0-9a-f]{40}(?![0-9a-z])")).select("doc_id", "text")
+    secret = re.compile(r"(?<![0-9A-Za-z_])[0-9A-Fa-f]{40}(?![0-9A-Za-z])")
+    before = {r["doc_id"]: secret.findall(r["text"]) for r in docs.collect()}
+    after = {r["doc_id"]: secret.findall(r["text"]) for r in pii.pseudonymise(docs, "k").collect()}
+    assert {2514, 8743} <= set(before) == set(after)
+    for k, held in before.items():
+        assert not set(held) & set(after[k]) and [(x.isupper(), x.islower()) for x in held] == [(x.isupper(), x.islower()) for x in after[k]]
