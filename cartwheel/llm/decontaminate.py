@@ -5,7 +5,9 @@ A passage within ``k`` edits of an item of length ``m`` shares at least
 each other.  Shared q-grams of a document and the items are counted in overlapping
 diagonal bands (width 2 (k + 1), step k + 1, so any run of k + 1 diagonals lies whole in
 one band); bands that meet the bound are verified by banded alignment of the item with
-the region.  Items shorter than the bound allows are searched with a smaller q.
+the region.  Items shorter than the bound allows are searched with a smaller q.  Items too
+short for an edit must occur unedited and from word bound to word bound; whole items are
+looked up at all such places of the text.
 
 The items are the query set: they are read in blocks of bounded size, each sent to the
 tasks as sorted NumPy arrays, and every block is held against all documents in one pass.
@@ -14,7 +16,10 @@ No document ever moves except to report a hit.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +32,10 @@ BLOCK_CHARS = 4_000_000
 EDIT_SHARE = 0.05
 #: Length of the q-grams at most; q falls for short items until the bound is positive.
 Q = 12
-#: Items with fewer characters after normalisation are no evidence and are left out.
-MIN_CHARS = 30
+#: Characters that an item has at least after normalisation: only empty ones are no items.
+MIN_CHARS = 1
+#: Scripts written without spaces, where every character may begin a word.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,9 +193,60 @@ def exact(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return (0, low + at // 4, low + at // 4 + len(item)) if at >= 0 else None
 
 
+@lru_cache(maxsize=1)
+def _joining() -> np.ndarray:
+    """For every code point whether it makes one word with its neighbours: letters, digits, marks and the underscore."""
+    out = np.array([chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
+    out[ord("_")] = True
+    for low, high in _UNSPACED:
+        out[low:high + 1] = False
+    return out
+
+
+def word_bounds(code: np.ndarray) -> np.ndarray:
+    """For every position of a text, its end included, whether it lies not inside a word."""
+    joins = _joining()[code]
+    out = np.ones(len(code) + 1, bool)
+    out[1:-1] = ~(joins[1:] & joins[:-1])
+    return out
+
+
+class Short:
+    """Items of one length that allows no edit; they are found whole, as words of the text."""
+
+    def __init__(self, size: int, items: list[tuple[object, str]]):
+        self.size, self.keys = size, {}
+        for key, text in items:
+            self.keys.setdefault(text, []).append(key)
+        self.hash = np.unique(np.concatenate([gram_hashes(codes(text), size) for text in self.keys]))
+
+    def found(self, text: str, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[object, int]]:
+        """(item, position); ``h`` are the hashes of the text's grams of this size."""
+        spot = np.flatnonzero(bounds[:len(h)] & bounds[self.size:self.size + len(h)])
+        near = np.minimum(np.searchsorted(self.hash, h[spot]), len(self.hash) - 1)
+        for at in spot[self.hash[near] == h[spot]].tolist():
+            for key in self.keys.get(text[at:at + self.size], ()):
+                yield key, at
+
+
+def _is_short(text: str, share: float) -> bool:
+    """No edit is allowed, nor would be at the usual share: a strict ``share`` makes no long item short."""
+    return budget(len(text), share) == budget(len(text)) == 0
+
+
+def _shorts(rows: list[tuple[object, str]], share: float) -> list[Short]:
+    by_size: dict[int, list] = {}
+    for key, text in rows:
+        if _is_short(text, share):
+            by_size.setdefault(len(text), []).append((key, text))
+    return [Short(size, items) for size, items in sorted(by_size.items())]
+
+
 def _block(rows: list[tuple[object, str]], share: float, q: int) -> list[Block]:
     by_q: dict[tuple[int, int], list] = {}
     for key, text in rows:
+        if _is_short(text, share):
+            continue
         code = codes(text)
         k, own = budget(len(code), share), q
         while own > 1 and least_shared(len(code), k, own) < max(1, len(code) // 8):
@@ -219,7 +277,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """``(doc id, item id, n_edits, start, end, passage)`` for every item that a document holds.
 
     Offsets and passage refer to the normalised text (lower case, white space as one
-    space).  One row per document and item: the fewest edits, then the earliest.  Null
+    space).  One row per document and item: the fewest edits, then the earliest.  An item
+    too short for an edit is held where it neither begins nor ends inside a word.  Null
     and empty texts hold nothing and are no items; an empty benchmark gives no rows.
     Repeated documents report each for itself.  Reads the benchmark when called.
     """
@@ -227,22 +286,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     out = None
     for rows in _blocks(benchmark, item_id, item_text, block_chars):
         blocks = _block(rows, edit_share, q)
-        shared = docs.sparkSession.sparkContext.broadcast(blocks)  # at most block_chars characters of items
+        shared = docs.sparkSession.sparkContext.broadcast((blocks, _shorts(rows, edit_share)))  # at most block_chars characters of items
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            blocks, shorts = shared.value
             for batch in batches:
                 hits = []
                 for key, t in zip(batch[doc_id], batch["__text"]):
                     t = normal(t)
                     code = codes(t)
                     best: dict = {}
-                    hashes = {q_: gram_hashes(code, q_) for q_ in {block.q for block in shared.value}}
-                    for block in shared.value:
+                    hashes = {q_: gram_hashes(code, q_) for q_ in {block.q for block in blocks}}
+                    for block in blocks:
                         for k, low, high in block.bands(hashes[block.q]):
                             item, chars, edits = block.items[k]
                             got = exact(chars, code, low, high) or aligned(chars, code, low, high, edits)
                             if got and (item not in best or got < best[item]):
                                 best[item] = got
+                    bounds = word_bounds(code) if shorts else None
+                    for short in shorts:
+                        for item, a in short.found(t, gram_hashes(code, short.size), bounds):
+                            if item not in best or (0, a, a + short.size) < best[item]:
+                                best[item] = (0, a, a + short.size)
                     hits += [(key, item, e, a, b, t[a:b]) for item, (e, a, b) in best.items()]
                 if hits:
                     yield pd.DataFrame(hits, columns=[doc_id, item_id, "n_edits", "start", "end", "passage"])

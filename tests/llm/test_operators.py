@@ -433,6 +433,16 @@ def test_leaks_odd_rows(spark, clashing, empty):
     assert decontaminate.find_leaks(empty, benchmark).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "cat"), (2, "Two plus  two?"), (3, "x"), (4, "東京"), (5, "what is the capital of"), (6, "nineteen characters"), (7, " ")]
+    docs = [(1, "Concatenate, cats and a_cat."), (2, "A CAT, a cat"), (3, "so two plus\ntwo? four"), (4, "x"), (5, "xx x1"), (6, "私は東京にいる"),
+            (7, "say what is the kapital of it"), (8, "nineteen characterz, nineteen characters"), (9, None), (10, ""), (11, "cafe\u0301 x\u0301")]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["n_edits"], r["start"], r["passage"]) for r in got.collect()} == {
+        (2, 1): (0, 2, "cat"), (3, 2): (0, 3, "two plus two?"), (4, 3): (0, 0, "x"), (6, 4): (0, 2, "東京"),
+        (7, 5): (1, 4, "what is the kapital of"), (8, 6): (0, 21, "nineteen characters")}
+
+
 # ---- 10 personal data
 
 PRIVATE = [
