@@ -3,9 +3,11 @@
 A page becomes a row of text blocks in page order.  Every block gets two classifier
 costs, that of being called content and that of being called boilerplate, which become
 capacities to the two terminals; neighbours in page order and blocks of one parent are
-joined by smoothness edges.  The minimum cut of this graph is the labelling of least
-total cost, found by max-flow.  Pages are independent, so this is one pass without a
-shuffle; the work per page grows with its blocks.
+joined by smoothness edges.  Text length, link share, element names and words of class,
+id and role add to the costs; only the text of elements that never hold the main text
+(``SURE_TAGS``) is decided beforehand.  The minimum cut of this graph is the labelling of
+least total cost, found by max-flow.  Pages are independent, so this is one pass without
+a shuffle; the work per page grows with its blocks.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split())
 #: Blocks that stand in a row under one parent.
 LEAF = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th pre figcaption summary option legend".split())
+#: Elements whose text is never main text.
+SURE_TAGS = frozenset("aside button dialog footer head menu nav search select".split())
 #: Elements and words of class, id and role that speak for one label.
-BOILER_TAGS = frozenset("aside button dialog footer form head header menu nav search select".split())
+BOILER_TAGS = frozenset("form header".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary "
@@ -39,10 +43,18 @@ BOILER_WORDS = frozenset(
     "navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies "
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_WORDS = frozenset("article body content entry main post story".split())
+#: What follows such a word in a class name is not what the element is ("has-sidebar", "no-comments").
+_ABOUT_OTHERS = frozenset("has hide hides no show shows with without".split())
 _WORDS_IGNORED_ON = frozenset("html body main article".split())
 
 # Capacities.
 SURE = 100_000
+#: Of being called what an element's name or class words speak against.
+CONTENT_TAG, WORDS = 300, 60
+#: Of calling doubtful text content on a page that has other main text.
+ELSEWHERE = 150
+#: Characters of unlinked text from which a block of no side counts as such.
+PLAIN_TEXT = 100
 PARENT_EDGE = 40
 NEIGHBOUR_EDGE = 15
 
@@ -51,7 +63,10 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 
 
 class Block:
-    """Text of one block with the index of its parent element, its side (+1 content, -1 boilerplate, 0 unknown) and link characters."""
+    """Text of one block with the index of its parent element, its side and link characters.
+
+    The side is above 0 for content, below 0 for boilerplate, 0 if unknown; its size is the cost of the other label.
+    """
 
     __slots__ = ("links", "parent", "parts", "side", "text")
 
@@ -59,14 +74,29 @@ class Block:
         self.parent, self.side, self.parts, self.links, self.text = parent, side, [], 0, ""
 
 
-def _side(tag: str, attributes: str) -> int:
-    """What an element's name and attributes say of its text; 0: nothing."""
+def _speaks(name: str) -> int:
+    """What one class name, id or role says: -1, 0 or 1."""
     words: set[str] = set()
-    for _, value in _ATTRIBUTE.findall(attributes):
-        words.update(re.findall(r"[a-z]+", value.lower()))
-    if tag in BOILER_TAGS or tag not in _WORDS_IGNORED_ON and words & BOILER_WORDS:
-        return -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS and tag not in ("html", "body") else 0
+    for word in re.findall(r"[a-z]+", name):
+        if word in _ABOUT_OTHERS:
+            break
+        words.add(word)
+    return -1 if words & BOILER_WORDS else 1 if words & CONTENT_WORDS else 0
+
+
+def _side(tag: str, attributes: str) -> int:
+    """What an element's name and attributes say of its text; 0: nothing, or as much for as against."""
+    if tag in SURE_TAGS:
+        return -SURE
+    if tag in CONTENT_TAGS:
+        return CONTENT_TAG
+    if tag in BOILER_TAGS:
+        return -WORDS
+    if tag in _WORDS_IGNORED_ON:
+        return 0
+    said = {name: _speaks(name) for _, value in _ATTRIBUTE.findall(attributes) for name in value.strip("\"'").lower().split()}
+    total = sum(said.values())
+    return WORDS if total > 0 else -WORDS if total < 0 else 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -131,21 +161,19 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def costs(block: Block, has_content_part: bool) -> tuple[int, int]:
-    """(cost of calling it content, cost of calling it boilerplate)."""
-    if block.side:
-        return (0, SURE) if block.side > 0 else (SURE, 0)
+def costs(block: Block, elsewhere: bool) -> tuple[int, int]:
+    """(cost of calling it content, cost of calling it boilerplate); ``elsewhere``: the page has other text that is rather content."""
     size = len(block.text)
     linked = min(1.0, block.links / size)
-    content = round(200 * linked + (150 if has_content_part else 0))
-    return content, round((20 + min(size, 300) / 2) * (1 - linked))
+    content = round(200 * linked) + max(0, -block.side) + (ELSEWHERE if elsewhere and block.side <= 0 else 0)
+    return content, round((20 + min(size, 300) / 2) * (1 - linked)) + max(0, block.side)
 
 
 def min_cut(costs_: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
     """True for nodes labelled content in a minimum cut (of equal cuts, the one with most content).
 
     ``edges`` are (i, j, capacity) in both directions.  What a node could send straight
-    through is cancelled first; the rest is augmented along shortest paths.
+    through, or over one edge, is cancelled first; the rest is augmented along shortest paths.
     """
     n = len(costs_)
     excess = [boiler - content for content, boiler in costs_]  # above 0: tied to the content terminal
@@ -156,6 +184,13 @@ def min_cut(costs_: list[tuple[int, int]], edges: list[tuple[int, int, int]]) ->
         near[j].append(len(to) + 1)
         to += [j, i]
         room += [c, c]
+    for e in range(len(to)):
+        i, j = to[e ^ 1], to[e]
+        if excess[i] > 0 > excess[j] and (flow := min(excess[i], -excess[j], room[e])) > 0:
+            excess[i] -= flow
+            excess[j] += flow
+            room[e] -= flow
+            room[e ^ 1] += flow
     while True:
         # breadth first from all nodes with spare flow to the nearest node that still takes some
         came = [-2] * n
@@ -199,16 +234,17 @@ def min_cut(costs_: list[tuple[int, int]], edges: list[tuple[int, int, int]]) ->
 
 
 def graph(parts: list[Block]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Costs and smoothness edges of a page; an edge between two blocks whose sides are known cannot matter and is left out."""
+    """Costs and smoothness edges of a page."""
     found = any(b.side > 0 for b in parts)
+    plain = found or any(b.side == 0 and len(b.text) - b.links >= PLAIN_TEXT for b in parts)
     edges, last = [], {}
     for k, b in enumerate(parts):
-        if k and not (b.side and parts[k - 1].side):
+        if k:
             edges.append((k - 1, k, NEIGHBOUR_EDGE))
-        if (before := last.get(b.parent)) is not None and not (b.side and parts[before].side):
+        if (before := last.get(b.parent)) is not None:
             edges.append((before, k, PARENT_EDGE // (k - before)))
         last[b.parent] = k
-    return [costs(b, found) for b in parts], edges
+    return [costs(b, plain if b.side < 0 else found) for b in parts], edges
 
 
 def main_text(page: str | None) -> str:

@@ -375,6 +375,22 @@ def test_main_text_cases(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<nav>n</nav><div class='post has-sidebar'><h1>T</h1><p>One.</p><p>Two.</p></div><footer>f</footer>", "T\nOne.\nTwo."),
+    ("<nav>n</nav><div class='entry-content no-comments'><p>One.</p></div><div class='comments'><p>c</p></div>", "One."),
+    (f"<nav>n</nav><div class='sidebar-layout'><h1>A title</h1><p>{LONG[:400]}</p><p>Short.</p><p>{LONG[:400]}</p></div>", f"A title\n{LONG[:400]}\nShort.\n{LONG[:400]}"),
+    (f"<form id=form1><p>{LONG[:400]}</p><p>{LONG[:300]}</p></form>", f"{LONG[:400]}\n{LONG[:300]}"),
+    (f"<div><p>{LONG[:400]}</p></div><div class=comments><p>{LONG[:400]}</p></div>", LONG[:400]),
+    (f"<article><p>{LONG[:400]}</p></article><div class='comment-body'>{LONG[:400]}</div><nav><p>{LONG[:400]}</p></nav>", LONG[:400])])
+def test_class_words_are_weighed_and_decide_nothing_alone(page, want):
+    assert html_extract.main_text(page) == "\n".join(x.strip() for x in want.split("\n"))
+
+
+def test_minimum_cut_of_many_alternating_blocks():
+    label = html_extract.min_cut([(0, 300), (300, 0)] * 4000, [(k, k + 1, 15) for k in range(7999)])
+    assert label == [True, False] * 4000
+
+
 def test_extract_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep</p>"
     many = "<article>" + "".join(f"<p>Paragraph {k}.</p>" for k in range(4000)) + "</article>"
