@@ -30,6 +30,8 @@ TRAIN_ROWS = 6_000
 MIN_COUNT = 2
 #: Unseen words whose backoff score a task remembers.
 MEMO_WORDS = 400_000
+#: Letters of a text that the model must know at least, as a share, for the text to be in a learned language.
+MIN_KNOWN = 0.5
 UNKNOWN = "und"
 
 
@@ -137,6 +139,20 @@ class Scorer:
         self.index[word] = at
         return at
 
+    def _known_part(self, word: str) -> float:
+        """The share of an unseen word's letter pairs, its bounds included, that are known."""
+        pairs = grams(word, 2)
+        return sum(f"2{g}" in self.model.grams for g in pairs) / len(pairs)
+
+    def known(self, text: str | None) -> float:
+        """The share of a text's letters that lie in known words, or in known letter pairs of unseen ones."""
+        found = words(text) if text else []
+        if not found:
+            return 0.0
+        total = sum(map(len, found))
+        unseen = Counter(w for w in found if w not in self.model.words)
+        return 1.0 - sum(n * len(w) * (1.0 - self._known_part(w)) for w, n in unseen.items()) / total
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text) if text else []
         if not found or not self.model.langs:
@@ -161,6 +177,16 @@ def _guessed(df: DataFrame, model: Model, text: str) -> DataFrame:
     return df.withColumn("__guess", guess(F.col(text)))
 
 
+def _judged(df: DataFrame, model: Model, text: str) -> DataFrame:
+    @F.pandas_udf("lang_pred string, score double, known double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield pd.DataFrame([(*scorer.predict(t), scorer.known(t)) for t in batch], columns=["lang_pred", "score", "known"])
+
+    return df.withColumn("__guess", judge(F.col(text)))
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (share of the likelihood, 0 to 1); columns of these names are replaced.
 
@@ -175,10 +201,14 @@ def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")), F.lit(folds)) == fold
 
 
-def keep_known(df: DataFrame, model: Model, langs: list[str] | None = None, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows, with their own columns, whose predicted language is a learned one (or in ``langs``)."""
+def keep_known(df: DataFrame, model: Model, langs: list[str] | None = None, min_score: float = 0.0, text: str = "text", min_known: float = MIN_KNOWN) -> DataFrame:
+    """Rows, with their own columns, whose predicted language is a learned one (or in ``langs``).
+
+    A text of whose letters the model knows less than ``min_known`` (``Scorer.known``), one
+    in another script say, is in no learned language.
+    """
     lang, score = F.col("__guess.lang_pred"), F.col("__guess.score")
-    good = (lang != UNKNOWN) & (score >= min_score)
+    good = (lang != UNKNOWN) & (score >= min_score) & (F.col("__guess.known") >= min_known)
     if langs is not None:
         good = good & lang.isin(langs)
-    return _guessed(df, model, text).filter(good).drop("__guess")
+    return _judged(df, model, text).filter(good).drop("__guess")

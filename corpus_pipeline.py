@@ -19,7 +19,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; those without a letter or a known language go."""
+    """Documents in a language that the labelled rows teach; those without a letter, or whose letters the model mostly does not know, go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 

@@ -242,6 +242,13 @@ def test_language_odd_rows_and_backoff(clashing, empty, documents):
     assert "unglichkeitschung" not in model.words
 
 
+def test_documents_in_unknown_scripts_go_and_the_given_stay(spark, documents):
+    foreign = ["Это предложение написано по-русски.", "这是一个中文句子。", "यह एक वाक्य है", "Αυτό είναι ελληνικό κείμενο, Microsoft", "هذه جملة عربية"]
+    docs = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(foreign)], "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    kept = {r["doc_id"] for r in langid.keep_known(docs, langid.fit(documents)).collect()}
+    assert kept == {r["doc_id"] for r in documents.collect() if langid.words(r["text"] or "")}
+
+
 def test_fold_is_crc32(spark):
     import zlib
     got = rows(spark.range(50).select("id", langid.held_out("id")))
