@@ -24,8 +24,8 @@ from cartwheel.llm.common import without
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: n-gram lengths of the backoff, longest first.
 GRAMS = (5, 4, 3, 2, 1)
-#: The classifier is fitted on about so many labelled rows, chosen by a hash of their key.
-TRAIN_ROWS = 6_000
+#: The classifier is fitted on about so many labelled rows of each language at most, chosen by a hash of their key.
+TRAIN_ROWS = 1_500
 #: Words and n-grams seen less often in the sample are left to the backoff.
 MIN_COUNT = 2
 #: Unseen words whose backoff score a task remembers.
@@ -66,14 +66,18 @@ def _rows(counts: dict[str, np.ndarray], totals: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from rows whose language is known, about ``train_rows`` of them at most.
+    """Learn from rows whose language is known, about ``train_rows`` of each language at most.
 
     Rows with a null language or text teach nothing.  The sample is chosen by a hash of
-    the key, so it does not depend on the partitioning.
+    the key, so it does not depend on the partitioning.  Frequencies are taken within each
+    language, so how many rows of it are drawn gives it no weight.
     """
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("k"))
-    n = known.count()
-    keep = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(n, 1)) * (1 << 30)) + 1
+    sizes = known.groupBy("lang").count().collect()  # a row for each language
+    if not sizes:
+        return Model([], word_rows=np.zeros((0, 0)), gram_rows=np.zeros((0, 0)))
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, train_rows / r["count"]) * (1 << 30)) + 1)])
+    keep = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.element_at(limits, F.col("lang"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}

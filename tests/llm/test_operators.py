@@ -249,6 +249,14 @@ def test_documents_in_unknown_scripts_go_and_the_given_stay(spark, documents):
     assert kept == {r["doc_id"] for r in documents.collect() if langid.words(r["text"] or "")}
 
 
+def test_rare_languages_are_learned_at_every_size(spark):
+    rows_ = [(k, f"the quick brown fox and the lazy dog {k}", "en") for k in range(3000)] + [(3000 + k, "szybki brązowy lis skacze nad leniwym psem", "pl") for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), train_rows=40)
+    assert model.langs == ["en", "pl"]
+    scorer = langid.Scorer(model)
+    assert scorer.predict("leniwym lisem")[0] == "pl" and scorer.predict("the dog")[0] == "en"
+
+
 def test_fold_is_crc32(spark):
     import zlib
     got = rows(spark.range(50).select("id", langid.held_out("id")))
