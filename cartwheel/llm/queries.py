@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartwheel.llm import decontaminate, exact_dedup, html_extract, jaccard_join, langid, mixing, pii, suffix_dedup, token_count, url_filter
-from cartwheel.llm.common import shared_path, table
+from cartwheel.llm import (decontaminate, exact_dedup, html_extract, jaccard_join, langid, minhash, mixing, pii, spelling, suffix_dedup, token_align, token_count,
+                           url_filter)
+from cartwheel.llm.common import shared_path, table, written
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 PII_KEY = "cartwheel-example-key"
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, OTHER_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +69,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_replaced", "pii_types")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_align.align(docs, *(str(public_tokenizers.path(t)) for t in (TOKENIZER, OTHER_TOKENIZER)))
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "links", digest), "aligned")
+    scored = token_align.score_links(aligned, token_align.link_counts(aligned))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_exact_dedup, op7_mixing,
-                                    op8_html_extraction, op9_decontamination, op10_pii)}
+                                    op8_html_extraction, op9_decontamination, op10_pii, op11_spelling_variants, op12_minhash_dedup, op13_token_alignment)}
