@@ -9,8 +9,9 @@
    against signature, then set against set.  Links are contracted by alternating
    large-star and small-star.
 4. Buckets whose other members still lie in several components are compared member by
-   member in blocks of bounded size; only pairs of different components with
-   signatures that agree enough leave a task, and they are verified on the full sets.
+   member in blocks of bounded size: by signature, then, for members that agree with
+   one of another component, by full sets.  Only links that join two components leave a
+   task, so a block of n members gives fewer than n rows.
 
 No bucket is dropped or cut short, and pairs inside a component are never listed.
 """
@@ -118,26 +119,27 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets meet the threshold."""
-    kind = docs.schema["id"].dataType.simpleString()
-    pairs = written(pairs.distinct(), "near-pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "near-ids")
-
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(id, members)``: the full sets of the named ids."""
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in shingles.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([s.tobytes() for s in shingles.sets(part, width)], pa.binary())], ["id", "members"])
 
-    sets = written(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(members, f"id {kind}, members binary"), "near-sets")
+    rows = docs.join(written(ids, "near-ids"), "id", "left_semi").select("id", "text")
+    return written(rows.mapInArrow(members, f"id {docs.schema['id'].dataType.simpleString()}, members binary"), "near-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets meet the threshold."""
+    kind = docs.schema["id"].dataType.simpleString()
+    pairs = written(pairs.distinct(), "near-pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), docs, width)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            good = [bool(_linked(np.frombuffer(x.as_buffer(), np.uint64), [np.frombuffer(y.as_buffer(), np.uint64)], percent)[0])
+                    for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     held = (pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
@@ -145,11 +147,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(held.select("a", "b", "x", "y").mapInArrow(linked, f"a {kind}, b {kind}"), "near-links")
 
 
-def _rest_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket, neither its pivot, with signatures that agree in enough places.
+def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of each of the other sets, whether it is linked with the one."""
+    sizes = np.array([len(x) for x in others])
+    if not len(one) or not sizes.all():
+        return np.array([len(one) > 0 and len(x) > 0 and bool(_linked(one, [x], percent)[0]) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * both >= percent * (len(one) + sizes - both)
 
-    Buckets with the same members are compared once.  A bucket is cut into blocks, and a
-    group of rows holds two blocks at most.
+
+def _tiles(buckets: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks of the buckets whose members, without the pivot, lie in several components.
+
+    Buckets with the same members are taken once.  A bucket is cut into blocks, and a tile
+    holds two of them at most.
     """
     rest = (buckets.filter("id <> pivot").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     rest = written(rest, "near-rest")
@@ -158,30 +171,63 @@ def _rest_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, percent:
              .filter("lo <> hi").dropDuplicates(["m", "h", "g"]).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     open_ = written(open_, "near-open")
     own = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")
-    # the low bytes of the minima: equal minima have equal bytes, so nothing that could link is lost
-    light = _low_bytes(nodes)
     tiles = (rest.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.col("own").alias("side"),
-                     (F.col("own") != F.col("other")).alias("across"), "id", "component").join(light, "id"))
-    tiles = written(tiles, "near-tiles")
-    tasks = max(1, tiles.count() // 4096)
-    least, kind = least_agreement(percent), nodes.schema["id"].dataType.simpleString()
+                     (F.col("own") != F.col("other")).alias("across"), "id", "component"))
+    # the low bytes of the minima: equal minima have equal bytes, so nothing that could link is lost
+    return written(tiles.join(_low_bytes(nodes), "id").select("tile", "side", "across", "id", "component", "low"), "near-tiles")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, t in part.groupby("tile", sort=False):
-            ids, component, side, across = (t[c].to_numpy() for c in ("id", "component", "side", "across"))
-            low = np.frombuffer(b"".join(t["low"]), np.uint8).reshape(len(t), HASHES)
-            for k in range(len(t) - 1):
-                later = np.arange(k + 1, len(t))
-                later = later[(component[later] != component[k]) & (~across[k] | (side[later] != side[k]))]
+
+def _candidates(tile: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a tile with the later ones of other components (and blocks) whose minima agree often enough."""
+    component, side, across = (tile[c].to_numpy() for c in ("component", "side", "across"))
+    low = np.frombuffer(b"".join(tile["low"]), np.uint8).reshape(len(tile), HASHES)
+    for k in range(len(tile) - 1):
+        later = np.arange(k + 1, len(tile))
+        later = later[(component[later] != component[k]) & (~across[k] | (side[later] != side[k]))]
+        if len(later):
+            later = later[(low[later] == low[k]).sum(axis=1) >= least]
+            if len(later):
+                yield k, later
+
+
+def _rest_links(tiles: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links between different components inside the tiles, at most one fewer than a tile has members.
+
+    Members that agree with none of another component go first, without their sets.  Of the
+    others full sets are compared where they are, and links that close a circle stay there.
+    """
+    least, kind = least_agreement(percent), docs.schema["id"].dataType.simpleString()
+    size = F.pmod("tile", F.lit(max(1, tiles.count() // 2048)))
+
+    def paired(part: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for _, tile in part.groupby("tile", sort=False):
+            met = np.zeros(len(tile), bool)
+            for k, later in _candidates(tile, least):
+                met[k] = met[later] = True
+            kept.append(tile[met])
+        return pd.concat(kept)
+
+    close = written(tiles.groupBy(size.alias("task")).applyInPandas(paired, tiles.schema), "near-close")
+    sets = _sets_of(close.select("id").distinct(), docs, width)
+
+    def contract(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, tile in part.groupby("tile", sort=False):
+            ids, members = tile["id"].to_numpy(), [np.frombuffer(m, np.uint64) for m in tile["members"]]
+            group = pd.factorize(tile["component"])[0]
+            for k, later in _candidates(tile, least):
+                later = later[group[later] != group[k]]
                 if len(later):
-                    later = later[(low[later] == low[k]).sum(axis=1) >= least]
-                    found.append((np.minimum(ids[later], ids[k]), np.maximum(ids[later], ids[k])))
-        a, b = (np.concatenate(v) for v in zip(*found)) if found else (part["id"].to_numpy()[:0],) * 2
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                    for m in later[_linked(members[k], [members[m] for m in later], percent)]:
+                        if group[m] != group[k]:
+                            group[group == group[m]] = group[k]
+                            a.append(ids[k])
+                            b.append(ids[m])
+        return pd.DataFrame({"a": np.array(a, ids.dtype) if a else part["id"].to_numpy()[:0], "b": np.array(b, ids.dtype) if a else part["id"].to_numpy()[:0]})
 
-    return tiles.groupBy(F.pmod("tile", F.lit(tasks)).alias("task")).applyInPandas(compare, f"a {kind}, b {kind}")
+    return written(close.join(sets, "id").groupBy(size.alias("task")).applyInPandas(contract, f"a {kind}, b {kind}"), "near-links")
 
 
 def _low_bytes(nodes: DataFrame) -> DataFrame:
@@ -223,7 +269,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     buckets = written(keys.join(written(shared, "near-keys"), "key"), "near-buckets")
 
     links = _verified(_agreeing(buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), nodes, percent), docs, width, percent)
-    more = _verified(_rest_pairs(buckets, written(star_components(links), "near-label"), nodes, percent), docs, width, percent)
+    more = _rest_links(_tiles(buckets, written(star_components(links), "near-label"), nodes), docs, width, percent)
     label = written(star_components(links.unionAll(more).unionAll(own)), "near-label")
 
     member = led.select("id", "n", "lead").join(_salted(label), (F.col("lead") == F.col("node")) & (salt == F.col("salt")), "left").select("id", "n", F.coalesce("component", "lead").alias("component"))
