@@ -30,13 +30,27 @@ from pyspark.sql import types as T
 from cartwheel.llm.common import without, written
 
 #: Units a task remembers before it starts afresh, and the longest unit that it remembers.
-MEMO_UNITS, MEMO_CHARS = 1_000_000, 100
+MEMO_UNITS, MEMO_CHARS = 250_000, 100
 #: Characters of a text that are divided into units at a time, and links that a task counts at a time.
 BLOCK_CHARS, TASK_LINKS = 1 << 20, 4_000_000
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[\s\S])")
+_JOINED = re.compile(r"[\s\S]*[!-~\w]")  # a unit behind which a space is always a cut
 
 
-class JsonTokens:
+class _Tokens:
+    """The bytes of every id."""
+
+    def _keep(self, known: dict[int, bytes]) -> None:
+        self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.lengths = [len(t) for t in self.bytes]
+        self.sizes = np.array(self.lengths)
+        self.decimal = [str(i) for i in range(len(self.bytes))]
+
+    def join(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes[i] for i in ids])
+
+
+class JsonTokens(_Tokens):
     """Byte-level tokens of a file of the ``tokenizers`` library; special strings are plain text."""
 
     def __init__(self, path: str):
@@ -52,7 +66,7 @@ class JsonTokens:
         self.tokenizer.encode_special_tokens = True
         back = {c: b for b, c in byte_letters().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocabulary.items()}
+        self._keep({i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocabulary.items()})
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -62,7 +76,7 @@ class JsonTokens:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
-class ModelTokens:
+class ModelTokens(_Tokens):
     """Pieces of a SentencePiece model that puts a space before every text; units begin with that space."""
 
     def __init__(self, path: str):
@@ -70,7 +84,7 @@ class ModelTokens:
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
-        self.bytes = {i: bytes([int(t[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)}
+        self._keep({i: bytes([int(t[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)})
         self.by_unit = not any(re.search("[^▁]▁", t) for t in pieces)
 
     def encode(self, units: list[str]) -> list[list[int]]:
@@ -83,12 +97,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
 
 
-def _from_middle(lo: int, hi: int) -> Iterator[int]:
-    mid = (lo + hi) // 2
-    for d in range(hi - lo):
-        yield mid + d // 2 if d % 2 == 0 else mid - d // 2 - 1
-
-
 def common_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places ``(i, j)`` where the increasing byte ends a[i] and b[j] agree, by divide and conquer.
 
@@ -98,15 +106,19 @@ def common_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     cuts, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         alo, ahi, blo, bhi = todo.pop()
-        if blo >= bhi:
-            continue
-        for i in _from_middle(alo, ahi):
+        mid = (alo + ahi) // 2
+        for d in range(ahi - alo if blo < bhi else 0):  # mid, mid - 1, mid + 1, mid - 2, ...
+            i = mid - (d + 1) // 2 if d & 1 else mid + d // 2
             j = bisect_left(b, a[i], blo, bhi)
             if j < bhi and b[j] == a[i]:
                 cuts.append((i, j))
-                todo += [(alo, i, blo, j), (i + 1, ahi, j + 1, bhi)]
+                if alo < i and blo < j:
+                    todo.append((alo, i, blo, j))
+                if i + 1 < ahi and j + 1 < bhi:
+                    todo.append((i + 1, ahi, j + 1, bhi))
                 break
-    return sorted(cuts)
+    cuts.sort()
+    return cuts
 
 
 class Aligner:
@@ -117,22 +129,45 @@ class Aligner:
         self.by_unit = self.a.by_unit and self.b.by_unit
         self.memo: dict[str, tuple | None] = {}
 
+    def _unit(self, a: list[int], b: list[int]) -> tuple:
+        """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same; the last ones end together."""
+        text = self.a.decimal, self.b.decimal
+        if len(a) == 1 or len(b) == 1:
+            return ",".join([text[0][t] for t in a]) + "|" + ",".join([text[1][t] for t in b]), len(a), len(b), (a[-1] << 32 | b[-1],)
+        size_a, size_b = self.a.lengths, self.b.lengths
+        cuts = common_cuts(list(accumulate([size_a[t] for t in a[:-1]])), list(accumulate([size_b[t] for t in b[:-1]])))
+        cuts.append((len(a) - 1, len(b) - 1))
+        a_text, b_text = [text[0][t] for t in a], [text[1][t] for t in b]
+        groups, x, y = [], 0, 0
+        for i, j in cuts:
+            groups.append(",".join(a_text[x:i + 1]) + "|" + ",".join(b_text[y:j + 1]))
+            x, y = i + 1, j + 1
+        return ";".join(groups), len(a), len(b), tuple([a[i] << 32 | b[j] for i, j in cuts])
+
+    def _apart(self, units: list[str]) -> list[tuple | None]:
+        """Each unit by itself; None where a tokenizer does not give back the bytes of space and unit."""
+        both = zip(units, self.a.encode([" " + u for u in units]), self.b.encode([" " + u for u in units]))
+        return [self._unit(a, b) if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
+
+    def _together(self, units: list[str]) -> list[tuple | None]:
+        """The units as one text with spaces between them, which both tokenizers cut there."""
+        text = " " + " ".join(units)
+        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
+        ends = list(accumulate([len(u.encode()) + 1 for u in units]))
+        if self.a.join(a) == text.encode() == self.b.join(b):
+            cuts = [np.searchsorted(np.cumsum(side.sizes[ids]), ends) + 1 for side, ids in ((self.a, np.array(a)), (self.b, np.array(b)))]
+            out, x, y = [], 0, 0
+            for i, j in zip(*(c.tolist() for c in cuts)):
+                out.append(self._unit(a[x:i], b[y:j]))
+                x, y = i, j
+            return out
+        return self._apart(units)
+
     def _align(self, units: list[str]) -> list[tuple | None]:
-        """Of each unit ``(groups, n_a, n_b, links)``; None where a tokenizer does not give back the bytes of space and unit."""
-        out = []
-        for unit, a, b in zip(units, self.a.encode([" " + u for u in units]), self.b.encode([" " + u for u in units])):
-            own = (" " + unit).encode()
-            in_a, in_b = [self.a.bytes[t] for t in a], [self.b.bytes[t] for t in b]
-            if b"".join(in_a) != own or b"".join(in_b) != own:
-                out.append(None)
-                continue
-            cuts = common_cuts(list(accumulate(map(len, in_a))), list(accumulate(map(len, in_b))))
-            groups, x, y = [], 0, 0
-            for i, j in cuts:
-                groups.append(",".join(map(str, a[x:i + 1])) + "|" + ",".join(map(str, b[y:j + 1])))
-                x, y = i + 1, j + 1
-            out.append((";".join(groups), len(a), len(b), [a[i] << 32 | b[j] for i, j in cuts]))
-        return out
+        joined = [bool(_JOINED.fullmatch(u)) for u in units]
+        together = iter(self._together([u for u, j in zip(units, joined) if j]) if any(joined) else ())
+        apart = iter(self._apart([u for u, j in zip(units, joined) if not j]))
+        return [next(together if j else apart) for j in joined]
 
     def align(self, text: str) -> tuple[int, int, list[int], str]:
         """``(n_a, n_b, links, groups)`` of a text; zeros and nothing for one without tokens."""
@@ -151,7 +186,7 @@ class Aligner:
                     del self.memo[u]
         if not self.by_unit or None in found:
             # the bytes may still agree over the whole text
-            found = self._align([text]) if text else []
+            found = self._apart([text]) if text else []
         if not found or None in found:
             return 0, 0, [], ""
         return sum(f[1] for f in found), sum(f[2] for f in found), list(chain.from_iterable(f[3] for f in found)), ";".join([f[0] for f in found])
@@ -193,9 +228,10 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFr
         aligner = Aligner(path_a, path_b)
         for batch in batches:
             lo, size, done = 0, 0, []
-            for hi, content in enumerate(batch.column(place).to_pylist(), 1):
-                done.append(aligner.align(content or ""))
-                size += len(content or "")
+            for hi, content in enumerate(batch.column(place), 1):
+                content = content.as_py() or ""
+                done.append(aligner.align(content))
+                size += len(content)
                 if size > BLOCK_CHARS or hi == batch.num_rows:  # long texts: few to a batch
                     a, b, links, groups = zip(*done)
                     n = pa.array([len(v) for v in links], pa.int64())
