@@ -119,15 +119,18 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(id, members)``: the full sets of the named ids."""
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int, sketched: bool = False) -> DataFrame:
+    """``(id, members, low)``: the full sets of the named ids, and on demand the low bytes of their minima."""
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in shingles.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([s.tobytes() for s in shingles.sets(part, width)], pa.binary())], ["id", "members"])
+                found = shingles.sets(part, width)
+                low = [s.tobytes() for s in (signatures(found) & np.uint32(255)).astype(np.uint8)] if sketched else [None] * len(found)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(low, pa.binary())],
+                                                 ["id", "members", "low"])
 
     rows = docs.join(written(ids, "near-ids"), "id", "left_semi").select("id", "text")
-    return written(rows.mapInArrow(members, f"id {docs.schema['id'].dataType.simpleString()}, members binary"), "near-sets")
+    return written(rows.mapInArrow(members, f"id {docs.schema['id'].dataType.simpleString()}, members binary, low binary"), "near-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -158,7 +161,7 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _tiles(buckets: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+def _tiles(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """Blocks of the buckets whose members, without the pivot, lie in several components.
 
     Buckets with the same members are taken once.  A bucket is cut into blocks, and a tile
@@ -174,8 +177,7 @@ def _tiles(buckets: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
     tiles = (rest.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.col("own").alias("side"),
                      (F.col("own") != F.col("other")).alias("across"), "id", "component"))
-    # the low bytes of the minima: equal minima have equal bytes, so nothing that could link is lost
-    return written(tiles.join(_low_bytes(nodes), "id").select("tile", "side", "across", "id", "component", "low"), "near-tiles")
+    return written(tiles, "near-tiles")
 
 
 def _candidates(tile: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,23 +196,13 @@ def _candidates(tile: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarra
 def _rest_links(tiles: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links between different components inside the tiles, at most one fewer than a tile has members.
 
-    Members that agree with none of another component go first, without their sets.  Of the
-    others full sets are compared where they are, and links that close a circle stay there.
+    Members meet by the low bytes of their minima (equal minima have equal bytes, so
+    nothing that could link is lost), and those that agree by their full sets.  Links
+    that close a circle stay in the task.
     """
     least, kind = least_agreement(percent), docs.schema["id"].dataType.simpleString()
     size = F.pmod("tile", F.lit(max(1, tiles.count() // 2048)))
-
-    def paired(part: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for _, tile in part.groupby("tile", sort=False):
-            met = np.zeros(len(tile), bool)
-            for k, later in _candidates(tile, least):
-                met[k] = met[later] = True
-            kept.append(tile[met])
-        return pd.concat(kept)
-
-    close = written(tiles.groupBy(size.alias("task")).applyInPandas(paired, tiles.schema), "near-close")
-    sets = _sets_of(close.select("id").distinct(), docs, width)
+    sets = _sets_of(tiles.select("id").distinct(), docs, width, sketched=True)
 
     def contract(part: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -227,16 +219,7 @@ def _rest_links(tiles: DataFrame, docs: DataFrame, width: int, percent: int) ->
                             b.append(ids[m])
         return pd.DataFrame({"a": np.array(a, ids.dtype) if a else part["id"].to_numpy()[:0], "b": np.array(b, ids.dtype) if a else part["id"].to_numpy()[:0]})
 
-    return written(close.join(sets, "id").groupBy(size.alias("task")).applyInPandas(contract, f"a {kind}, b {kind}"), "near-links")
-
-
-def _low_bytes(nodes: DataFrame) -> DataFrame:
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = (_matrix(batch.column(1).to_pylist()) & np.uint32(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in low], pa.binary())], ["id", "low"])
-
-    return nodes.select("id", "signature").mapInArrow(kernel, f"id {nodes.schema['id'].dataType.simpleString()}, low binary")
+    return written(tiles.join(sets, "id").groupBy(size.alias("task")).applyInPandas(contract, f"a {kind}, b {kind}"), "near-links")
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -269,7 +252,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     buckets = written(keys.join(written(shared, "near-keys"), "key"), "near-buckets")
 
     links = _verified(_agreeing(buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), nodes, percent), docs, width, percent)
-    more = _rest_links(_tiles(buckets, written(star_components(links), "near-label"), nodes), docs, width, percent)
+    more = _rest_links(_tiles(buckets, written(star_components(links), "near-label")), docs, width, percent)
     label = written(star_components(links.unionAll(more).unionAll(own)), "near-label")
 
     member = led.select("id", "n", "lead").join(_salted(label), (F.col("lead") == F.col("node")) & (salt == F.col("salt")), "left").select("id", "n", F.coalesce("component", "lead").alias("component"))
