@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 
 from cartwheel.llm.common import without, written
 
-#: Units a task remembers before it starts afresh, and the longest unit that it remembers.
-MEMO_UNITS, MEMO_CHARS = 250_000, 100
+#: Units a task gathers before it forgets older ones, the longest unit it remembers, and the most tokens of which it remembers the cuts.
+MEMO_UNITS, MEMO_CHARS, MEMO_TOKENS = 130_000, 100, 16
 #: Characters of a text that are divided into units at a time, and links that a task counts at a time.
-BLOCK_CHARS, TASK_LINKS = 1 << 20, 4_000_000
+BLOCK_CHARS, TASK_LINKS = 1 << 20, 1_000_000
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[\s\S])")
 _JOINED = re.compile(r"[\s\S]*[!-~\w]")  # a unit behind which a space is always a cut
 
@@ -127,7 +127,10 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = tokens(path_a), tokens(path_b)
         self.by_unit = self.a.by_unit and self.b.by_unit
+        # units seen lately, and those seen before the memory was last full
         self.memo: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
+        self.shapes: dict[tuple, list[tuple[int, int]]] = {}
 
     def _unit(self, a: list[int], b: list[int]) -> tuple:
         """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same; the last ones end together."""
@@ -135,8 +138,12 @@ class Aligner:
         if len(a) == 1 or len(b) == 1:
             return ",".join([text[0][t] for t in a]) + "|" + ",".join([text[1][t] for t in b]), len(a), len(b), (a[-1] << 32 | b[-1],)
         size_a, size_b = self.a.lengths, self.b.lengths
-        cuts = common_cuts(list(accumulate([size_a[t] for t in a[:-1]])), list(accumulate([size_b[t] for t in b[:-1]])))
-        cuts.append((len(a) - 1, len(b) - 1))
+        sizes = tuple([size_a[t] for t in a]), tuple([size_b[t] for t in b])
+        cuts = self.shapes.get(sizes)
+        if cuts is None:  # where the cuts lie depends on the tokens' sizes alone; the last ends are common anyhow
+            cuts = [*common_cuts(list(accumulate(sizes[0][:-1])), list(accumulate(sizes[1][:-1]))), (len(a) - 1, len(b) - 1)]
+            if len(a) < MEMO_TOKENS and len(self.shapes) < MEMO_UNITS:
+                self.shapes[sizes] = cuts
         a_text, b_text = [text[0][t] for t in a], [text[1][t] for t in b]
         groups, x, y = [], 0, 0
         for i, j in cuts:
@@ -174,11 +181,12 @@ class Aligner:
         found: list[tuple | None] = []
         for block in _blocks(text) if self.by_unit else ():
             units = _CUT.split(block)
-            new = list({u for u in units if u not in self.memo})
+            new = {u for u in units if u not in self.memo}
             if new:
                 if len(self.memo) > MEMO_UNITS:
-                    self.memo.clear()
-                    new = list(set(units))
+                    self.before, self.memo, new = self.memo, {}, set(units)
+                self.memo.update((u, self.before[u]) for u in new if u in self.before)
+                new = [u for u in new if u not in self.before]
                 self.memo.update(zip(new, self._align(new)))
             found += map(self.memo.__getitem__, units)
             for u in new:
@@ -276,12 +284,13 @@ def score_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link, count, best = table.value
-        for batch in batches:
-            held = batch.column(place)
-            ends = np.cumsum(np.concatenate([[0], held.value_lengths().to_numpy(zero_copy_only=False)]))
-            at = np.searchsorted(link, held.flatten().to_numpy())
-            sums = [np.concatenate([[0], np.cumsum(v[at].astype(np.int64))]) for v in (best, count)]
-            added = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + added, names)
+        for whole in batches:
+            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):  # many links a row: few rows at a time
+                held = batch.column(place)
+                ends = np.cumsum(np.concatenate([[0], held.value_lengths().to_numpy(zero_copy_only=False)]))
+                at = np.searchsorted(link, held.flatten().to_numpy())
+                sums = [np.concatenate([[0], np.cumsum(v[at].astype(np.int64))]) for v in (best, count)]
+                added = [pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + added, names)
 
     return aligned.mapInArrow(kernel, T.StructType(rows.schema.fields + [T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]))
