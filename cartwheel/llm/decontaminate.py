@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,6 +273,32 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) ->
         yield block
 
 
+def _search(text: str, blocks: list[Block], shorts: list) -> tuple[str, dict]:
+    """The normalised text and, of each item that it holds, ``(n_edits, start, end)``."""
+    t = normal(text)
+    code = codes(t)
+    best: dict = {}
+    hashes = {q: gram_hashes(code, q) for q in {block.q for block in blocks}}
+    for block in blocks:
+        for k, low, high in block.bands(hashes[block.q]):
+            item, chars, edits = block.items[k]
+            got = exact(chars, code, low, high) or aligned(chars, code, low, high, edits)
+            if got and (item not in best or got < best[item]):
+                best[item] = got
+    bounds = word_bounds(code) if shorts else None
+    for short in shorts:
+        for item, a in short.found(t, gram_hashes(code, short.size), bounds):
+            if item not in best or (0, a, a + short.size) < best[item]:
+                best[item] = (0, a, a + short.size)
+    return t, best
+
+
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, edit_share: float, q: int, block_chars: int) -> Iterator:
+    """The items as broadcast blocks of at most block_chars characters."""
+    for rows in _blocks(benchmark, item_id, item_text, block_chars):
+        yield docs.sparkSession.sparkContext.broadcast((_block(rows, edit_share, q), _shorts(rows, edit_share)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text", edit_share: float = EDIT_SHARE, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc id, item id, n_edits, start, end, passage)`` for every item that a document holds.
@@ -284,30 +311,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {benchmark.schema[item_id].dataType.simpleString()}, n_edits int, start int, end int, passage string"
     out = None
-    for rows in _blocks(benchmark, item_id, item_text, block_chars):
-        blocks = _block(rows, edit_share, q)
-        shared = docs.sparkSession.sparkContext.broadcast((blocks, _shorts(rows, edit_share)))  # at most block_chars characters of items
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            blocks, shorts = shared.value
+    for shared in _shared_blocks(docs, benchmark, item_id, item_text, edit_share, q, block_chars):
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 hits = []
-                for key, t in zip(batch[doc_id], batch["__text"]):
-                    t = normal(t)
-                    code = codes(t)
-                    best: dict = {}
-                    hashes = {q_: gram_hashes(code, q_) for q_ in {block.q for block in blocks}}
-                    for block in blocks:
-                        for k, low, high in block.bands(hashes[block.q]):
-                            item, chars, edits = block.items[k]
-                            got = exact(chars, code, low, high) or aligned(chars, code, low, high, edits)
-                            if got and (item not in best or got < best[item]):
-                                best[item] = got
-                    bounds = word_bounds(code) if shorts else None
-                    for short in shorts:
-                        for item, a in short.found(t, gram_hashes(code, short.size), bounds):
-                            if item not in best or (0, a, a + short.size) < best[item]:
-                                best[item] = (0, a, a + short.size)
+                for key, text in zip(batch[doc_id], batch["__text"]):
+                    t, best = _search(text, *shared.value)
                     hits += [(key, item, e, a, b, t[a:b]) for item, (e, a, b) in best.items()]
                 if hits:
                     yield pd.DataFrame(hits, columns=[doc_id, item_id, "n_edits", "start", "end", "passage"])
@@ -317,7 +326,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaky(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Documents, with their own columns, that hold no item (null ids are judged like others)."""
-    hits = find_leaks(docs, benchmark, doc_id, text, **options).select(F.col(doc_id).alias("__leaky")).distinct()
-    return docs.join(hits, docs[doc_id].eqNullSafe(F.col("__leaky")), "left_anti")
+def drop_leaky(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+               edit_share: float = EDIT_SHARE, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows, with their own columns, whose text holds no item.
+
+    Each row is judged by its own text where it lies, whatever its id; nothing is shuffled.
+    """
+    place, rows = docs.columns.index(text), docs
+    for shared in _shared_blocks(docs, benchmark, item_id, item_text, edit_share, q, block_chars):
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not (t.is_valid and _search(t.as_py(), *shared.value)[1]) for t in batch.column(place)], pa.bool_()))
+
+        rows = rows.mapInArrow(clean, docs.schema)
+    return rows

@@ -82,7 +82,7 @@ def _draw(seed: int, *what: Column) -> Column:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        max_repeats: int = 3, share: float = 1.0, block_words: int = 16, shard_rows: int = 512, seed: int = 7) -> DataFrame:
+        max_repeats: int = 3, share: float = 1.0, block_words: int = 16, shard_rows: int = 512, seed: int = 7, keep: bool = False) -> DataFrame:
     """``(id, size, source, source_size, target, taken)`` for every row.
 
     ``size`` counts words (null text: 0); ``taken`` is how many words of the document the
@@ -91,17 +91,23 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     equal id are ordered by size; rows repeated in full get equal places in turn.  The
     same rows give the same mix whatever the partitioning.  Sizes and quotas are written
     to the shared folder, so this call runs jobs before it returns.  The list of sources
-    (a row each) is sorted in one task; documents never are.
+    (a row each) is sorted in one task; documents never are.  With ``keep`` every row comes
+    back with its own columns, those of the added names replaced, and ``size, source_size,
+    target, taken``; whatever ids it shares, it is never joined back by them.
     """
-    sized = written(df.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), word_count(text_or_empty(text)).alias("size")), "sizes")
+    measured = [F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), word_count(text_or_empty(text)).alias("size")]
+    sized = written(df.select(measured), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = targets(cycled_weights(sources, weights), float(max_repeats), share)
     sources = sources.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long"))
     sources = sainte_lague(sources, [], "target", "seats").withColumn("shards", F.ceil(F.col("n_docs") / shard_rows).cast("long"))
     plan = written(sources.select(F.col("source").alias("s"), "source_size", "target", F.col("quota").alias("blocks"), "shards"), "quotas")
 
-    placed = (sized.join(plan, sized["source"].eqNullSafe(plan["s"])).drop("s")
-              .withColumn("shard", F.pmod(_draw(seed, F.lit("shard"), F.col("id")), F.col("shards"))))
+    def place(rows: DataFrame) -> DataFrame:
+        return (rows.join(plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
+                .withColumn("shard", F.pmod(_draw(seed, F.lit("shard"), F.col("id")), F.col("shards"))))
+
+    placed = place(sized)
     cells = placed.groupBy("source", "source_size", "target", "blocks", "shard").agg(F.sum("size").alias("cell"))
     cells = cells.withColumn("claim", F.when(F.col("source_size") > 0, F.col("target") * F.col("cell") / F.col("source_size")).otherwise(0.0))
     cells = sainte_lague(cells, ["source"], "claim", "blocks")
@@ -111,6 +117,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
              .withColumn("rest", F.col("wanted") - F.col("passes") * F.col("cell"))
              .withColumn("first", F.when(F.col("cell") > 0, F.pmod(_draw(seed, F.lit("start"), F.col("s"), F.col("h")) * block_words, F.col("cell"))).otherwise(0)))
     line = W.partitionBy("source", "shard").orderBy("__order", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    if keep:
+        placed = place(df.select(*measured, F.struct(*df.columns).alias("__row")))
     lined = (placed.withColumn("__order", _draw(seed, F.lit("order"), F.col("id")))
              .withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size")))
     rows = lined.join(cells, lined["source"].eqNullSafe(cells["s"]) & (lined["shard"] == cells["h"]))
@@ -120,4 +128,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
     stop = F.col("first") + F.col("rest")
     cut = overlap(F.col("first"), F.least(stop, F.col("cell"))) + overlap(F.lit(0), stop - F.col("cell"))
-    return rows.select(F.col("id").alias(doc_id), "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + cut).cast("long").alias("taken"))
+    taken = (F.col("passes") * F.col("size") + cut).cast("long").alias("taken")
+    if keep:
+        own = [F.col("__row")[c].alias(c) for c in df.columns if c not in ("size", "source_size", "target", "taken")]
+        return rows.select(*own, "size", "source_size", "target", taken)
+    return rows.select(F.col("id").alias(doc_id), "size", "source", "source_size", "target", taken)

@@ -28,7 +28,9 @@ MEMO_PIECES = 2_000_000
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ÿ"
 # Cuts that byte-level BPE's own pre-tokenizer always makes: before a single white-space
 # character between two others, and between a letter or digit and a full stop or comma.
-_PIECES = re.compile(rf"\s+(?=\s\S)|\s?[{_LATIN}]+(?=[.,\s]|\Z)|\s?\S+|\s+")
+# White space is spelled out: Python's \s also takes U+001C to U+001F, which the pre-tokenizer's does not.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(f"[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]?[{_LATIN}]+(?=[.,{_SPACE}]|\\Z)|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+")
 
 
 def tokenizer_digest(path: str) -> str:

@@ -282,3 +282,15 @@ def test_alignment_takes_odd_rows(spark, odd, clashing, empty):
         assert set(df.columns) <= set(scored.columns) | {"links"}
     aligned = token_align.align(empty, *PATHS)
     assert token_align.score_links(aligned, token_align.link_counts(aligned)).collect() == []
+
+
+# token counts: white space that Python and the tokenizer see differently
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab1.,\n\t \x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000é'", max_size=25))
+def test_counts_of_any_white_space_equal_the_library(text):
+    global _COUNTER
+    if "_COUNTER" not in globals():
+        from cartwheel.llm import token_count
+        _COUNTER = token_count.counter(PATHS[0])
+    assert _COUNTER.count([text]) == [len(_COUNTER.tokenizer.encode(text, add_special_tokens=False).ids)]

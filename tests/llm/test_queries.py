@@ -2,7 +2,7 @@
 
 import os
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -88,11 +88,55 @@ def test_pipeline_equals_plain_stages(spark):
     assert {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, SF).collect()} == {(r["doc_id"], r["taken"]) for r in out}
 
 
+def plain_stage_rows(name, rows, items):
+    """What a stage keeps of rows ``(id, text, ...)``, as a multiset; None where it is not a plain choice of rows."""
+    if name == "exact_copies":
+        by_text = defaultdict(list)
+        for r in rows:
+            by_text[r[1] or ""].append(r)
+        return [max(group, key=lambda r: (r[0] is not None, r[0] or 0)) for group in by_text.values()]
+    if name == "benchmark_free":
+        return [r for r in rows if not any(m in decontaminate.normal(r[1] or "") for m in items)]
+    return None
+
+
 def test_pipeline_stages_take_odd_rows(spark, clashing, empty):
-    for docs in (clashing, empty):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-            docs.count()
+    """Rows with null and repeated ids: every stage keeps the rows it should, each once and whole."""
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(2).collect()]
+    columns = ["doc_id", "text", "lang", "source"]
+    plain = [tuple(r) for r in clashing.select(columns).collect()]
+    more = [(5, f"here is {items[0]} and more", "en", "b"), (5, "quite another text of the same id", "en", "b"), (None, f"again {items[1]}", "en", "a"),
+            (None, "a clean text without an id", "en", "a"), (None, "a second clean text without an id", "en", "a"), (None, "a second clean text without an id", "fr", None)]
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string, source string")
+    docs = clashing.unionByName(extra, allowMissingColumns=True)
+    normal = [decontaminate.normal(m) for m in items]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in docs.select(columns).collect()]
+        out = stage(spark, docs, SF)
+        after = [tuple(r) for r in out.select(columns).collect()]
+        assert not Counter(after) - Counter(before)
+        wanted = plain_stage_rows(name, before, normal)
+        if wanted is not None:
+            assert sorted(((r[0], r[1]) for r in after), key=repr) == sorted(((r[0], r[1]) for r in wanted), key=repr)
+        if name == "mixed":
+            # words are taken of nearly every clean row that has any, also of those that share an id
+            assert len(after) <= len(before) and {r[1] for r in after} <= {r[1] for r in before}
+            assert all(0 < r["taken"] <= 3 * r["size"] and r["size"] == len((r["text"] or "").split()) for r in out.collect())
+        else:
+            assert out.columns == docs.columns
+        # each stage is also given all rows, not only what the stages before have kept
+    assert len(plain) == clashing.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_mixing_whole_rows_equals_mixing_ids(spark, clashing):
+    from cartwheel.llm import mixing
+    whole = mixing.mix(clashing, keep=True)
+    assert whole.count() == clashing.count() and set(whole.columns) == set(clashing.columns) | {"size", "source_size", "target", "taken"}
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    tidy = lambda df: sorted((tuple(r) for r in df.select(columns).collect()), key=repr)
+    assert tidy(whole) == tidy(mixing.mix(clashing))
 
 
 def test_entry_has_all_numbered_queries():
