@@ -45,9 +45,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes words of, with ``size, source_size, target, taken``."""
-    taken = written(mixing.mix(docs).filter("taken > 0").drop("source").withColumnRenamed("doc_id", "__id"), "mix")
-    own = docs.drop("size", "source_size", "target", "taken")
-    return own.join(taken, own["doc_id"].eqNullSafe(taken["__id"])).drop("__id")
+    return mixing.mix(docs, keep=True).filter("taken > 0")
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("mixed", mixed)]
