@@ -105,6 +105,20 @@ LEFT JOIN LATERAL (SELECT max(v.ts) AS cached_at FROM events v
                    WHERE v.event_type = 'view' AND v.user_id = r.user_id AND v.ts <= r.ts
                      AND CASE WHEN v.event_id % 3 = 0 THEN 20 ELSE 10 END = r.top_k) c ON true""")
 
+oracle("rec_cache_sessions", """
+SELECT * FROM (WITH RECURSIVE req AS (
+  SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 3 = 0 THEN 20 ELSE 10 END AS top_k, ts
+  FROM events WHERE event_type IN ('view', 'click')
+), computed AS (
+  SELECT user_id, top_k, min(ts) AS at FROM req GROUP BY user_id, top_k
+  UNION ALL
+  SELECT c.user_id, c.top_k, min(r.ts) FROM computed c JOIN req r ON r.user_id = c.user_id AND r.top_k = c.top_k AND r.ts >= c.at + INTERVAL 3600 SECOND
+  GROUP BY c.user_id, c.top_k
+)
+SELECT r.request_id, r.user_id, r.top_k, r.ts, c.at AS computed_at,
+       CASE WHEN r.ts = c.at AND r.request_id = min(r.request_id) OVER (PARTITION BY r.user_id, r.top_k, r.ts) THEN 'compute' ELSE 'cache' END AS source
+FROM req r ASOF JOIN computed c ON r.user_id = c.user_id AND r.top_k = c.top_k AND r.ts >= c.at)""")
+
 EVAL = dict(BASE)
 EVAL.update({
     "eusers": "SELECT customer_id FROM transactions GROUP BY customer_id HAVING count(DISTINCT article_id) >= 2",

@@ -8,6 +8,7 @@ from cartwheel.functions.numeric import round_half_up
 from cartwheel.operators import evaluate as ev
 from cartwheel.operators import recommend as rc
 from cartwheel.operators import retrieval as rt
+from cartwheel.operators import reuse
 from cartwheel.operators import sampling as sp
 from cartwheel.plans.registry import query
 from cartwheel.sources import tables as tb
@@ -168,6 +169,14 @@ def q_rec_cache_lookup(spark, d):
     return rc.cache_lookup(req, comp)
 
 
+@query("rec_cache_sessions")
+def q_rec_cache_sessions(spark, d):
+    """Views and clicks are requests (k is 10 or 20 by event); a miss stores the list for the requests of the next hour."""
+    e = tb.read(spark, d, "events").where(F.col("event_type").isin("view", "click"))
+    k = F.when(F.col("event_id") % 3 == 0, 20).otherwise(10).alias("top_k")
+    return reuse.cache_sessions(e.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("user_id"), k, "ts"))
+
+
 def _eval_inputs(spark, d):
     tx = tb.transactions(spark, d)
     users = sp.eligible_users(tx, 2).select("customer_id")
