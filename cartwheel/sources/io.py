@@ -53,6 +53,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, wherever the path's file system is; an absent one is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def resolve_first_existing(spark: SparkSession, base: str, candidates: Sequence[str]) -> str:
     """The first candidate under ``base`` that exists (file system or catalog table)."""
     for c in candidates:
