@@ -20,6 +20,8 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from operator import itemgetter
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from cartwheel.llm.common import without, written
 
 #: Units a task gathers before it forgets older ones, the longest unit it remembers, and the most tokens of which it remembers the cuts.
 MEMO_UNITS, MEMO_CHARS, MEMO_TOKENS = 130_000, 100, 16
-#: Characters of a text that are divided into units at a time, and links that a task counts at a time.
-BLOCK_CHARS, TASK_LINKS = 1 << 20, 1_000_000
+#: Characters of a text that are divided into units at a time.
+BLOCK_CHARS = 1 << 20
+# Fixed value: the pattern of byte-level pre-tokenizers.
+_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[\s\S])")
 _JOINED = re.compile(r"[\s\S]*[!-~\w]")  # a unit behind which a space is always a cut
 
@@ -42,9 +46,10 @@ class _Tokens:
 
     def _keep(self, known: dict[int, bytes]) -> None:
         self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
-        self.lengths = [len(t) for t in self.bytes]
-        self.sizes = np.array(self.lengths)
-        self.decimal = [str(i) for i in range(len(self.bytes))]
+        self.sizes = np.array([len(t) for t in self.bytes], np.uint16)
+
+    def sizes_of(self, ids: list[int]) -> np.ndarray:
+        return self.sizes[np.array(ids, np.int64)]
 
     def join(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
@@ -72,7 +77,23 @@ class JsonTokens(_Tokens):
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
+        self.added = {t["content"] for t in spec.get("added_tokens", [])}
+        self.ranked = self._ranked(spec["model"]) if self.by_unit else None
+
+    def _ranked(self, model: dict):
+        """The same tokens from a quicker library, if the ids stand in the order of the merges."""
+        import tiktoken
+
+        merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+        if None in merged or merged != sorted(set(merged)) or model.get("ignore_merges") or len(model["vocab"].keys() - self.added) != len(merged) + 256:
+            return None
+        kept = set(merged)
+        ranks = {t: i for i, t in enumerate(self.bytes) if i in kept or len(t) == 1}
+        return tiktoken.Encoding("merges", pat_str=_PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, units: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary(u) for u in units]
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
@@ -130,45 +151,51 @@ class Aligner:
         # units seen lately, and those seen before the memory was last full
         self.memo: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
-        self.shapes: dict[tuple, list[tuple[int, int]]] = {}
-
-    def _unit(self, a: list[int], b: list[int]) -> tuple:
-        """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same; the last ones end together."""
-        text = self.a.decimal, self.b.decimal
-        if len(a) == 1 or len(b) == 1:
-            return ",".join([text[0][t] for t in a]) + "|" + ",".join([text[1][t] for t in b]), len(a), len(b), (a[-1] << 32 | b[-1],)
-        size_a, size_b = self.a.lengths, self.b.lengths
-        sizes = tuple([size_a[t] for t in a]), tuple([size_b[t] for t in b])
-        cuts = self.shapes.get(sizes)
-        if cuts is None:  # where the cuts lie depends on the tokens' sizes alone; the last ends are common anyhow
-            cuts = [*common_cuts(list(accumulate(sizes[0][:-1])), list(accumulate(sizes[1][:-1]))), (len(a) - 1, len(b) - 1)]
-            if len(a) < MEMO_TOKENS and len(self.shapes) < MEMO_UNITS:
-                self.shapes[sizes] = cuts
-        a_text, b_text = [text[0][t] for t in a], [text[1][t] for t in b]
-        groups, x, y = [], 0, 0
+        self.shapes: dict[tuple, tuple] = {}
+
+    def _shape(self, key: tuple[bytes, bytes]) -> tuple:
+        """For tokens of the given sizes: a format of the groups, its ids' places among those of A and then B, the places of linked ids."""
+        sizes_a, sizes_b = (np.frombuffer(k, np.uint16).tolist() for k in key)
+        n = len(sizes_a)
+        # where the cuts lie depends on the sizes alone; the last ends are common anyhow
+        cuts = [*common_cuts(list(accumulate(sizes_a[:-1])), list(accumulate(sizes_b[:-1]))), (n - 1, len(sizes_b) - 1)]
+        form, order, x, y = [], [], 0, 0
         for i, j in cuts:
-            groups.append(",".join(a_text[x:i + 1]) + "|" + ",".join(b_text[y:j + 1]))
+            form.append(",".join(["%d"] * (i + 1 - x)) + "|" + ",".join(["%d"] * (j + 1 - y)))
+            order += [*range(x, i + 1), *range(n + y, n + j + 1)]
             x, y = i + 1, j + 1
-        return ";".join(groups), len(a), len(b), tuple([a[i] << 32 | b[j] for i, j in cuts])
+        shape = ";".join(form), itemgetter(*order), [(i, n + j) for i, j in cuts], Struct(f"<{len(cuts)}q")
+        if len(order) < MEMO_TOKENS and len(self.shapes) < MEMO_UNITS:
+            self.shapes[key] = shape
+        return shape
+
+    def _unit(self, a: list[int], b: list[int], key: tuple[bytes, bytes]) -> tuple:
+        """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same, by their ids and sizes; links are packed."""
+        form, order, cuts, pack = self.shapes.get(key) or self._shape(key)
+        ids = a + b
+        return form % order(ids), len(a), len(b), pack.pack(*[ids[i] << 32 | ids[j] for i, j in cuts])
 
     def _apart(self, units: list[str]) -> list[tuple | None]:
         """Each unit by itself; None where a tokenizer does not give back the bytes of space and unit."""
         both = zip(units, self.a.encode([" " + u for u in units]), self.b.encode([" " + u for u in units]))
-        return [self._unit(a, b) if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
+        return [self._unit(a, b, (self.a.sizes_of(a).tobytes(), self.b.sizes_of(b).tobytes())) if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
 
     def _together(self, units: list[str]) -> list[tuple | None]:
-        """The units as one text with spaces between them, which both tokenizers cut there."""
+        """The units as one text of A with spaces between them, where A cuts it; B is given them one by one."""
         text = " " + " ".join(units)
-        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
-        ends = list(accumulate([len(u.encode()) + 1 for u in units]))
-        if self.a.join(a) == text.encode() == self.b.join(b):
-            cuts = [np.searchsorted(np.cumsum(side.sizes[ids]), ends) + 1 for side, ids in ((self.a, np.array(a)), (self.b, np.array(b)))]
-            out, x, y = [], 0, 0
-            for i, j in zip(*(c.tolist() for c in cuts)):
-                out.append(self._unit(a[x:i], b[y:j]))
-                x, y = i, j
-            return out
-        return self._apart(units)
+        a, of_b = self.a.encode([text])[0], self.b.encode([" " + u for u in units])
+        b = list(chain.from_iterable(of_b))
+        if not self.a.join(a) == text.encode() == self.b.join(b):
+            return self._apart(units)
+        size_a, size_b = self.a.sizes_of(a), self.b.sizes_of(b).tobytes()
+        cuts = np.searchsorted(np.cumsum(size_a, dtype=np.int64), list(accumulate([len(u.encode()) + 1 for u in units]))) + 1
+        size_a = size_a.tobytes()
+        out, x, y = [], 0, 0
+        for i, ids in zip(cuts.tolist(), of_b):
+            j = y + len(ids)
+            out.append(self._unit(a[x:i], ids, (size_a[2 * x:2 * i], size_b[2 * y:2 * j])))
+            x, y = i, j
+        return out
 
     def _align(self, units: list[str]) -> list[tuple | None]:
         joined = [bool(_JOINED.fullmatch(u)) for u in units]
@@ -176,8 +203,8 @@ class Aligner:
         apart = iter(self._apart([u for u, j in zip(units, joined) if not j]))
         return [next(together if j else apart) for j in joined]
 
-    def align(self, text: str) -> tuple[int, int, list[int], str]:
-        """``(n_a, n_b, links, groups)`` of a text; zeros and nothing for one without tokens."""
+    def align(self, text: str) -> tuple[int, int, bytes, str]:
+        """``(n_a, n_b, links, groups)`` of a text, links as 64-bit integers; zeros and nothing for one without tokens."""
         found: list[tuple | None] = []
         for block in _blocks(text) if self.by_unit else ():
             units = _CUT.split(block)
@@ -196,8 +223,9 @@ class Aligner:
             # the bytes may still agree over the whole text
             found = self._apart([text]) if text else []
         if not found or None in found:
-            return 0, 0, [], ""
-        return sum(f[1] for f in found), sum(f[2] for f in found), list(chain.from_iterable(f[3] for f in found)), ";".join([f[0] for f in found])
+            return 0, 0, b"", ""
+        groups, n_a, n_b, links = zip(*found)
+        return sum(n_a), sum(n_b), b"".join(links), ";".join(groups)
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -242,8 +270,10 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFr
                 size += len(content)
                 if size > BLOCK_CHARS or hi == batch.num_rows:  # long texts: few to a batch
                     a, b, links, groups = zip(*done)
-                    n = pa.array([len(v) for v in links], pa.int64())
-                    added = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), n, n, pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))]
+                    n = pa.array([len(v) // 8 for v in links], pa.int64())
+                    ends = pa.array(np.cumsum([0, *(len(v) // 8 for v in links)]), pa.int32())
+                    links = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(links), np.int64)))
+                    added = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), n, n, pa.array(groups, pa.string()), links]
                     yield pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns + added, names)
                     lo, size, done = hi, 0, []
 
@@ -253,23 +283,7 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFr
 
 def link_counts(aligned: DataFrame) -> DataFrame:
     """``(link, count, best)`` of all linked id pairs: how often they are linked, and whether no pair of the B id is linked more often."""
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-
-        def flush():
-            links, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(links), pa.array(n.astype(np.int64))], ["link", "n"])
-
-        for batch in batches:
-            kept.append(batch.column(0).flatten().to_numpy())
-            size += len(kept[-1])
-            if size > TASK_LINKS:
-                yield flush()
-                kept, size = [], 0
-        if size:
-            yield flush()
-
-    counts = aligned.select("links").mapInArrow(kernel, "link long, n long").groupBy("link").agg(F.sum("n").alias("count"))
+    counts = aligned.select(F.explode("links").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("count"))
     of_b = Window.partitionBy(F.col("link").bitwiseAND(0xFFFFFFFF))  # as many rows as A has tokens that end like it or it like them
     return counts.withColumn("best", F.col("count") == F.max("count").over(of_b))
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,7 +228,7 @@ def plain_alignment(text):
 
 
 def as_plain(found):
-    return found[0], found[1], [(v >> 32, v & 0xFFFFFFFF) for v in found[2]], found[3]
+    return found[0], found[1], [(v >> 32, v & 0xFFFFFFFF) for v in struct.unpack(f"<{len(found[2]) // 8}q", found[2])], found[3]
 
 
 @settings(max_examples=400, deadline=None)
