@@ -65,9 +65,10 @@ def recommend_job(spark: SparkSession, model: str, base: str, out: str, k: int =
     items = spark.read.parquet(f"{model}/item_factors")
     if ivf:
         cents = retrieval.kmeans_centroids(items, nlist)
-        res = retrieval.topk_ivf(users, items, cents, k, nprobe)
+        index.write_inverted_file(items, cents, f"{out}/item_lists")
+        res = index.topk_inverted(users, f"{out}/item_lists", cents, k, nprobe)
     else:
-        res = retrieval.topk_flat(users, items, k)
+        res = index.topk_indexed(users, index.write_item_index(items, f"{out}/item_index"), k)
     recs = res.select(F.col("query_id").alias("user_id"), "item_id", "score", "rank")
     io.write_table(recs, f"{out}/recommendations")
     recs = spark.read.parquet(f"{out}/recommendations")

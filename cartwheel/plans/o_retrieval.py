@@ -38,6 +38,7 @@ SELECT id, {r6("sqrt(list_sum(list_transform(v, lambda x: x * x)))")} AS norm, C
        {vec6("v[1:8]")} AS head FROM f""", **BASE)
 oracle("lookup_embedding", f"SELECT id AS customer_id, {vec6('v')} AS features FROM users", **BASE)
 oracle("topk_flat", recs_out(topk("SELECT id, v FROM f", "SELECT id, v FROM f", 10)), **BASE)
+oracle("topk_indexed", recs_out(topk("SELECT id, v FROM f", "SELECT id, v FROM f", 10)), **BASE)
 oracle("user_similarity", recs_out(topk("SELECT id, v FROM fn", "SELECT id, v FROM fn", 10)), **BASE, fn="""
   SELECT id, list_transform(v, lambda x: CAST(CAST(x / (CASE WHEN n = 0 THEN 1.0 ELSE n END) AS FLOAT) AS DOUBLE)) AS v
   FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM f) q""")
@@ -63,6 +64,7 @@ IVF = {
   WHERE rank <= 10""",
 }
 oracle("topk_ivf", recs_out("SELECT * FROM ivf"), **BASE, **IVF)
+oracle("topk_inverted", recs_out("SELECT * FROM ivf"), **BASE, **IVF)
 oracle("ann_recall", f"""
 SELECT {r6("avg(recall)")} AS mean_recall, count(*) AS n_queries FROM (
   SELECT e.user_id, count(a.item_id) / count(*) AS recall

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cartwheel.functions.numeric import round_half_up
 from cartwheel.operators import evaluate as ev
+from cartwheel.operators import index as ix
 from cartwheel.operators import recommend as rc
 from cartwheel.operators import retrieval as rt
 from cartwheel.operators import reuse
 from cartwheel.operators import sampling as sp
 from cartwheel.plans.registry import query
+from cartwheel.session import ensure_checkpoint_dir
 from cartwheel.sources import tables as tb
 
 
@@ -64,6 +68,39 @@ def q_topk_flat(spark, d):
     return _as_recs(rt.topk_flat(f, f, 10))
 
 
+def _stored(spark, name):
+    """A new folder for an index, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("topk_indexed")
+def q_topk_indexed(spark, d):
+    """The same neighbours from a stored index that tasks read block by block."""
+    f = _factors(spark, d)
+    return _as_recs(ix.topk_indexed(f, ix.write_item_index(f, _stored(spark, "items"), block_rows=128), 10))
+
+
+@query("topk_inverted")
+def q_topk_inverted(spark, d):
+    """The result of topk_ivf from a stored inverted file."""
+    e = tb.factors(spark, d)
+    cents = rt.label_centroids(e)
+    path = _stored(spark, "inverted")
+    ix.write_inverted_file(e, cents, path, e.select("id", F.col("label").alias("cluster"), "features"))
+    return _as_recs(ix.topk_inverted(e.select("id", "features"), path, cents, 10, 3))
+
+
+@query("kmeans_recall", rows_only=True)
+def q_kmeans_recall(spark, d):
+    """R18 with trained clusters: recall@10 of 8 probed k-means lists of 16, read from a stored inverted file."""
+    f = _factors(spark, d)
+    cents = rt.kmeans_centroids(f, nlist=16).checkpoint()
+    path = _stored(spark, "inverted")
+    ix.write_inverted_file(f, cents, path)
+    exact = ix.topk_indexed(f, ix.write_item_index(f, _stored(spark, "items")), 10)
+    return rt.mean_recall(rt.ann_recall(exact, ix.topk_inverted(f, path, cents, 10, 8)))
+
+
 def _ivf(spark, d, nprobe=3):
     e = tb.factors(spark, d)
     cents = rt.label_centroids(e)
@@ -249,5 +286,5 @@ def q_evaluate_heldout(spark, d):
     rel = ev.relevant_items(test, users)
     u, items = _towers(spark, d)
     u = u.join(users.withColumnRenamed("customer_id", "id"), "id", "left_semi")
-    recs = _as_recs(rt.topk_flat(u, items, 10, exclude=seen))
+    recs = _as_recs(ix.topk_indexed(u, ix.write_item_index(items, _stored(spark, "items")), 10, exclude=seen))
     return ev.evaluate(recs, rel, 10, users)

@@ -15,7 +15,7 @@ from check_types import norm_duck, norm_spark  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"sgd_factors", "sgd_evaluate", "softmax_factors", "softmax_history", "als_factors", "als_evaluate", "topk_ivf_kmeans"}
+SLOW = {"kmeans_recall", "sgd_factors", "sgd_evaluate", "softmax_factors", "softmax_history", "als_factors", "als_evaluate", "topk_ivf_kmeans"}
 
 
 def _norm(v):
