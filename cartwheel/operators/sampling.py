@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwheel.functions.hashing import seeded_fraction_below, seeded_key
+from cartwheel.operators.selection import first_rows, key_at
 
 SEED = 42
 
@@ -44,9 +45,12 @@ def vocabulary(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = SEED) -> DataFrame:
-    """``n`` rows chosen by seeded hash order (a top-n, not a global sort)."""
-    return (df.withColumn("_h", seeded_key(seed, *key_cols))
-              .orderBy("_h", *key_cols).limit(n).drop("_h"))
+    """``n`` rows chosen by seeded hash order, found by radix selection: rows are only filtered.
+
+    Runs jobs when called.  Rows whose key columns hold a null take part (the key of a null is "").
+    """
+    keyed = df.withColumn("_h", seeded_key(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]))
+    return first_rows(keyed, "_h", n).drop("_h")
 
 
 def train_test_split(df: DataFrame, key_cols: list[str], train_fraction: float = 0.8,
@@ -60,16 +64,13 @@ def train_test_split_exact(df: DataFrame, key_cols: list[str], train_fraction: f
                            seed: int = SEED) -> DataFrame:
     """R2 exact form: the first ``int(n * fraction)`` rows in seeded hash order are 'train'.
 
-    The hash order position comes from :func:`index_ids` over the md5 keys (range
-    partitions + offsets), never from a single-partition window.
+    The hash where they end is found by radix selection; rows that share it stay together
+    and are 'test'.  Runs jobs when called.
     """
     keyed = df.withColumn("_h", seeded_key(seed, *key_cols))
-    n = keyed.select(F.count("*")).scalar()
-    pos = index_ids(keyed, "_h")
-    cut = F.floor(n * F.lit(train_fraction))
-    return (keyed.join(pos, "_h")
-                 .withColumn("split", F.when(F.col("idx") < cut, "train").otherwise("test"))
-                 .drop("_h", "idx"))
+    end, _ = key_at(keyed, "_h", lambda n: int(n * train_fraction))
+    train = F.lit(True) if end is None else F.col("_h") < end
+    return keyed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_h")
 
 
 def temporal_split(df: DataFrame, cut, col: str = "t_dat") -> DataFrame:

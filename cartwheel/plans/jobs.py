@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.operators import clean, evaluate, interactions, item, retrieval, sampling, train, user
+from cartwheel.operators import clean, evaluate, index, interactions, item, retrieval, sampling, train, user
 from cartwheel.sources import io
 
 
