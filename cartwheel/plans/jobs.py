@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwheel.operators import clean, evaluate, index, interactions, item, retrieval, sampling, train, user
-from cartwheel.sources import io
+from cartwheel.operators import clean, evaluate, index, interactions, item, retrieval, sampling, sgd, train, user
+from cartwheel.sources import generations, io
 
 
 def clean_tables(spark: SparkSession, raw_tx: DataFrame, raw_articles: DataFrame, raw_customers: DataFrame,
@@ -38,31 +38,41 @@ def feature_tables(spark: SparkSession, base: str, out: str) -> None:
 
 
 def train_job(spark: SparkSession, features: str, out: str, method: str = "als", **kw) -> None:
-    """Split, train, save factors and settings."""
+    """Split, train, save factors and settings as a new generation of ``out``.
+
+    ``method``: "als", "sgd" (an Adam update per batch, optional dense layers) or "softmax"
+    (synchronous updates).  Readers go on with the last generation until all tables of
+    this one are written.
+    """
+    path = generations.begin(out)
     inter = spark.read.parquet(f"{features}/interaction_features")
     split = sampling.train_test_split(inter.select("customer_id", "article_id").distinct(), ["customer_id", "article_id"])
-    io.write_table(split, f"{out}/split")
-    tr_pairs = spark.read.parquet(f"{out}/split").where(F.col("split") == "train")
+    io.write_table(split, f"{path}/split")
+    pairs = (spark.read.parquet(f"{path}/split").where(F.col("split") == "train")
+             .select(F.col("customer_id").alias("user_id"), F.col("article_id").alias("item_id")))
     if method == "als":
-        pairs = train.confidence_pairs(inter).join(
-            tr_pairs.select(F.col("customer_id").alias("user_id"), F.col("article_id").alias("item_id")),
-            ["user_id", "item_id"], "left_semi")
-        users, items = train.als_factors(pairs, **kw)
+        weighted = train.confidence_pairs(inter).join(pairs, ["user_id", "item_id"], "left_semi")
+        users, items = train.als_factors(weighted, **kw)
+    elif method == "sgd":
+        model = sgd.stratified_sgd(pairs, **kw)
+        users, items = model.users(), model.items()
+        io.write_table(spark.createDataFrame(model.history, "epoch int, loss double, updates int"), f"{path}/history")
     else:
-        users, items, hist = train.softmax_factors(
-            tr_pairs.select(F.col("customer_id").alias("user_id"), F.col("article_id").alias("item_id")), **kw)
-        io.write_table(hist, f"{out}/history")
-    io.write_table(users, f"{out}/user_factors")
-    io.write_table(items, f"{out}/item_factors")
-    io.save_model_config(spark, {"embedding_dim": kw.get("rank", kw.get("dim", train.EMBEDDING_DIM))}, f"{out}/config")
+        users, items, hist = train.softmax_factors(pairs, **kw)
+        io.write_table(hist, f"{path}/history")
+    io.write_table(users, f"{path}/user_factors")
+    io.write_table(items, f"{path}/item_factors")
+    io.save_model_config(spark, {"embedding_dim": kw.get("rank", kw.get("dim", train.EMBEDDING_DIM))}, f"{path}/config")
+    generations.publish(spark, out, path)
 
 
 def recommend_job(spark: SparkSession, model: str, base: str, out: str, k: int = 10, ivf: bool = False,
                   nlist: int = retrieval.IVF_NLIST, nprobe: int = retrieval.IVF_NPROBE) -> None:
-    """Top-k for every user (exact or IVF), readable table, served lookup table."""
+    """Top-k of the current model generation for every user (exact or IVF), readable table, served lookup table."""
     from cartwheel.operators import recommend
-    users = spark.read.parquet(f"{model}/user_factors")
-    items = spark.read.parquet(f"{model}/item_factors")
+    path = generations.current(spark, model)
+    users = spark.read.parquet(f"{path}/user_factors")
+    items = spark.read.parquet(f"{path}/item_factors")
     if ivf:
         cents = retrieval.kmeans_centroids(items, nlist)
         index.write_inverted_file(items, cents, f"{out}/item_lists")
