@@ -59,6 +59,8 @@ PARENT_EDGE = 40
 NEIGHBOUR_EDGE = 15
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^'"<>])*|[^>]*)>|[^<]+|<""", re.S)
+#: The same behind the last ">", where no tag can end: without it each "<" would be read to the end of the page.
+_TAIL = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
@@ -109,18 +111,19 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, element number, side, inside a link
     out: list[Block] = []
     now: Block | None = None
-    number, at, end = 0, 0, len(page)
+    number, at, end, last = 0, 0, len(page), page.rfind(">")
 
     while at < end:
-        token = _TOKEN.match(page, at)
+        token = (_TOKEN if at < last else _TAIL).match(page, at)
         at = token.end()
-        piece, tag = token.group(0), (token.group(2) or "").lower()
+        piece, tag = token.group(0), (token.group(2) or "").lower() if token.re is _TOKEN else ""
         if not tag:
             if piece[0] != "<" or piece == "<":
                 if now is None:
-                    homes = [e for e in stack if e[0] in BLOCK or not e[0]]
-                    home = homes[-2] if homes[-1][0] in LEAF else homes[-1]
-                    now = Block(home[1], homes[-1][2])
+                    homes = (e for e in reversed(stack) if e[0] in BLOCK or not e[0])
+                    inner = next(homes)
+                    home = next(homes) if inner[0] in LEAF else inner
+                    now = Block(home[1], inner[2])
                     out.append(now)
                 now.parts.append(piece)
                 if stack[-1][3]:

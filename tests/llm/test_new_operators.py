@@ -295,3 +295,16 @@ def test_counts_of_any_white_space_equal_the_library(text):
         from cartwheel.llm import token_count
         _COUNTER = token_count.counter(PATHS[0])
     assert _COUNTER.count([text]) == [len(_COUNTER.tokenizer.encode(text, add_special_tokens=False).ids)]
+
+
+# long broken pages
+
+def test_unclosed_tags_and_deep_blocks_are_read_once():
+    import time
+
+    from cartwheel.llm import html_extract
+    for page in ("<a " * 350_000, "<p>text</p>" + "<b x" * 250_000, "<div>" * 4000 + "x" + "</div>" * 4000 + "<i " * 100_000, "<div>t" * 4000, "1 < 2 and <b " * 50_000):
+        start = time.process_time()
+        found = html_extract.blocks(page)
+        assert time.process_time() - start < 2 and found
+    assert "".join(html_extract.blocks("a < b <i c")[0].parts) == "a < b <i c"
