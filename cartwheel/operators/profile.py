@@ -58,7 +58,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """Columns with NULLs, count and percentage (2 places), worst first."""
+    """Columns with NULLs, count and percentage (2 places)."""
     m = missing_counts(df)
     return (m.where(F.col("missing_count") > 0)
              .select("column_name", "missing_count",
@@ -94,16 +94,21 @@ def duplicate_report(df: DataFrame, name: str, keys: Sequence[str] | None = None
 
 
 def dtype_report(df: DataFrame) -> DataFrame:
-    """Type, a sample value (smallest non-NULL, 30 chars), distinct count and a flag."""
+    """Type, a sample value (smallest non-NULL, 30 chars), distinct count and a flag.
+
+    Each column's distinct values are counted by themselves, combined map-side; several
+    distinct counts in one aggregate would write every row once per column (Expand).
+    """
     aggs = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f.name)
-        aggs += [F.min(c).cast("string").alias(f"_s{i}"), F.count_distinct(c).alias(f"_u{i}")]
+        aggs.append(F.min(c).cast("string").alias(f"_s{i}"))
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             aggs.append(F.coalesce(F.bool_and(c == F.floor(c)), F.lit(True)).alias(f"_w{i}"))
         else:
             aggs.append(F.lit(False).alias(f"_w{i}"))
-    row = df.agg(*aggs)
+    distinct = {f"_u{i}": df.select(F.col(f.name).alias("v")).where("v IS NOT NULL").distinct().agg(F.count("*")).scalar() for i, f in enumerate(df.schema.fields)}
+    row = df.agg(*aggs).withColumns(distinct)
     exprs = []
     for i, f in enumerate(df.schema.fields):
         exprs += [_lit(f.name), _lit(f.dataType.simpleString()), f"coalesce(substr(_s{i}, 1, 30), 'N/A')",
