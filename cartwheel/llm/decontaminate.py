@@ -37,6 +37,12 @@ Q = 12
 MIN_CHARS = 1
 #: Scripts written without spaces, where every character may begin a word.
 _UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+#: Pairs of a run and an item's q-gram that are counted at once.
+PAIRS = 1 << 20
+#: Diagonals that are aligned at once.
+WIDE = 1 << 14
+#: Numbers apart for the bands of two items.
+_SPREAD = 1 << 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,9 +119,11 @@ class Block:
         return spot[np.cumsum(edge[:-1]) > 0]
 
     def bands(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first diagonal, last diagonal) of bands that share enough q-grams; a diagonal is text minus item position.
+        """(item, first diagonal, last diagonal) of regions whose bands share enough q-grams; a diagonal is text minus item position.
 
-        ``h`` are the hashes of the text's q-grams.
+        ``h`` are the hashes of the text's q-grams.  Shared q-grams are counted by runs of
+        text positions and in slices, so that a text of one repeated character costs an item
+        no more than its bands.
         """
         spot = self.dense(np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.bits)).astype(np.int64)]))
         if not len(spot):
@@ -127,24 +135,67 @@ class Block:
         spot, lo, n = real, lo[among], n[among]
         if not len(spot):
             return []
-        where = np.repeat(spot, n)
-        pair = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[pair].astype(np.int64), where - self.at[pair]
+        # a run: text positions of one q-gram, each at most the smallest step behind the one before; it fills its cells without a hole
+        order = np.lexsort((spot, lo))
+        spot, lo, n = spot[order], lo[order], n[order]
+        same = lo[1:] == lo[:-1]
+        opens = np.append(True, ~same | (np.diff(spot) > int(self.edits.min()) + 1))
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(spot)) - 1
+        before = np.where(np.append(False, same)[first], spot[first - 1], -_SPREAD)
+        keys, steps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for some in _slices(n[first], PAIRS):
+            k, d = self._events(spot[first][some], spot[last][some], before[some], lo[first][some], n[first][some])
+            keys, place = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            steps = np.bincount(place, np.concatenate([steps, d]), len(keys)).astype(np.int64)
+        return self._regions(keys, np.cumsum(steps))
+
+    def _events(self, first: np.ndarray, last: np.ndarray, before: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the count of an item's shared q-grams rises and falls along its bands, for runs of text positions.
+
+        Band c holds the cells c and c + 1 of ``edits + 1`` diagonals each.  A q-gram of the
+        item counts once in a band however often the text repeats it, so a run counts only
+        from behind the last band of the run before.
+        """
+        run = np.repeat(np.arange(len(n)), n)
+        pair = np.repeat(lo, n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        item, at = self.item[pair].astype(np.int64), self.at[pair]
         step = self.edits[item] + 1
-        cell = np.floor_divide(diagonal, step)
-        spread = np.int64(1) << np.int64(40)
-        found = []
-        # a band is two neighbouring cells: count a q-gram for its own cell and for the band that starts a cell earlier
-        key = np.concatenate([item * spread + cell, item * spread + cell - 1]) + (spread >> 1)
-        # an item's q-gram counts once in a band however often the text repeats it
-        once = np.unique(np.stack([key, np.concatenate([self.at[pair], self.at[pair]]).astype(np.int64)]), axis=1)
-        keys, counts = np.unique(once[0], return_counts=True)
-        for key_, count in zip(keys.tolist(), counts.tolist()):
-            k, c = key_ // int(spread), key_ % int(spread) - int(spread >> 1)
-            if count >= self.need[k]:
-                s = int(self.edits[k]) + 1
-                found.append((k, c * s, (c + 2) * s - 1))
-        return found
+        end = np.floor_divide(last[run] - at, step)
+        start = np.maximum(np.floor_divide(first[run] - at, step) - 1, np.floor_divide(before[run] - at, step) + 1)
+        new = start <= end
+        base = item[new] * _SPREAD + (_SPREAD >> 1)
+        ones = np.ones(len(base), np.int64)
+        keys, place = np.unique(np.concatenate([base + start[new], base + end[new] + 1]), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate([ones, -ones]), len(keys)).astype(np.int64)
+
+    def _regions(self, keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+        """Neighbouring bands with enough shared q-grams as one region, in pieces of bounded width that overlap by a band's cell.
+
+        ``counts[i]`` holds for the bands from ``keys[i]`` up to the next key.
+        """
+        found: list[list[int]] = []
+        for i in np.flatnonzero(counts >= self.need[np.minimum(keys // _SPREAD, len(self.need) - 1)]).tolist():
+            k, low, high = int(keys[i] // _SPREAD), int(keys[i]), int(keys[i + 1])
+            if found and found[-1][0] == k and found[-1][2] == low:
+                found[-1][2] = high
+            else:
+                found.append([k, low, high])
+        pieces = []
+        for k, low, high in found:
+            s, origin = int(self.edits[k]) + 1, k * _SPREAD + (_SPREAD >> 1)
+            wide = max(1, WIDE // s)
+            pieces += [(k, (c - origin) * s, (min(c + wide, high) + 1 - origin) * s - 1) for c in range(low, high, wide)]
+        return pieces
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes come to at most ``most``, or of one."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -219,15 +270,28 @@ class Short:
         self.size, self.keys = size, {}
         for key, text in items:
             self.keys.setdefault(text, []).append(key)
-        self.hash = np.unique(np.concatenate([gram_hashes(codes(text), size) for text in self.keys]))
+        self.texts: dict[int, set] = {}
+        for text in self.keys:
+            self.texts.setdefault(int(gram_hashes(codes(text), size)[0]), set()).add(text)
+        self.hash = np.array(sorted(self.texts), np.uint64)
 
     def found(self, text: str, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[object, int]]:
-        """(item, position); ``h`` are the hashes of the text's grams of this size."""
+        """(item, first position); ``h`` are the hashes of the text's grams of this size."""
         spot = np.flatnonzero(bounds[:len(h)] & bounds[self.size:self.size + len(h)])
         near = np.minimum(np.searchsorted(self.hash, h[spot]), len(self.hash) - 1)
-        for at in spot[self.hash[near] == h[spot]].tolist():
-            for key in self.keys.get(text[at:at + self.size], ()):
-                yield key, at
+        hit = self.hash[near] == h[spot]
+        spot, near = spot[hit], near[hit]
+        order = np.argsort(near, kind="stable")
+        edges = np.flatnonzero(np.diff(near[order])) + 1
+        for places in np.split(spot[order], edges) if len(spot) else ():
+            wanted = set(self.texts[int(h[places[0]])])
+            for at in places:
+                if (word := text[at:at + self.size]) in wanted:
+                    wanted.remove(word)
+                    for key in self.keys[word]:
+                        yield key, int(at)
+                if not wanted:
+                    break
 
 
 def _is_short(text: str, share: float) -> bool:
@@ -280,11 +344,18 @@ def _search(text: str, blocks: list[Block], shorts: list) -> tuple[str, dict]:
     best: dict = {}
     hashes = {q: gram_hashes(code, q) for q in {block.q for block in blocks}}
     for block in blocks:
+        done, most = -1, 0
         for k, low, high in block.bands(hashes[block.q]):
             item, chars, edits = block.items[k]
-            got = exact(chars, code, low, high) or aligned(chars, code, low, high, edits)
-            if got and (item not in best or got < best[item]):
-                best[item] = got
+            if k != done:
+                done, most = k, edits
+            if most < 0:
+                continue
+            got = exact(chars, code, low, high) or (aligned(chars, code, low, high, most) if most else None)
+            if got:
+                most = got[0] - 1  # regions come in text order: a later one must be nearer
+                if item not in best or got < best[item]:
+                    best[item] = got
     bounds = word_bounds(code) if shorts else None
     for short in shorts:
         for item, a in short.found(t, gram_hashes(code, short.size), bounds):

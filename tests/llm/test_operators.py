@@ -5,6 +5,8 @@ import html
 import itertools
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -455,6 +457,52 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and {e for e in want.values()} > {0, 1}
 
 
+def test_bands_equal_plain_counting(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(decontaminate.Block, "dense", lambda self, spot: spot)
+
+    def plain(block, code):
+        out = set()
+        for k, (_, item, edits) in enumerate(block.items):
+            shared = {}
+            for a in range(len(item) - block.q + 1):
+                cells = {(p - a) // (edits + 1) for p in range(len(code) - block.q + 1) if (code[p:p + block.q] == item[a:a + block.q]).all()}
+                for c in cells | {c - 1 for c in cells}:
+                    shared[c] = shared.get(c, 0) + 1
+            out |= {(k, c) for c, n in shared.items() if n >= block.need[k]}
+        return out
+
+    for _ in range(60):
+        alphabet = rng.choice(["a", "ab", "a ", "abcdefghij"])
+        items = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for _ in range(rng.randrange(1, 4))]
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(10, 90))) + "z" + items[0][:30] + "z" + items[0][31:]
+        monkeypatch.setattr(decontaminate, "PAIRS", rng.choice([1, 50, 1 << 20]))
+        monkeypatch.setattr(decontaminate, "WIDE", rng.choice([1, 20, 1 << 14]))
+        for block in decontaminate._block(list(enumerate(items)), 0.05, 12):
+            code, got = decontaminate.codes(text), set()
+            for k, low, high in block.bands(decontaminate.gram_hashes(code, block.q)):
+                step = int(block.edits[k]) + 1
+                got |= {(k, c) for c in range(low // step, (high + 1) // step - 1)}
+            assert got == plain(block, code)
+
+
+def test_long_repetitive_texts_take_little_memory_and_time():
+    rng = random.Random(5)
+    mixed = decontaminate.normal("".join(rng.choice("- ") for _ in range(300)))
+    items = list(enumerate(["-" * 300, "-" * 100, "-" * 15, mixed, "-" * 150 + "abcdefghij" + "-" * 150]))
+    blocks, shorts = decontaminate._block(items[:4], 0.05, 12), decontaminate._shorts(items[:4], 0.05)
+    tracemalloc.start()
+    begun = time.process_time()
+    assert decontaminate._search("-" * 1_000_000, blocks, shorts)[1] == {0: (0, 0, 300), 1: (0, 0, 100), 2: (0, 0, 15)}
+    assert time.process_time() - begun < 10 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    text = "".join(rng.choice("- ") for _ in range(50_000))
+    assert 3 not in decontaminate._search(text, blocks, shorts)[1]
+    assert decontaminate._search(text + mixed, blocks, shorts)[1][3][0] == 0
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert decontaminate._search("-" * 50_000, decontaminate._block(items[4:], 0.05, 12), [])[1] == {4: (10, 0, 300)}
+
+
 def test_leaks_odd_rows(spark, clashing, empty):
     benchmark = spark.createDataFrame([(1, "word7 is here word8 is here word9 is here")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontaminate.find_leaks(clashing, benchmark).collect()) == [8, 9]
