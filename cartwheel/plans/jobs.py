@@ -2,7 +2,8 @@
 
 Stages communicate through Parquet tables (never CSV, never the driver).  The
 fact table is written range-partitioned by month and date, so a month is a few files;
-a reader that bounds ``month`` beside the date prunes partitions.
+a reader that bounds ``month`` beside the date prunes partitions.  It is written a second
+time in buckets of the customer, as are the customers.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.operators import clean, evaluate, index, interactions, item, retrieval, sampling, sgd, train, user
-from cartwheel.sources import generations, io
+from cartwheel.sources import bucketed, generations, io
 
 
 def clean_tables(spark: SparkSession, raw_tx: DataFrame, raw_articles: DataFrame, raw_customers: DataFrame,
@@ -24,17 +25,23 @@ def clean_tables(spark: SparkSession, raw_tx: DataFrame, raw_articles: DataFrame
     io.write_table(tx, f"{out}/transactions", partition_by=["month"], sort_within=["t_dat"])
     io.write_table(clean.clean_articles(raw_articles), f"{out}/articles")
     io.write_table(clean.clean_customers(raw_customers), f"{out}/customers")
+    # the same rows by customer: every per-customer aggregate and join of C4 reads them without a shuffle
+    fact = spark.read.parquet(f"{out}/transactions").drop("month")
+    buckets = bucketed.bucket_count(distinct.count())
+    bucketed.write_bucketed(fact, f"{out}/transactions_by_customer", "customer_id", buckets, ["article_id"])
+    bucketed.write_bucketed(spark.read.parquet(f"{out}/customers"), f"{out}/customers_by_id", "customer_id", buckets)
 
 
 def feature_tables(spark: SparkSession, base: str, out: str) -> None:
     """C4: user, item and interaction feature tables from the cleaned tables."""
     dated = spark.read.parquet(f"{base}/transactions").withColumn("month", F.col("month").cast("string"))
-    tx = dated.drop("month")
+    tx = bucketed.read_bucketed(spark, f"{base}/transactions_by_customer")
     arts = spark.read.parquet(f"{base}/articles")
-    custs = spark.read.parquet(f"{base}/customers")
-    io.write_table(user.user_features(custs, tx), f"{out}/user_features")
+    custs = bucketed.read_bucketed(spark, f"{base}/customers_by_id")
+    with bucketed.sharing_buckets(spark):
+        io.write_table(user.user_features(custs, tx), f"{out}/user_features")
+        io.write_table(interactions.interaction_features(tx), f"{out}/interaction_features")
     io.write_table(item.item_features(arts, dated), f"{out}/item_features")
-    io.write_table(interactions.interaction_features(tx), f"{out}/interaction_features")
 
 
 def train_job(spark: SparkSession, features: str, out: str, method: str = "als", **kw) -> None:

@@ -136,5 +136,5 @@ def oracle(name: str, body: str, **extra: str) -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    from cartwheel.plans import o_clean, o_features, o_misc, o_profile, o_retrieval, o_sampling  # noqa: F401
+    from cartwheel.plans import o_clean, o_features, o_io, o_misc, o_profile, o_retrieval, o_sampling  # noqa: F401
     return dict(ORACLE)

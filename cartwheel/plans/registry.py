@@ -44,5 +44,5 @@ def query(name: str, rows_only: bool = False):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # importing the modules registers their queries
-    from cartwheel.plans import q_clean, q_features, q_misc, q_profile, q_retrieval, q_sampling, q_train  # noqa: F401
+    from cartwheel.plans import q_clean, q_features, q_io, q_misc, q_profile, q_retrieval, q_sampling, q_train  # noqa: F401
     return dict(QUERIES)
