@@ -3,8 +3,9 @@
 A page becomes a row of text blocks in page order.  Every block gets two classifier
 costs, that of being called content and that of being called boilerplate, which become
 capacities to the two terminals; neighbours in page order and blocks of one parent are
-joined by smoothness edges.  Text length, link share, element names and words of class,
-id and role add to the costs; only the text of elements that never hold the main text
+joined by smoothness edges, which weaken as their link shares part.  Text length, link share,
+element names and words of class, id and role add to the costs, and so does standing outside the
+elements that hold the page's main text; only the text of elements that never hold it
 (``SURE_TAGS``) is decided beforehand.  The minimum cut of this graph is the labelling of
 least total cost, found by max-flow.  Pages are independent, so this is one pass without
 a shuffle; the work per page grows with its blocks.
@@ -39,9 +40,10 @@ BOILER_TAGS = frozenset("form header".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary "
-    "consent contentinfo cookie cookies dialog discussion disqus footer form gdpr header login masthead menu modal nav navbar "
-    "navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies "
-    "reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+    "consent contentinfo cookie cookies dialog discussion disqus feedback footer form gdpr guestbook header login masthead menu modal "
+    "nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion reactions "
+    "recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe "
+    "toolbar widget".split())
 CONTENT_WORDS = frozenset("article body content entry main post story".split())
 #: What follows such a word in a class name is not what the element is ("has-sidebar", "no-comments").
 _ABOUT_OTHERS = frozenset("has hide hides no show shows with without".split())
@@ -51,8 +53,8 @@ _WORDS_IGNORED_ON = frozenset("html body main article".split())
 SURE = 100_000
 #: Of being called what an element's name or class words speak against.
 CONTENT_TAG, WORDS = 300, 60
-#: Of calling doubtful text content on a page that has other main text.
-ELSEWHERE = 150
+#: Of calling doubtful text content on a page that has other main text, and what is added at most, by that text's share of the page.
+ELSEWHERE, OUTSIDE = 150, 100
 #: Characters of unlinked text from which a block of no side counts as such.
 PLAIN_TEXT = 100
 PARENT_EDGE = 40
@@ -164,12 +166,16 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def costs(block: Block, elsewhere: bool) -> tuple[int, int]:
-    """(cost of calling it content, cost of calling it boilerplate); ``elsewhere``: the page has other text that is rather content."""
-    size = len(block.text)
-    linked = min(1.0, block.links / size)
-    content = round(200 * linked) + max(0, -block.side) + (ELSEWHERE if elsewhere and block.side <= 0 else 0)
-    return content, round((20 + min(size, 300) / 2) * (1 - linked)) + max(0, block.side)
+def _linked(block: Block) -> float:
+    """Share of a block's text that lies in links."""
+    return min(1.0, block.links / len(block.text))
+
+
+def costs(block: Block, elsewhere: int) -> tuple[int, int]:
+    """(cost of calling it content, cost of calling it boilerplate); ``elsewhere``: what other main text of the page adds to the first."""
+    linked = _linked(block)
+    content = round(200 * linked) + max(0, -block.side) + (elsewhere if block.side <= 0 else 0)
+    return content, round((20 + min(len(block.text), 300) / 2) * (1 - linked)) + max(0, block.side)
 
 
 def min_cut(costs_: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -237,17 +243,30 @@ def min_cut(costs_: list[tuple[int, int]], edges: list[tuple[int, int, int]]) ->
 
 
 def graph(parts: list[Block]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Costs and smoothness edges of a page."""
+    """Costs and smoothness edges of a page.
+
+    Text of no side costs more to keep the more of the page's unlinked text stands in elements that
+    speak for content: beside a whole article it is taken for something else (reader comments, say)
+    at any length, beside a teaser it is not.  An edge's capacity falls with the difference of the
+    two link shares, so rows of links between short paragraphs do not take these with them.
+    """
+    own = [len(b.text) * (1 - _linked(b)) for b in parts]
+    named = sum(n for n, b in zip(own, parts) if b.side > 0)
     found = any(b.side > 0 for b in parts)
-    plain = found or any(b.side == 0 and len(b.text) - b.links >= PLAIN_TEXT for b in parts)
+    outside = found * (ELSEWHERE + round(OUTSIDE * named / max(1, sum(n for n, b in zip(own, parts) if b.side >= 0))))
+    plain = found or any(b.side == 0 and n >= PLAIN_TEXT for n, b in zip(own, parts))
+
+    def edge(i: int, j: int, capacity: int) -> tuple[int, int, int]:
+        return i, j, round(capacity * (1 - abs(_linked(parts[i]) - _linked(parts[j]))))
+
     edges, last = [], {}
     for k, b in enumerate(parts):
         if k:
-            edges.append((k - 1, k, NEIGHBOUR_EDGE))
+            edges.append(edge(k - 1, k, NEIGHBOUR_EDGE))
         if (before := last.get(b.parent)) is not None:
-            edges.append((before, k, PARENT_EDGE // (k - before)))
+            edges.append(edge(before, k, PARENT_EDGE // (k - before)))
         last[b.parent] = k
-    return [costs(b, plain if b.side < 0 else found) for b in parts], edges
+    return [costs(b, max(outside, ELSEWHERE * plain) if b.side < 0 else outside) for b in parts], edges
 
 
 def main_text(page: str | None) -> str:

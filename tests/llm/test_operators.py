@@ -403,6 +403,21 @@ def test_class_words_are_weighed_and_decide_nothing_alone(page, want):
     assert html_extract.main_text(page) == "\n".join(x.strip() for x in want.split("\n"))
 
 
+SHORT = [f"Paragraph {k} of a page in short paragraphs, no more." for k in range(20)]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<nav>n</nav><div>" + "".join(f"<p>{s}</p><p><a href=x>Read more of part {k}</a></p>" for k, s in enumerate(SHORT)) + "</div>", SHORT),
+    ("<div>" + "".join(f"<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{s}</p>" for s in SHORT) + "</div>", SHORT),
+    (f"<article><p>{LONG[:900]}</p></article><div class='feedback'><p>{LONG[:400]}</p><p>Short one.</p></div>", [LONG[:900]]),
+    (f"<article><p>{LONG[:900]}</p></article><div class='qx-17'><p>{LONG[:400]}</p><p>{LONG[:300]}</p><p>Short.</p></div>", [LONG[:900]]),
+    (f"<div class='post'><p>{LONG[:900]}</p></div><section><h3>Said by readers</h3><p>{LONG[:400]}</p></section>", [LONG[:900]]),
+    (f"<div><p>{LONG[:900]}</p></div><div class=feedback><p>{LONG[:400]}</p></div>", [LONG[:900]]),
+    (f"<div><p>{LONG[:3000]}</p><p>{LONG[:2000]}</p></div><article><p>Teaser of another page.</p></article>", [LONG[:3000], LONG[:2000], "Teaser of another page."])])
+def test_short_paragraphs_stay_and_unknown_neighbours_of_an_article_go(page, want):
+    assert html_extract.main_text(page).split("\n") == [x.strip() for x in want]
+
+
 def test_minimum_cut_of_many_alternating_blocks():
     label = html_extract.min_cut([(0, 300), (300, 0)] * 4000, [(k, k + 1, 15) for k in range(7999)])
     assert label == [True, False] * 4000
