@@ -8,8 +8,9 @@ compared byte by byte, chunk against chunk of the group's representative; member
 differ (a collision) form a new group and are compared again.
 
 Fingerprints are aggregated with map-side combining, and members join their
-representative on (group, chunk), a join that adaptive execution splits when one group
-holds a third of all rows.  No text is ever gathered per group.
+representative on (group, chunk).  Heads and sizes of groups are written before they are
+joined: only a join of two plain shuffles is one that adaptive execution splits when one
+group holds a third of all rows.  No text is ever gathered per group.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from cartwheel.llm.common import without, written
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 741103597)
 HASH_CHUNK = 1 << 12
+#: Chunks hashed as one matrix: of a text of any length only about 1 MB is widened to 64 bits at a time.
+HASH_CHUNKS = 1 << 8
 COMPARE_CHUNK = 1 << 16
 _COLUMNS = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,28 +47,28 @@ class Fingerprint:
                 x = x * b % p
             self.powers.append(powers)
 
-    def chunks(self, data: bytes) -> list[tuple[int, ...]]:
-        """Prints of the chunks, hashed as one matrix (the last chunk is shorter)."""
+    def chunks(self, data) -> Iterator[tuple[int, ...]]:
+        """Prints of the chunks, hashed as matrices of ``HASH_CHUNKS`` rows (the last chunk is shorter)."""
         raw = np.frombuffer(data, np.uint8)
-        full = len(raw) // self.chunk
-        body, tail = raw[:full * self.chunk].reshape(full, self.chunk), raw[full * self.chunk:]
-        columns = []
-        for p, powers in zip(self.primes, self.powers):
-            h = (((body + np.uint64(1)) * powers).sum(axis=1) % np.uint64(p)).tolist() if full else []
+        step = self.chunk * HASH_CHUNKS
+        for at in range(0, len(raw), step):
+            part = raw[at:at + step]
+            full = len(part) // self.chunk
+            body, tail = part[:full * self.chunk].reshape(full, self.chunk) + np.uint64(1), part[full * self.chunk:] + np.uint64(1)
+            columns = [((body * powers).sum(axis=1) % np.uint64(p)).tolist() for p, powers in zip(self.primes, self.powers)]
+            yield from zip([self.chunk] * full, *columns)
             if len(tail):
-                h.append(int(((tail + np.uint64(1)) * powers[-len(tail):]).sum() % np.uint64(p)))
-            columns.append(h)
-        lengths = [self.chunk] * full + [len(tail)] * bool(len(tail))
-        return list(zip(lengths, *columns))
+                yield len(tail), *(int((tail * powers[-len(tail):]).sum() % np.uint64(p)) for p, powers in zip(self.primes, self.powers))
 
     def combine(self, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, ...]:
         return (x[0] + y[0], *((a * pow(b, y[0], p) + c) % p for a, c, b, p in zip(x[1:], y[1:], self.bases, self.primes)))
 
-    def of(self, data: bytes) -> tuple[int, ...]:
-        parts = self.chunks(data) or [(0,) + (0,) * len(self.primes)]
-        while len(parts) > 1:  # pairwise: the order of combining does not matter, only the order of the parts
-            parts = [self.combine(*parts[k:k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0]
+    def of(self, data) -> tuple[int, ...]:
+        """Print of a bytes-like object: its chunks' prints combined from left to right, none of them kept."""
+        done = (0,) + (0,) * len(self.primes)
+        for part in self.chunks(data):
+            done = self.combine(done, part)
+        return done
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes=PRIMES) -> DataFrame:
@@ -76,7 +79,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prim
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = Fingerprint(*printer_args)
         for batch in batches:
-            prints = [":".join(map(str, printer.of(t.as_buffer().to_pybytes()))) for t in batch.column("__bytes")]
+            prints = [":".join(map(str, printer.of(t.as_buffer()))) for t in batch.column("__bytes")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string()), batch.column(2)], ["id", "fingerprint", "text_sha256"])
 
     rows = df.select(F.col(doc_id).alias("id"), F.encode(content, "UTF-8").alias("__bytes"), F.sha2(content, 256).alias("text_sha256"))
@@ -120,6 +123,7 @@ def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prim
     for round_ in range(1, 1 << 20):
         # null ids sort lowest in a struct comparison; max of the struct keeps the id and its row's digest together
         heads = pending.groupBy("grp").agg(F.max(F.struct("id", "text_sha256")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        heads = written(heads, "heads")
         members = pending.join(heads, "grp").select("id", "text_sha256", "grp", F.col("head.id").alias("keep"), F.col("head.text_sha256").alias("keep_sha"))
         odd = written(_differing(docs, members), "collisions")
         if odd.isEmpty():
@@ -130,7 +134,7 @@ def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prim
                          .withColumn("grp", F.when(F.col("o_grp").isNotNull(), F.concat("grp", F.lit(f"/{round_}"))).otherwise(F.col("grp")))
                          .select("id", "fingerprint", "text_sha256", "grp"), "prints")
         pending = prints.filter(F.col("grp").endswith(f"/{round_}"))
-    groups = prints.groupBy("grp").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(prints.groupBy("grp").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return prints.join(groups, "grp").select(F.col("id").alias(doc_id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -274,6 +274,17 @@ def test_fingerprints_compose(data, cut):
     assert f.combine(f.of(data[:cut]), f.of(data[cut:])) == f.of(data) == exact_dedup.Fingerprint(chunk=7).of(data)
 
 
+def test_fingerprint_of_a_huge_text_takes_little_memory():
+    data = bytes(range(256)) * (1 << 18) + b"end"
+    f = exact_dedup.Fingerprint()
+    tracemalloc.start()
+    whole = f.of(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert whole == f.combine(f.of(data[:12_345_678]), f.of(data[12_345_678:]))
+
+
 @pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (3,)])
 def test_copies_equal_brute_force_even_when_fingerprints_collide(spark, odd, primes):
     more = [(100 + k, t, "en", "a") for k, t in enumerate(["aaab", "aaba", "abaa", "baaa", "abab", "baba", "aaab", "x" * 70_000, "x" * 69_999 + "y", "x" * 70_000])]
