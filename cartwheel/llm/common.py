@@ -47,3 +47,11 @@ def text_or_empty(c: str = "text") -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names an operator is about to write."""
     return df.drop(*names)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

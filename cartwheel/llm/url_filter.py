@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import ascii_lower, without
+from cartwheel.llm.common import ascii_lower, fresh
 
 _SEP = 0  # stands between host and path; never crossed by a single star
 #: Bits of one automaton; longer rule lists run in several automata one after the other.
@@ -165,9 +165,9 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", default:
     none = F.lit(None).cast("string")
     texts = F.array(*[F.lit(r.text) for r in ranked], none)
     verdicts = F.array(*[F.lit(r.verdict) for r in ranked], F.lit(default))
-    out = without(df.withColumns({"__host": host, "__path": path}), "host", "path", "rule", "verdict")
-    out = out.withColumn("__k", best("__host", "__path"))
-    at = F.when(F.col("__k") < 0, len(ranked)).otherwise(F.col("__k"))
-    return out.select(*[c for c in out.columns if not c.startswith("__")], F.col("__host").alias("host"), F.col("__path").alias("path"),
-                      F.get(texts, at).alias("rule"), F.get(verdicts, at).alias("verdict"))
+    own = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    h, p, k = (fresh(df, c) for c in ("__host", "__path", "__k"))
+    out = df.withColumns({h: host, p: path}).withColumn(k, best(h, p))
+    at = F.when(F.col(k) < 0, len(ranked)).otherwise(F.col(k))
+    return out.select(*own, F.col(h).alias("host"), F.col(p).alias("path"), F.get(texts, at).alias("rule"), F.get(verdicts, at).alias("verdict"))
 

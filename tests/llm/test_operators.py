@@ -56,6 +56,13 @@ def test_url_rules_equal_brute_force(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.parse_rules(queries.URL_RULES)).count() == 0
 
 
+def test_url_judging_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "k", "h", "r")], "page_id long, url string, __k string, __host string, Rule string")
+    got = url_filter.judge_urls(pages, url_filter.parse_rules(queries.URL_RULES))
+    assert got.columns == ["page_id", "url", "__k", "__host", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == (1, "http://a.net/x", "k", "h", "a.net", "/x", "net/", "block")
+
+
 def test_automaton_takes_many_words_and_wildcards():
     rules = [url_filter.Rule("block", f"h{k}.example/{'x' * (k % 90)}") for k in range(200)] + [url_filter.Rule("allow", "w*.z?/a*c/")]
     machine = url_filter.Automaton(rules)
@@ -303,6 +310,9 @@ def test_drop_copies_leaves_one_row_of_each_text(clashing, empty):
     assert got.columns == clashing.columns
     assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 2, 3, 5, 7, 8, 9, 10, 11]
     assert exact_dedup.drop_copies(empty).count() == exact_dedup.group_copies(empty).count() == 0
+    named = clashing.withColumns({c: F.lit("mine") for c in ("__id", "__sha", "__text_sha")})
+    assert exact_dedup.drop_copies(named).columns == named.columns
+    assert exact_dedup.drop_copies(named).filter("__id = 'mine' and __text_sha = 'mine'").count() == 9
 
 
 # ---- 7 mixing
