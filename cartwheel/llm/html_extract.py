@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import without
+from cartwheel.llm.common import fresh, without
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -284,5 +284,6 @@ def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.map(main_text, na_action=None)
 
-    rows = without(df.withColumn("__text", text_of(F.col(page))), out, "n_chars")
-    return rows.withColumnRenamed("__text", out).withColumn("n_chars", F.length(out).cast("long"))
+    made = fresh(df, "__text")
+    rows = without(df.withColumn(made, text_of(F.col(page))), out, "n_chars")
+    return rows.withColumnRenamed(made, out).withColumn("n_chars", F.length(out).cast("long"))
