@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.llm.common import without, written
+from cartwheel.llm.common import fresh, written
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 741103597)
@@ -140,8 +140,9 @@ def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prim
 
 def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each text, with the row's own columns: the largest id."""
-    kept = group_copies(df, doc_id, text).filter("kept").select(F.col(doc_id).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = df.withColumn("__text_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    out = rows.join(kept, rows[doc_id].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
+    key, sha, own = (fresh(df, c) for c in ("__id", "__sha", "__text_sha"))
+    kept = group_copies(df, doc_id, text).filter("kept").select(F.col(doc_id).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    rows = df.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    out = rows.join(kept, rows[doc_id].eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     # rows repeated with id and text: whole-row order decides, on rows that share the id only
-    return out.dropDuplicates([doc_id, "__text_sha"]).drop("__text_sha")
+    return out.dropDuplicates([doc_id, own]).drop(own)
