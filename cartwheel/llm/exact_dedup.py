@@ -8,8 +8,8 @@ compared byte by byte, chunk against chunk of the group's representative; member
 differ (a collision) form a new group and are compared again.
 
 Fingerprints are aggregated with map-side combining, and members join their
-representative on (group, chunk).  Heads and sizes of groups are written before they are
-joined: only a join of two plain shuffles is one that adaptive execution splits when one
+representative on (group, chunk).  Heads, their chunks and sizes of groups are written before they
+are joined: only a join of two plain shuffles is one that adaptive execution splits when one
 group holds a third of all rows.  No text is ever gathered per group.
 """
 
@@ -102,7 +102,7 @@ def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     texts = _pieces(docs.join(members, (docs["id"].eqNullSafe(members["id"])) & (docs["text_sha256"] == members["text_sha256"]), "inner")
                     .select(members["id"], members["text_sha256"], "grp", "keep", "keep_sha", "__bytes"))
     is_keep = F.col("id").eqNullSafe(F.col("keep")) & (F.col("text_sha256") == F.col("keep_sha"))
-    keeper = (texts.filter(is_keep).groupBy("grp", "chunk").agg(F.first("__bytes").alias("kept_bytes")))
+    keeper = written(texts.filter(is_keep).groupBy("grp", "chunk").agg(F.first("__bytes").alias("kept_bytes")), "keepers")
     paired = texts.filter(~is_keep).join(keeper, ["grp", "chunk"], "left")
     wrong = paired.filter(~F.col("__bytes").eqNullSafe(F.col("kept_bytes")))
     return wrong.select("id", "text_sha256", "grp").distinct()
