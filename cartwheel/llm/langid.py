@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,11 @@ class Model:
     gram_rows: np.ndarray | None = None
 
 
-def _rows(counts: dict[str, np.ndarray], totals: np.ndarray) -> np.ndarray:
-    """Smoothed log frequencies, each row shifted so that its likeliest language has 0."""
-    if not counts:
-        return np.zeros((0, len(totals)))
-    table = np.log((np.stack(list(counts.values())) + 0.1) / (totals + 0.1 * len(counts)))
+def _rows(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies of counts (a row per word, a column per language), each row shifted so that its likeliest language has 0."""
+    if not len(counts):
+        return counts
+    table = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(counts)))
     return table - table.max(axis=1, keepdims=True)
 
 
@@ -96,26 +98,23 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
             yield pd.DataFrame({"lang": language, "size": [s for s, _ in of_grams], "gram": [g for _, g in of_grams], "n": list(of_grams.values())})
 
     counted = known.filter(keep).mapInPandas(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= MIN_COUNT).toPandas()  # bounded by the words of the sample
-    langs = sorted(found["lang"].unique())
-    model = Model(langs)
-    place = {x: k for k, x in enumerate(langs)}
-    by_size: dict[int, dict[str, np.ndarray]] = {}
-    for language, size, g, c in zip(found["lang"], found["size"], found["gram"], found["n"]):
-        by_size.setdefault(int(size), {}).setdefault(g, np.zeros(len(langs)))[place[language]] = c
-    tables = []
-    for size in sorted(by_size):
-        counts = by_size[size]
-        table = _rows(counts, sum(counts.values()))
+    found = counted.filter(F.col("n") >= MIN_COUNT).toArrow()  # bounded by the words of the sample; as columns, a row object each would take the driver 400 bytes
+    langs = sorted(found["lang"].unique().to_pylist())
+    model = Model(langs, word_rows=np.zeros((0, len(langs))))
+    place, size_of, n = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["size"].to_numpy(), found["n"].to_numpy()
+    tables = [np.zeros((0, len(langs)))]
+    for size in sorted(set(size_of.tolist())):
+        here = size_of == size
+        keys = found["gram"].filter(pa.array(here)).combine_chunks().dictionary_encode()
+        counts = np.zeros((len(keys.dictionary), len(langs)))
+        counts[keys.indices.to_numpy(), place[here]] = n[here]
         if size == 0:
-            model.words, model.word_rows = {g: k for k, g in enumerate(counts)}, table
+            model.words, model.word_rows = {g: k for k, g in enumerate(keys.dictionary.to_pylist())}, _rows(counts)
         else:
             base = sum(map(len, tables))
-            model.grams |= {f"{size}{g}": base + k for k, g in enumerate(counts)}
-            tables.append(table)
-    if model.word_rows is None:
-        model.word_rows = np.zeros((0, len(langs)))
-    model.gram_rows = np.concatenate(tables) if tables else np.zeros((0, len(langs)))
+            model.grams |= {f"{size}{g}": base + k for k, g in enumerate(keys.dictionary.to_pylist())}
+            tables.append(_rows(counts))
+    model.gram_rows = np.concatenate(tables)
     return model
 
 

@@ -266,6 +266,19 @@ def test_rare_languages_are_learned_at_every_size(spark):
     assert scorer.predict("leniwym lisem")[0] == "pl" and scorer.predict("the dog")[0] == "en"
 
 
+def test_fitting_takes_the_driver_little_memory(spark):
+    texts = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.expr(
+        "array_join(transform(sequence(0, 199), k -> translate(substr(sha2(cast((id div 2) % 25 * 200 + k as string), 256), 1, 12), '0123456789', 'ghijklmnop')), ' ')").alias("text"))
+    tracemalloc.start()
+    try:
+        model = langid.fit(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    entries = len(model.words) + len(model.grams)
+    assert entries > 10_000 and peak < 300 * entries
+
+
 def test_fold_is_crc32(spark):
     import zlib
     got = rows(spark.range(50).select("id", langid.held_out("id")))
