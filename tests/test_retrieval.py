@@ -74,6 +74,14 @@ def test_negatives_never_positives(spark):
     assert neg.select("customer_id", "article_id").distinct().count() == neg.count()
 
 
+def test_draws_of_negatives_are_not_broadcast(spark):
+    tx = spark.range(3000).select(F.concat(F.lit("u"), F.col("id") % 5).alias("customer_id"), F.concat(F.lit("a"), F.col("id") % 1501).alias("article_id"))
+    neg = sp.negatives(tx)
+    neg.collect()
+    plan = neg._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [idx" in plan and "BroadcastHashJoin [idx" not in plan
+
+
 def test_exclusion_is_exact(spark):
     rng = np.random.default_rng(4)
     its = [(f"i{j:03d}", [float(x) for x in rng.integers(-3, 4, 3)]) for j in range(50)]
