@@ -8,8 +8,8 @@ product run by ``cogroup(...).applyInPandas``:
   into sub-blocks of at most ``query_block`` rows.  The (cluster, item block,
   query block) triple is the cogroup key, so a hot cluster or a huge catalogue is
   simply more groups - no group holds more than ``query_block + item_block`` rows;
-* each group computes ``Q @ I.T`` in NumPy (float64 accumulate) in row chunks of
-  bounded memory and emits only its local top-k per query, ties broken by item id;
+* each group computes ``Q @ I.T`` in NumPy in row chunks of bounded memory (single
+  precision finds what may be among the best, double precision scores it) and emits only its local top-k per query, ties broken by item id;
 * a final ``row_number() <= k`` over the few local winners per query (Spark
   plans it as a WindowGroupLimit, so the pre-shuffle side is pruned as well).
 
@@ -35,8 +35,8 @@ IVF_NLIST = 100     # fixed values: studied IVF defaults
 MAX_CENTROIDS = 65_536
 IVF_NPROBE = 10
 ITEM_BLOCK = 20000
-QUERY_BLOCK = 65_536   # the items are copied once per query block; a block of 64 floats is about 35 MB
-_CHUNK_CELLS = 1 << 22   # score-matrix cells per NumPy chunk (32 MiB of float64)
+QUERY_BLOCK = 16_384   # the items of a cluster are copied once per query block; a block of 64 floats is about 10 MB
+CHUNK_CELLS, RESCORED = 1 << 21, 1 << 15   # score-matrix cells per NumPy chunk, pairs scored again at a time (8 and 32 MiB)
 
 PAIR_SCHEMA = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("item_id", T.StringType()),
                             T.StructField("score", T.DoubleType())])
@@ -73,6 +73,40 @@ def lookup_embedding(ids: DataFrame, id_col: str, factors: DataFrame, dim: int |
 
 # ------------------------------------------------------------------ kernel
 
+def ranks(row: np.ndarray) -> np.ndarray:
+    """Place of every element within its run of equal rows (``row`` ascends)."""
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
+def score_margin(lengths: np.ndarray, longest: float, dim: int) -> np.ndarray:
+    """A bound on the error of scores found in single precision, for queries and items of these norms."""
+    return (dim + 8) * 1.2e-7 * lengths * longest + 1e-30
+
+
+def block_best(queries: np.ndarray, vectors: np.ndarray, low: np.ndarray, need: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query row, item, score)`` of the items that score at least ``low``; of one query the best ``need`` at most, of equal ones the first.
+
+    ``margin`` bounds the error of a query's scores in single precision.
+    """
+    kind = np.float32 if len(vectors) and max(np.abs(queries).max(), np.abs(vectors).max()) < 1e15 else np.float64
+    about = queries.astype(kind) @ vectors.astype(kind).T
+    # a query with more candidates than places: its need-th best score here is a bound as well
+    many = np.flatnonzero(np.count_nonzero(about >= (low - margin)[:, None].astype(kind), axis=1) > need)
+    least = low - margin
+    for n in np.unique(need[many]):
+        here = many[need[many] == n]
+        if n < len(vectors):
+            least[here] = np.maximum(least[here], np.partition(about[here], -n, axis=1)[:, -n] - 2 * margin[here])
+    # rounded down, so that the comparison in single precision loses nothing
+    r, c = np.nonzero(about >= np.nextafter(least.astype(kind), kind(-np.inf))[:, None])
+    score = np.concatenate([np.einsum("ij,ij->i", queries[r[n:n + RESCORED]], vectors[c[n:n + RESCORED]]) for n in range(0, len(r), RESCORED)] or [np.zeros(0)])
+    good = score >= low[r]
+    r, c, score = r[good], c[good], score[good]
+    order = np.lexsort((c, -score, r))
+    order = order[ranks(r[order]) < need[r[order]]]
+    return r[order], c[order], score[order]
+
+
 def _local_topk(k: int):
     def fn(key, q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if q.empty or it.empty:
@@ -82,34 +116,18 @@ def _local_topk(k: int):
         order = np.argsort(iids, kind="stable")          # id order: ties resolve to the smallest ids
         iids = iids[order]
         imat = np.stack(it["ivec"].to_numpy()[order]).astype(np.float64)
-        qmat_all = np.stack(q["qvec"].to_numpy()).astype(np.float64)
-        qids = q["qid"].to_numpy().astype(object)
+        qids, qvecs = q["qid"].to_numpy().astype(object), q["qvec"].to_numpy()
         qks = q["qk"].to_numpy().astype(np.int64) if "qk" in q.columns else np.full(len(q), k, np.int64)
-        ni = imat.shape[0]
-        step = max(1, _CHUNK_CELLS // max(ni, 1))
+        longest = float(np.linalg.norm(imat, axis=1).max())
+        step = max(1, CHUNK_CELLS // len(imat))
         out_q, out_i, out_s = [], [], []
-        for s in range(0, qmat_all.shape[0], step):
-            sc = qmat_all[s:s + step] @ imat.T
-            kq = np.minimum(qks[s:s + step], ni)                # per-query k (k + excluded count)
-            kk = int(kq.max())
-            if kk < ni:
-                thr = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1:kk]     # kk-th largest score per row
-                gt = sc > thr
-                eq = sc == thr
-                need = kk - gt.sum(axis=1, keepdims=True)                # slots left for boundary ties
-                keep = gt | (eq & (np.cumsum(eq, axis=1) <= need))        # exactly kk per row
-                r, c = np.nonzero(keep)
-            else:
-                r, c = np.divmod(np.arange(sc.shape[0] * ni), ni)
-            v = sc[r, c]
-            o = np.lexsort((c, -v, r))                                    # row, score desc, id asc
-            r, c, v = r[o], c[o], v[o]
-            pos = np.arange(len(r)) - np.repeat(np.arange(sc.shape[0]) * kk, kk)[:len(r)] if kk < ni \
-                else np.arange(len(r)) % ni
-            sel = pos < kq[r]                                             # each row's own prefix
-            out_q.append(qids[s + r[sel]])
-            out_i.append(iids[c[sel]])
-            out_s.append(v[sel])
+        for s in range(0, len(qvecs), step):
+            qmat = np.stack(qvecs[s:s + step]).astype(np.float64)
+            margin = score_margin(np.linalg.norm(qmat, axis=1), longest, imat.shape[1])
+            r, c, v = block_best(qmat, imat, np.full(len(qmat), -np.inf), qks[s:s + step], margin)
+            out_q.append(qids[s + r])
+            out_i.append(iids[c])
+            out_s.append(v)
         return pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
                              "score": np.concatenate(out_s)})
     return fn
@@ -174,7 +192,7 @@ def routed_topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K,
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def topk_flat(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK,
+def topk_flat(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, item_block: int = ITEM_BLOCK, query_block: int | None = None,
               exclude: DataFrame | None = None) -> DataFrame:
     """Exact (brute-force) inner-product top-k; ``k`` None/0 -> default.
 
@@ -185,7 +203,7 @@ def topk_flat(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, item_blo
     """
     from cartwheel.operators import index as ix
     path = f"{ensure_checkpoint_dir(queries.sparkSession).rstrip('/')}/items-{uuid.uuid4().hex}"
-    return ix.topk_indexed(queries, ix.write_item_index(items, path, item_block), k, exclude, query_block)
+    return ix.topk_indexed(queries, ix.write_item_index(items, path, item_block), k, exclude, query_block or ix.QUERY_ROWS)
 
 
 # ------------------------------------------------------------------ IVF

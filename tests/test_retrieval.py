@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cartwheel.operators import retrieval as rt
@@ -97,3 +100,16 @@ def test_exclusion_is_exact(spark):
         got.setdefault(r.query_id, []).append(r.item_id)
     want = {q: [i for i in full[q] if (q, i) not in set(excl)][:5] for q, _ in qs}
     assert got == want
+
+
+def test_block_product_takes_little_memory():
+    rng = np.random.default_rng(6)
+    q = pd.DataFrame({"qid": [f"q{k}" for k in range(3000)], "qvec": list(rng.normal(size=(3000, 8)).astype(np.float32)), "qk": 10})
+    it = pd.DataFrame({"iid": [f"i{k:04d}" for k in range(5000)], "ivec": list(rng.normal(size=(5000, 8)).astype(np.float32))})
+    tracemalloc.start()
+    got = rt._local_topk(10)((0,), q, it)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and len(got) == 30_000
+    scores = np.stack(q["qvec"]).astype(float) @ np.stack(it["ivec"]).astype(float).T
+    assert np.allclose(got["score"].to_numpy().reshape(3000, 10), -np.sort(-scores, axis=1)[:, :10])
