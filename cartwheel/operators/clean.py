@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cartwheel.functions.text import py_strip, title_case
 from cartwheel.operators.quantiles import exact_quantiles
+from cartwheel.session import stored
 
 # Fixed values of the studied cleaning policy.
 TX_KEYS = ("customer_id", "article_id", "t_dat")
@@ -139,10 +140,11 @@ def clean_transactions(df: DataFrame) -> DataFrame:
     """Dedupe -> drop NULL keys -> price median / channel mode -> dates -> types.
 
     Ids are stripped *after* de-duplication, as in the studied job, so ids that
-    differ only by padding survive as separate rows (SURVEY H18).  The median is found
-    when called (one job).
+    differ only by padding survive as separate rows (SURVEY H18).  The de-duplicated rows
+    are written and the median is found when called: median, mode and fills read them again,
+    so the join and the shuffle before them run once.
     """
-    return fill_transactions(drop_null_keys(drop_key_duplicates(df, TX_KEYS), TX_KEYS))
+    return fill_transactions(stored(drop_null_keys(drop_key_duplicates(df, TX_KEYS), TX_KEYS), "transactions"))
 
 
 def fill_transactions(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.hashing import seeded_fraction_below, seeded_key
 from cartwheel.operators.selection import first_rows, key_at
+from cartwheel.session import stored
 
 SEED = 42
 
@@ -65,9 +66,9 @@ def train_test_split_exact(df: DataFrame, key_cols: list[str], train_fraction: f
     """R2 exact form: the first ``int(n * fraction)`` rows in seeded hash order are 'train'.
 
     The hash where they end is found by radix selection; rows that share it stay together
-    and are 'test'.  Runs jobs when called.
+    and are 'test'.  Writes the rows and runs jobs over them when called, so that what leads to them runs once.
     """
-    keyed = df.withColumn("_h", seeded_key(seed, *key_cols))
+    keyed = stored(df, "split").withColumn("_h", seeded_key(seed, *key_cols))
     end, _ = key_at(keyed, "_h", lambda n: int(n * train_fraction))
     train = F.lit(True) if end is None else F.col("_h") < end
     return keyed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_h")

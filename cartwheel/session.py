@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL defaults, set only where the submitter (``--conf``, ``spark-defaults``) has not set them.
 _SQL_DEFAULTS = {
@@ -69,3 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         pass
     sc.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written when called as Parquet (which is compressed, unlike a checkpoint) into a new shared folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,3 +82,18 @@ def test_exact_quantiles_equal_spark(spark):
     assert exact_quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
     nan = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "p double")
     assert exact_quantiles(nan, ["p"], [0.5]) == {"p": [1.5]}
+
+
+def test_what_leads_to_the_transactions_runs_once(spark):
+    rows = [("c1", "a", dt.date(2020, 1, 1), 1.0, 1), ("c1", "a", dt.date(2020, 1, 1), 2.0, 1), ("c2", "b", dt.date(2020, 1, 2), None, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def price(p):
+        read.add(1)
+        return p
+
+    raw = spark.createDataFrame(rows, "customer_id string, article_id string, t_dat date, p double, sales_channel_id int")
+    raw = raw.select("customer_id", "article_id", "t_dat", price.asNondeterministic()("p").alias("price"), "sales_channel_id")
+    out = {r.customer_id: (r.price, r.sales_channel_id) for r in clean.clean_transactions(raw).collect()}
+    assert out == {"c1": (1.0, 1), "c2": (1.0, 1)} and read.value == 3
