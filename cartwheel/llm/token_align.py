@@ -16,9 +16,11 @@ their counts are broadcast.
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain
 from operator import itemgetter
 from struct import Struct
@@ -38,7 +40,7 @@ BLOCK_CHARS = 1 << 20
 # Fixed value: the pattern of byte-level pre-tokenizers.
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[\s\S])")
-_JOINED = re.compile(r"[\s\S]*[!-~\w]")  # a unit behind which a space is always a cut
+_JOINED = re.compile(r"[!-~\w]")  # the last character of a unit behind which a space is always a cut
 
 
 class _Tokens:
@@ -79,6 +81,8 @@ class JsonTokens(_Tokens):
 
         self.added = {t["content"] for t in spec.get("added_tokens", [])}
         self.ranked = self._ranked(spec["model"]) if self.by_unit else None
+        if self.ranked:
+            self.tokenizer = None  # tens of MB
 
     def _ranked(self, model: dict):
         """The same tokens from a quicker library, if the ids stand in the order of the merges."""
@@ -142,6 +146,11 @@ def common_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return cuts
 
 
+@lru_cache(MEMO_TOKENS * 2)
+def _packed(n: int):
+    return Struct(f"<{n}I").pack
+
+
 class Aligner:
     """Tokens of both tokenizers and their groups, for units of text that both cut apart."""
 
@@ -155,7 +164,7 @@ class Aligner:
 
     def _shape(self, key: tuple[bytes, bytes]) -> tuple:
         """For tokens of the given sizes: a format of the groups, its ids' places among those of A and then B, the places of linked ids."""
-        sizes_a, sizes_b = (np.frombuffer(k, np.uint16).tolist() for k in key)
+        sizes_a, sizes_b = (memoryview(k).cast("H").tolist() for k in key)
         n = len(sizes_a)
         # where the cuts lie depends on the sizes alone; the last ends are common anyhow
         cuts = [*common_cuts(list(accumulate(sizes_a[:-1])), list(accumulate(sizes_b[:-1]))), (n - 1, len(sizes_b) - 1)]
@@ -164,16 +173,17 @@ class Aligner:
             form.append(",".join(["%d"] * (i + 1 - x)) + "|" + ",".join(["%d"] * (j + 1 - y)))
             order += [*range(x, i + 1), *range(n + y, n + j + 1)]
             x, y = i + 1, j + 1
-        shape = ";".join(form), itemgetter(*order), [(i, n + j) for i, j in cuts], Struct(f"<{len(cuts)}q")
+        # as a little-endian integer of 64 bits a link is the id of B and then that of A
+        shape = ";".join(form), itemgetter(*order), itemgetter(*chain.from_iterable((n + j, i) for i, j in cuts)), _packed(2 * len(cuts))
         if len(order) < MEMO_TOKENS and len(self.shapes) < MEMO_UNITS:
             self.shapes[key] = shape
         return shape
 
     def _unit(self, a: list[int], b: list[int], key: tuple[bytes, bytes]) -> tuple:
         """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same, by their ids and sizes; links are packed."""
-        form, order, cuts, pack = self.shapes.get(key) or self._shape(key)
+        form, order, links, pack = self.shapes.get(key) or self._shape(key)
         ids = a + b
-        return form % order(ids), len(a), len(b), pack.pack(*[ids[i] << 32 | ids[j] for i, j in cuts])
+        return form % order(ids), len(a), len(b), pack(*links(ids))
 
     def _apart(self, units: list[str]) -> list[tuple | None]:
         """Each unit by itself; None where a tokenizer does not give back the bytes of space and unit."""
@@ -181,40 +191,43 @@ class Aligner:
         return [self._unit(a, b, (self.a.sizes_of(a).tobytes(), self.b.sizes_of(b).tobytes())) if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
 
     def _together(self, units: list[str]) -> list[tuple | None]:
-        """The units as one text of A with spaces between them, where A cuts it; B is given them one by one."""
+        """The units as one text with spaces between them, where both tokenizers cut it."""
         text = " " + " ".join(units)
-        a, of_b = self.a.encode([text])[0], self.b.encode([" " + u for u in units])
-        b = list(chain.from_iterable(of_b))
+        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
         if not self.a.join(a) == text.encode() == self.b.join(b):
             return self._apart(units)
-        size_a, size_b = self.a.sizes_of(a), self.b.sizes_of(b).tobytes()
-        cuts = np.searchsorted(np.cumsum(size_a, dtype=np.int64), list(accumulate([len(u.encode()) + 1 for u in units]))) + 1
-        size_a = size_a.tobytes()
+        size_a, size_b = self.a.sizes_of(a), self.b.sizes_of(b)
+        ends = list(accumulate([len(u.encode()) + 1 for u in units]))
+        cuts_a, cuts_b = ((np.searchsorted(np.cumsum(s, dtype=np.int64), ends) + 1).tolist() for s in (size_a, size_b))
+        size_a, size_b = size_a.tobytes(), size_b.tobytes()
         out, x, y = [], 0, 0
-        for i, ids in zip(cuts.tolist(), of_b):
-            j = y + len(ids)
-            out.append(self._unit(a[x:i], ids, (size_a[2 * x:2 * i], size_b[2 * y:2 * j])))
+        for i, j in zip(cuts_a, cuts_b):
+            out.append(self._unit(a[x:i], b[y:j], (size_a[2 * x:2 * i], size_b[2 * y:2 * j])))
             x, y = i, j
         return out
 
-    def _align(self, units: list[str]) -> list[tuple | None]:
-        joined = [bool(_JOINED.fullmatch(u)) for u in units]
-        together = iter(self._together([u for u, j in zip(units, joined) if j]) if any(joined) else ())
-        apart = iter(self._apart([u for u, j in zip(units, joined) if not j]))
-        return [next(together if j else apart) for j in joined]
+    def _align(self, units: set[str]) -> dict[str, tuple | None]:
+        apart = [u for u in units if not _JOINED.match(u[-1:])]
+        joined = list(units.difference(apart))
+        found = dict(zip(apart, self._apart(apart)))
+        if joined:
+            found.update(zip(joined, self._together(joined)))
+        return found
 
     def align(self, text: str) -> tuple[int, int, bytes, str]:
         """``(n_a, n_b, links, groups)`` of a text, links as 64-bit integers; zeros and nothing for one without tokens."""
         found: list[tuple | None] = []
         for block in _blocks(text) if self.by_unit else ():
             units = _CUT.split(block)
-            new = {u for u in units if u not in self.memo}
+            new = set(units).difference(self.memo)
             if new:
                 if len(self.memo) > MEMO_UNITS:
                     self.before, self.memo, new = self.memo, {}, set(units)
-                self.memo.update((u, self.before[u]) for u in new if u in self.before)
-                new = [u for u in new if u not in self.before]
-                self.memo.update(zip(new, self._align(new)))
+                if self.before:
+                    known = new.difference(new.difference(self.before))
+                    self.memo.update(zip(known, map(self.before.__getitem__, known)))
+                    new -= known
+                self.memo.update(self._align(new))
             found += map(self.memo.__getitem__, units)
             for u in new:
                 if len(u) > MEMO_CHARS:
@@ -261,6 +274,16 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFr
     names, place = [*rows.columns, *COLUMNS], rows.columns.index(text)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = gc.get_threshold()
+        gc.set_threshold(100_000, 50, 50)  # a task remembers hundreds of thousands of objects, none of them in a cycle: look at them less often
+        try:
+            yield from aligned(batches)
+        finally:
+            gc.set_threshold(*usual)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b)
         for batch in batches:
             lo, size, done = 0, 0, []

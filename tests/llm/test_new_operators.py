@@ -308,3 +308,12 @@ def test_unclosed_tags_and_deep_blocks_are_read_once():
         found = html_extract.blocks(page)
         assert time.process_time() - start < 2 and found
     assert "".join(html_extract.blocks("a < b <i c")[0].parts) == "a < b <i c"
+
+
+def test_units_of_a_text_are_encoded_together(aligner, monkeypatch):
+    asked = []
+    for side in (aligner.a, aligner.b):
+        monkeypatch.setattr(side, "encode", lambda units, encode=side.encode: asked.append(len(units)) or encode(units))
+    text = "quarzab, zwölfxy umbrellaish 0x7fe3 ofthings."
+    assert as_plain(aligner.align(text)) == plain_alignment(text)
+    assert asked == [0, 0, 1, 1]  # by A and B: no unit by itself, all five as one text
