@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.llm import (decontaminate, exact_dedup, html_extract, jaccard_join, langid, minhash, mixing, pii, spelling, suffix_dedup, token_align, token_count,
                            url_filter)
-from cartwheel.llm.common import shared_path, table, written
+from cartwheel.llm.common import shared_path, small_batches, table, written
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 PII_KEY = "cartwheel-example-key"
@@ -83,7 +83,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = token_align.align(docs, *(str(public_tokenizers.path(t)) for t in (TOKENIZER, OTHER_TOKENIZER)))
     digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "links", digest), "aligned")
+    with small_batches(spark):
+        aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "links", digest), "aligned")
     scored = token_align.score_links(aligned, token_align.link_counts(aligned))
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

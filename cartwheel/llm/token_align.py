@@ -34,13 +34,14 @@ from pyspark.sql import types as T
 from cartwheel.llm.common import without, written
 
 #: Units a task gathers before it forgets older ones, the longest unit it remembers, and the most tokens of which it remembers the cuts.
-MEMO_UNITS, MEMO_CHARS, MEMO_TOKENS = 130_000, 100, 16
+MEMO_UNITS, MEMO_CHARS, MEMO_TOKENS = 60_000, 100, 16
 #: Characters of a text that are divided into units at a time.
 BLOCK_CHARS = 1 << 20
 # Fixed value: the pattern of byte-level pre-tokenizers.
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[\s\S])")
 _JOINED = re.compile(r"[!-~\w]")  # the last character of a unit behind which a space is always a cut
+_PLAIN = re.compile(r"[\x01-\x1f!-\u07ff]*(?<=[!-~\w])")  # such a unit without spaces, of characters of at most two bytes
 
 
 class _Tokens:
@@ -100,6 +101,9 @@ class JsonTokens(_Tokens):
             return [self.ranked.encode_ordinary(u) for u in units]
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def encode_plain(self, text: str) -> list[int]:
+        return self.encode([text])[0]
+
 
 class ModelTokens(_Tokens):
     """Pieces of a SentencePiece model that puts a space before every text; units begin with that space."""
@@ -111,10 +115,41 @@ class ModelTokens(_Tokens):
         pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self._keep({i: bytes([int(t[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)})
         self.by_unit = not any(re.search("[^▁]▁", t) for t in pieces)
+        self.ranked = self._ranked(pieces) if self.by_unit else None
+
+    def _ranked(self, pieces: list[str]):
+        """The same pieces of plain units from a quicker library, if the model merges by score and leaves every character as it is.
+
+        Bytes are merged into characters first and then by descending score; ``place`` turns ranks into ids.
+        """
+        try:
+            import tiktoken
+            from sentencepiece import sentencepiece_model_pb2  # needs protobuf
+        except ImportError:
+            return None
+
+        p, model = self.processor, sentencepiece_model_pb2.ModelProto.FromString(self.processor.serialized_model_proto())
+        rule, how = model.normalizer_spec, model.trainer_spec
+        as_is = not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and rule.add_dummy_prefix and rule.escape_whitespaces and not how.treat_whitespace_as_suffix
+        kept = [i for i, t in enumerate(pieces) if model.pieces[i].type == model.SentencePiece.NORMAL and re.fullmatch("▁?[^▁\u0800-\U0010ffff]*", t)]
+        letters, merged = [i for i in kept if len(pieces[i]) == 1], sorted((i for i in kept if len(pieces[i]) > 1), key=p.get_score, reverse=True)
+        known = {pieces[i] for i in letters}
+        own = {bytes([int(t[3:5], 16)]): i for i, t in enumerate(pieces) if p.is_byte(i)}
+        if (how.model_type != how.BPE or not as_is or len(own) < 256 or any(x.type in (x.USER_DEFINED, x.UNUSED) for x in model.pieces) or len({p.get_score(i) for i in merged}) < len(merged)
+                or not known.issuperset(chain.from_iterable(pieces[i] for i in merged)) or any(p.encode(pieces[i][1:]) != [i] for i in merged if pieces[i][0] == "▁")):
+            return None
+        own |= {self.bytes[i]: i for i in letters if len(self.bytes[i]) == 1}
+        order = [*own.items(), *((self.bytes[i], i) for i in letters if len(self.bytes[i]) > 1), *((self.bytes[i], i) for i in merged)]
+        self.place = np.array([i for _, i in order], np.int64)
+        return tiktoken.Encoding("pieces", pat_str=" ?[^ ]+| ", mergeable_ranks={t: rank for rank, (t, _) in enumerate(order)}, special_tokens={})
 
     def encode(self, units: list[str]) -> list[list[int]]:
         return self.processor.encode([u[1:] for u in units], num_threads=1)
 
+    def encode_plain(self, text: str) -> list[int]:
+        """The pieces of plain units, each behind its space."""
+        return self.place[self.ranked.encode_ordinary(text)].tolist() if self.ranked else self.encode([text])[0]
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the others from U+0100 on."""
@@ -164,14 +199,15 @@ class Aligner:
 
     def _shape(self, key: tuple[bytes, bytes]) -> tuple:
         """For tokens of the given sizes: a format of the groups, its ids' places among those of A and then B, the places of linked ids."""
-        sizes_a, sizes_b = (memoryview(k).cast("H").tolist() for k in key)
+        sizes_a, sizes_b = memoryview(key[0]).cast("H").tolist(), memoryview(key[1]).cast("H").tolist()
         n = len(sizes_a)
         # where the cuts lie depends on the sizes alone; the last ends are common anyhow
         cuts = [*common_cuts(list(accumulate(sizes_a[:-1])), list(accumulate(sizes_b[:-1]))), (n - 1, len(sizes_b) - 1)]
         form, order, x, y = [], [], 0, 0
         for i, j in cuts:
-            form.append(",".join(["%d"] * (i + 1 - x)) + "|" + ",".join(["%d"] * (j + 1 - y)))
-            order += [*range(x, i + 1), *range(n + y, n + j + 1)]
+            form.append("%d" + ",%d" * (i - x) + "|%d" + ",%d" * (j - y))
+            order += range(x, i + 1)
+            order += range(n + y, n + j + 1)
             x, y = i + 1, j + 1
         # as a little-endian integer of 64 bits a link is the id of B and then that of A
         shape = ";".join(form), itemgetter(*order), itemgetter(*chain.from_iterable((n + j, i) for i, j in cuts)), _packed(2 * len(cuts))
@@ -179,39 +215,45 @@ class Aligner:
             self.shapes[key] = shape
         return shape
 
-    def _unit(self, a: list[int], b: list[int], key: tuple[bytes, bytes]) -> tuple:
-        """``(groups, n_a, n_b, links)`` of tokens whose bytes are the same, by their ids and sizes; links are packed."""
-        form, order, links, pack = self.shapes.get(key) or self._shape(key)
-        ids = a + b
-        return form % order(ids), len(a), len(b), pack(*links(ids))
-
     def _apart(self, units: list[str]) -> list[tuple | None]:
         """Each unit by itself; None where a tokenizer does not give back the bytes of space and unit."""
         both = zip(units, self.a.encode([" " + u for u in units]), self.b.encode([" " + u for u in units]))
-        return [self._unit(a, b, (self.a.sizes_of(a).tobytes(), self.b.sizes_of(b).tobytes())) if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
+        return [self._parts(a, b, self.a.sizes_of(a), self.b.sizes_of(b), [len(a)], [len(b)])[0] if self.a.join(a) == (" " + u).encode() == self.b.join(b) else None for u, a, b in both]
 
-    def _together(self, units: list[str]) -> list[tuple | None]:
+    def _together(self, units: list[str], plain: bool = False) -> list[tuple | None]:
         """The units as one text with spaces between them, where both tokenizers cut it."""
         text = " " + " ".join(units)
-        a, b = self.a.encode([text])[0], self.b.encode([text])[0]
-        if not self.a.join(a) == text.encode() == self.b.join(b):
+        a, b = (side.encode_plain(text) if plain else side.encode([text])[0] for side in (self.a, self.b))
+        # ranked merges only join bytes, so theirs are those of the text
+        if not (plain and self.a.ranked and self.b.ranked) and not self.a.join(a) == text.encode() == self.b.join(b):
             return self._apart(units)
         size_a, size_b = self.a.sizes_of(a), self.b.sizes_of(b)
         ends = list(accumulate([len(u.encode()) + 1 for u in units]))
         cuts_a, cuts_b = ((np.searchsorted(np.cumsum(s, dtype=np.int64), ends) + 1).tolist() for s in (size_a, size_b))
-        size_a, size_b = size_a.tobytes(), size_b.tobytes()
+        return self._parts(a, b, size_a, size_b, cuts_a, cuts_b)
+
+    def _parts(self, a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, cuts_a: list[int], cuts_b: list[int]) -> list[tuple]:
+        """``(groups, n_a, n_b, links)`` of each part up to the given cuts, whose tokens (ids and sizes) have the same bytes; links are packed."""
+        size_a, size_b, shapes = size_a.tobytes(), size_b.tobytes(), self.shapes
         out, x, y = [], 0, 0
         for i, j in zip(cuts_a, cuts_b):
-            out.append(self._unit(a[x:i], b[y:j], (size_a[2 * x:2 * i], size_b[2 * y:2 * j])))
+            key = size_a[2 * x:2 * i], size_b[2 * y:2 * j]
+            form, order, links, pack = shapes.get(key) or self._shape(key)
+            ids = a[x:i] + b[y:j]
+            out.append((form % order(ids), i - x, j - y, pack(*links(ids))))
             x, y = i, j
         return out
 
     def _align(self, units: set[str]) -> dict[str, tuple | None]:
-        apart = [u for u in units if not _JOINED.match(u[-1:])]
-        joined = list(units.difference(apart))
-        found = dict(zip(apart, self._apart(apart)))
-        if joined:
-            found.update(zip(joined, self._together(joined)))
+        plain = [u for u in units if _PLAIN.fullmatch(u)]
+        found = dict(zip(plain, self._together(plain, True))) if plain else {}
+        if len(plain) < len(units):
+            others = units.difference(plain)
+            apart = [u for u in others if not _JOINED.match(u[-1:])]
+            joined = list(others.difference(apart))
+            found.update(zip(apart, self._apart(apart)))
+            if joined:
+                found.update(zip(joined, self._together(joined)))
         return found
 
     def align(self, text: str) -> tuple[int, int, bytes, str]:

@@ -237,6 +237,34 @@ def test_alignment_equals_the_libraries(aligner, text):
     assert as_plain(aligner.align(text)) == plain_alignment(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=1, max_codepoint=0x7FF, exclude_characters=" "), max_size=12) | st.sampled_from(["the", "don't", "<s>", "<0x41>", "naïve", "a\nb", "§½", "$$$", "straße."]), min_size=1, max_size=12))
+def test_plain_units_have_the_library_s_pieces(aligner, units):
+    units = [u + "." for u in units]
+    assert all(token_align._PLAIN.fullmatch(u) for u in units) and not any(token_align._PLAIN.fullmatch(u) for u in ("", "a b", "漢", "a▁b", "x\x00", "x\n"))
+    wanted = aligner.b.processor.encode(units, num_threads=1)
+    assert aligner.b.encode_plain(" " + " ".join(units)) == [i for ids in wanted for i in ids]
+
+
+def test_alignment_hands_texts_over_in_small_batches(spark, monkeypatch):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(queries, "written", lambda df, label, own=queries.written: seen.append(spark.conf.get(setting)) or own(df, label))
+    queries.op13_token_alignment(spark, SF)
+    assert int(seen[0]) <= 1000 and spark.conf.get(setting) == before
+
+
+def test_plain_units_need_no_priority_queue(monkeypatch):
+    aligner, text = token_align.Aligner(*PATHS), "die Straße, l'été and 1234 the-end."
+    wanted = plain_alignment(text)
+
+    def encode(*a, **kw):
+        raise AssertionError("the slower library was asked")
+
+    monkeypatch.setattr(aligner.b, "encode", encode)
+    assert as_plain(aligner.align(text)) == wanted
+
+
 def test_alignment_of_long_texts(aligner, monkeypatch):
     monkeypatch.setattr(token_align, "BLOCK_CHARS", 50)
     for text in ("word " * 300, "漢字かな交じり文" * 200, "a" * 3000, " " * 500, "x" + " " * 400 + "y", "no cut here but one " + "z" * 400 + " end"):
