@@ -169,9 +169,8 @@ def fill_transactions(df: DataFrame) -> DataFrame:
 
 
 def clean_customers(df: DataFrame) -> DataFrame:
-    """Dedupe -> drop NULL id -> constant fills -> age median + clip -> types."""
-    df = drop_key_duplicates(df, CUSTOMER_KEYS)
-    df = drop_null_keys(df, CUSTOMER_KEYS)
+    """Dedupe -> drop NULL id -> constant fills -> age median + clip -> types; the de-duplicated rows are written when called, as in C1."""
+    df = stored(drop_null_keys(drop_key_duplicates(df, CUSTOMER_KEYS), CUSTOMER_KEYS), "customers")
     med = column_medians(df, present(df, ["age"]))
     cols = []
     for c in df.columns:
@@ -189,9 +188,8 @@ def clean_customers(df: DataFrame) -> DataFrame:
 
 
 def clean_articles(df: DataFrame) -> DataFrame:
-    """Dedupe -> drop NULL id -> type-driven fills -> text -> types."""
-    df = drop_key_duplicates(df, ARTICLE_KEYS)
-    df = drop_null_keys(df, ARTICLE_KEYS)
+    """Dedupe -> drop NULL id -> type-driven fills -> text -> types; the de-duplicated rows are written when called, as in C1."""
+    df = stored(drop_null_keys(drop_key_duplicates(df, ARTICLE_KEYS), ARTICLE_KEYS), "articles")
     df = fill_by_type(df)
     df = standardize_text(df)
     cols = []

@@ -36,7 +36,8 @@ MAX_CENTROIDS = 65_536
 IVF_NPROBE = 10
 ITEM_BLOCK = 20000
 QUERY_BLOCK = 16_384   # the items of a cluster are copied once per query block; a block of 64 floats is about 10 MB
-CHUNK_CELLS, RESCORED = 1 << 21, 1 << 15   # score-matrix cells per NumPy chunk, pairs scored again at a time (8 and 32 MiB)
+CHUNK_CELLS, RESCORED = 1 << 21, 1 << 15   # score-matrix cells whose candidates are held at a time, pairs scored again at a time (8 and 32 MiB)
+TILE_QUERIES, TILE_ITEMS = 256, 2048       # a tile of scores is 2 MiB at most
 
 PAIR_SCHEMA = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("item_id", T.StringType()),
                             T.StructField("score", T.DoubleType())])
@@ -83,28 +84,70 @@ def score_margin(lengths: np.ndarray, longest: float, dim: int) -> np.ndarray:
     return (dim + 8) * 1.2e-7 * lengths * longest + 1e-30
 
 
+def _true_cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the true cells, found eight cells at a time (few are true)."""
+    if mask.size % 8:
+        at = np.flatnonzero(mask)
+    else:
+        eights = mask.reshape(-1, 8)
+        some = np.flatnonzero(eights.view(np.uint64))
+        n, place = np.nonzero(eights[some])
+        at = some[n] * 8 + place
+    return np.divmod(at, mask.shape[1])
+
+
+def _raised(about: np.ndarray, here: np.ndarray, need: np.ndarray, margin: np.ndarray, bound: np.ndarray) -> None:
+    """Raise the bounds of the rows ``here`` to what is surely reached ``need`` times among these scores."""
+    for n in np.unique(need[here]):
+        rows = here[need[here] == n]
+        if n <= about.shape[1]:
+            bound[rows] = np.maximum(bound[rows], np.partition(about[rows], -n, axis=1)[:, -n] - 2 * margin[rows])
+
+
+def _candidates(queries: np.ndarray, vectors: np.ndarray, low: np.ndarray, need: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(query row, item)`` of all that may be among the best ``need``, by scores in the precision of the given arrays."""
+    down = lambda x: np.nextafter(x.astype(vectors.dtype), vectors.dtype.type(-np.inf))  # noqa: E731 - the comparison then loses nothing
+    bound, found = low - margin, []
+    for first in range(0, len(vectors), TILE_ITEMS):
+        about = queries @ vectors[first:first + TILE_ITEMS].T
+        _raised(about, np.flatnonzero(np.isneginf(bound)), need, margin, bound)
+        r, c = _true_cells(about >= down(bound)[:, None])
+        many = np.flatnonzero(np.bincount(r, minlength=len(queries)) > 2 * need + 32)
+        if len(many):
+            _raised(about, many, need, margin, bound)
+            kept = about[r, c] >= down(bound)[r]
+            r, c = r[kept], c[kept]
+        found.append((r, first + c, about[r, c]))
+    r, c, about = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    # the tiles together may tell a higher bound than each of them
+    order = np.lexsort((-about, r))
+    r, c, about = r[order], c[order], about[order]
+    last = np.flatnonzero(ranks(r) + 1 == need[r])
+    bound[r[last]] = np.maximum(bound[r[last]], about[last] - 2 * margin[r[last]])
+    kept = about >= down(bound)[r]
+    return r[kept], c[kept]
+
+
 def block_best(queries: np.ndarray, vectors: np.ndarray, low: np.ndarray, need: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query row, item, score)`` of the items that score at least ``low``; of one query the best ``need`` at most, of equal ones the first.
 
-    ``margin`` bounds the error of a query's scores in single precision.
+    ``margin`` bounds the error of a query's scores in single precision.  Scores are made in tiles that
+    stay in the processor's cache; of a tile only what reaches its query's bound is looked at again.
     """
-    kind = np.float32 if len(vectors) and max(np.abs(queries).max(), np.abs(vectors).max()) < 1e15 else np.float64
-    about = queries.astype(kind) @ vectors.astype(kind).T
-    # a query with more candidates than places: its need-th best score here is a bound as well
-    many = np.flatnonzero(np.count_nonzero(about >= (low - margin)[:, None].astype(kind), axis=1) > need)
-    least = low - margin
-    for n in np.unique(need[many]):
-        here = many[need[many] == n]
-        if n < len(vectors):
-            least[here] = np.maximum(least[here], np.partition(about[here], -n, axis=1)[:, -n] - 2 * margin[here])
-    # rounded down, so that the comparison in single precision loses nothing
-    r, c = np.nonzero(about >= np.nextafter(least.astype(kind), kind(-np.inf))[:, None])
-    score = np.concatenate([np.einsum("ij,ij->i", queries[r[n:n + RESCORED]], vectors[c[n:n + RESCORED]]) for n in range(0, len(r), RESCORED)] or [np.zeros(0)])
-    good = score >= low[r]
-    r, c, score = r[good], c[good], score[good]
-    order = np.lexsort((c, -score, r))
-    order = order[ranks(r[order]) < need[r[order]]]
-    return r[order], c[order], score[order]
+    kind = np.float32 if len(queries) and len(vectors) and max(np.abs(queries).max(), np.abs(vectors).max()) < 1e15 else np.float64
+    about_q, about_v = queries.astype(kind), vectors.astype(kind)
+    step, found = max(1, min(TILE_QUERIES, CHUNK_CELLS // max(len(vectors), 1))), []
+    for lo in range(0, len(queries), step):
+        at = slice(lo, lo + step)
+        r, c = _candidates(about_q[at], about_v, low[at], need[at], margin[at])
+        r = r + lo
+        score = np.concatenate([np.einsum("ij,ij->i", queries[r[n:n + RESCORED]], vectors[c[n:n + RESCORED]]) for n in range(0, len(r), RESCORED)] or [np.zeros(0)])
+        good = score >= low[r]
+        r, c, score = r[good], c[good], score[good]
+        order = np.lexsort((c, -score, r))
+        order = order[ranks(r[order]) < need[r[order]]]
+        found.append((r[order], c[order], score[order]))
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _local_topk(k: int):

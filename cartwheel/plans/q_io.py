@@ -53,8 +53,9 @@ def q_first_existing_source(spark, d):
 @query("alternate_item_key")
 def q_alternate_item_key(spark, d):
     """A recommendation table keyed by item_id meets checked metadata keyed by article_id."""
-    meta = io.check_metadata(tb.articles(spark, d)).select("article_id", "product_type_name")
-    return io.normalize_item_key(_batch_recs(spark, d)).join(meta, "article_id")
+    articles = tb.articles(spark, d)
+    meta = io.check_metadata(articles).select("article_id", "product_type_name")
+    return io.normalize_item_key(_batch_recs(spark, d, articles=articles)).join(meta, "article_id")
 
 
 @query("model_settings")
@@ -80,7 +81,8 @@ def q_batch_export(spark, d):
 @query("payload_records")
 def q_payload_records(spark, d):
     """The JSON text of every user's response, parsed again to one row per recommendation."""
-    p = rc.payload(_batch_recs(spark, d), tb.articles(spark, d), 10)
+    articles = tb.articles(spark, d)
+    p = rc.payload(_batch_recs(spark, d, articles=articles), articles, 10)
     rec = F.explode("p.recommendations").alias("rec")
     return (p.select("cache_key", rc.parse_payload(F.col("json")).alias("p"))
              .select("cache_key", "p.user_id", "p.total_recommendations", rec).select("cache_key", "user_id", "total_recommendations", "rec.*"))

@@ -22,11 +22,11 @@ def _factors(spark, d):
     return tb.factors(spark, d).select("id", "features")
 
 
-def _towers(spark, d):
-    """User and item towers: the embedding table looked up by customer / article id."""
+def _towers(spark, d, articles=None):
+    """User and item towers: the embedding table looked up by customer / article id (of the given articles, if any were cleaned before)."""
     f = _factors(spark, d)
     users = rt.lookup_embedding(tb.customers(spark, d), "customer_id", f)
-    items = rt.lookup_embedding(tb.articles(spark, d), "article_id", f)
+    items = rt.lookup_embedding(tb.articles(spark, d) if articles is None else articles, "article_id", f)
     return users, items
 
 
@@ -34,8 +34,8 @@ def _as_recs(df):
     return df.select(F.col("query_id").alias("user_id"), "item_id", "score", "rank")
 
 
-def _batch_recs(spark, d, k=10):
-    users, items = _towers(spark, d)
+def _batch_recs(spark, d, k=10, articles=None):
+    users, items = _towers(spark, d, articles)
     return _as_recs(rt.topk_flat(users, items, k))
 
 
@@ -160,23 +160,27 @@ def q_candidate_pool(spark, d):
 
 @query("readable_recs")
 def q_readable_recs(spark, d):
-    return rc.readable_recommendations(_batch_recs(spark, d), tb.articles(spark, d))
+    articles = tb.articles(spark, d)
+    return rc.readable_recommendations(_batch_recs(spark, d, articles=articles), articles)
 
 
 @query("display_recs")
 def q_display_recs(spark, d):
-    return rc.display_recommendations(_batch_recs(spark, d), tb.articles(spark, d))
+    articles = tb.articles(spark, d)
+    return rc.display_recommendations(_batch_recs(spark, d, articles=articles), articles)
 
 
 @query("rec_payload", rows_only=True)
 def q_rec_payload(spark, d):
-    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d), 10).select("user_id", "total_recommendations", "json")
+    articles = tb.articles(spark, d)
+    return rc.payload(_batch_recs(spark, d, articles=articles), articles, 10).select("user_id", "total_recommendations", "json")
 
 
 @query("rec_cache_keys")
 def q_rec_cache_keys(spark, d):
     """The stored key and list length of every customer's payload."""
-    return rc.payload(_batch_recs(spark, d), tb.articles(spark, d), 10).select("user_id", "cache_key", "total_recommendations")
+    articles = tb.articles(spark, d)
+    return rc.payload(_batch_recs(spark, d, articles=articles), articles, 10).select("user_id", "cache_key", "total_recommendations")
 
 
 @query("request_guard")

@@ -97,3 +97,10 @@ def test_what_leads_to_the_transactions_runs_once(spark):
     raw = raw.select("customer_id", "article_id", "t_dat", price.asNondeterministic()("p").alias("price"), "sales_channel_id")
     out = {r.customer_id: (r.price, r.sales_channel_id) for r in clean.clean_transactions(raw).collect()}
     assert out == {"c1": (1.0, 1), "c2": (1.0, 1)} and read.value == 3
+
+
+def test_tables_are_deduplicated_once(spark):
+    customers = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("b", 40.0)], "customer_id string, age double")
+    articles = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", None)], "article_id string, name string")
+    for cleaned in (clean.clean_customers(customers), clean.clean_articles(articles)):
+        assert cleaned.count() == 2 and "Window" not in cleaned._jdf.queryExecution().executedPlan().toString()
