@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +57,15 @@ def write_rounds(batched: DataFrame, path: str) -> None:
     held.write.partitionBy("round").parquet(path)
 
 
-class _Shared:
+class Shared:
     """Files below a shared folder: a mounted one, or one that pyarrow opens by itself."""
 
     def __init__(self, root: str):
         from pyarrow import fs
         self.system, self.root = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
 
-    def pairs(self, folder: str) -> tuple[np.ndarray, ...]:
-        """Batch, user number and item number of the pairs in a folder (one file, or none)."""
+    def columns(self, folder: str, names: list[str]) -> list[pa.ChunkedArray]:
+        """Columns of the table in a folder (one file, or none)."""
         import pyarrow.parquet as pq
         from pyarrow import fs
         found = self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}", allow_not_found=True))
@@ -72,10 +73,19 @@ class _Shared:
         if len(files) > 1:
             raise ValueError(f"{folder} holds several files")
         if not files:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
+            return [pa.chunked_array([], pa.null()) for _ in names]
         with self.system.open_input_file(files[0]) as f:
-            table = pq.ParquetFile(f).read(columns=["batch_id", "u", "i"])
-        return tuple(table.column(c).to_numpy() for c in ("batch_id", "u", "i"))
+            table = pq.ParquetFile(f).read(columns=names)
+        return [table.column(c) for c in names]
+
+    def pairs(self, folder: str) -> tuple[np.ndarray, ...]:
+        """Batch, user number and item number of the pairs in a folder."""
+        return tuple(c.to_numpy().astype(np.int64, copy=False) for c in self.columns(folder, ["batch_id", "u", "i"]))
+
+    def load(self, name: str) -> bytes:
+        """A whole file."""
+        with self.system.open_input_file(f"{self.root}/{name}") as f:
+            return f.read()
 
     def write(self, name: str, values: list[np.ndarray]) -> None:
         self.system.create_dir(f"{self.root}/{name}".rpartition("/")[0])
@@ -145,7 +155,7 @@ def gradients(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d @ v, d.T @ u
 
 
-def run_round(me: int, tasks: int, held: list[_Rows], pairs: tuple[np.ndarray, ...], shared: _Shared, run: str, r: int, lr: float) -> None:
+def run_round(me: int, tasks: int, held: list[_Rows], pairs: tuple[np.ndarray, ...], shared: Shared, run: str, r: int, lr: float) -> None:
     """The part of task ``me`` in a round: send rows, compute the gradients of its batches, update its rows."""
     batch, *ids = pairs
     dim = held[0].w.shape[1]
@@ -202,7 +212,7 @@ def train_epoch(rows: DataFrame, path: str, n_rounds: int, tasks: int, dim: int,
             raise ValueError("a row of another task")
         held = [_Rows(part[part["side"] == side], dim) for side in ("u", "i")]
         del part
-        shared, run = _Shared(path), context.allGather(uuid.uuid4().hex)[0]   # a repeated stage has files of its own
+        shared, run = Shared(path), context.allGather(uuid.uuid4().hex)[0]   # a repeated stage has files of its own
         for r in range(n_rounds):
             run_round(me, tasks, held, shared.pairs(f"round={r}"), shared, f"exchange-{run}", r, lr)
         for side, own in zip(("u", "i"), held):

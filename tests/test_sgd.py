@@ -142,3 +142,41 @@ def test_trained_towers_beat_popularity(spark, dense):
 def test_empty_pairs_give_an_empty_model(spark):
     model = sgd.stratified_sgd(spark.createDataFrame([], "user_id string, item_id string"), epochs=1, blocks=2)
     assert model.users().count() == model.items().count() == 0 and model.history == [(0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_workers_of_a_barrier_stage_equal_a_job_a_rotation(spark, dense):
+    pairs, _ = toy_pairs(spark)
+    kw = dict(dim=4, epochs=2, lr=0.05, batch_size=8, blocks=7, use_dense=dense, dense_units=[5])
+    wanted = sgd.stratified_sgd(pairs, tasks=0, **kw)
+    rows = [{r["id"]: r["w"] for r in side.collect()} for side in (wanted.user_rows, wanted.item_rows)]
+    for tasks in (1, 3):
+        model = sgd.stratified_sgd(pairs, tasks=tasks, **kw)
+        for side, want in zip((model.user_rows, model.item_rows), rows):
+            got = {r["id"]: r["w"] for r in side.collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
+        assert np.allclose(sgd.flat(model.user_layers + model.item_layers), sgd.flat(wanted.user_layers + wanted.item_layers))
+        assert np.allclose(model.history, wanted.history)
+
+
+def test_rotations_shuffle_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(sgd, "_in_rotations", lambda *a: pytest.fail("a job for each rotation"))
+    pairs, rows = toy_pairs(spark)
+    model = sgd.stratified_sgd(pairs, dim=4, epochs=1, batch_size=8, blocks=40)   # some blocks have no rows
+    assert model.users().count() == len({x for x, _ in rows}) and model.items().count() == len({y for _, y in rows})
+
+
+def test_a_worker_keeps_a_bound_of_rows_in_memory():
+    rng = np.random.default_rng(2)
+    room, plain = sgd._Room(10 * 3 * 4 * 8), sgd._Room()
+    held = [rng.uniform(size=7 * 3 * 4 + 7).tobytes() for _ in range(2)]
+    blocks = [room.unpacked(h, 4) for h in held]
+    assert [isinstance(b.state.base, np.memmap) for b in blocks] == [False, True]
+    for block, h in zip(blocks, held):
+        want, rows, grad = plain.unpacked(h, 4), np.array([3, 0, 3]), rng.normal(size=(3, 4))
+        for b in (block, want):
+            b.t[:] = 2
+            b.update(rows, grad, 0.1)
+        assert np.array_equal(block.state, want.state) and block.t.tolist() == [3, 2, 2, 3, 2, 2, 2]
+    room.free(blocks[0].state)
+    assert room.unpacked(held[0], 4).state.base is None
