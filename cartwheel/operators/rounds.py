@@ -1,11 +1,12 @@
 """Synchronous rounds of the in-batch softmax trainer (R4b) inside one barrier stage per epoch.
 
 Embedding rows are dealt to the tasks of a barrier stage, which keep them in memory for the
-epoch.  In every round the owners of the rows that its pairs touch write these to the shared
+epoch and between epochs write them to the shared checkpoint folder, so that no row is shuffled.  In every round the owners of the rows that its pairs touch write these to the shared
 checkpoint folder, a task reads those of its batches, computes gradients and writes them
 back, and the owners sum them per row and make one Adam update.  Only touched rows
 move.  Tasks wait for each other's files (Spark's own barrier answers once a second only; the barrier stage sees
 to it that all tasks run, and ends all if one fails); a file goes when all have gone on.
+After the rounds the rows are sent once more for the loss of all batches, some rounds at a time.
 
 All tasks read the round's pairs (ids as numbers: ``place * tasks + owner``) in the same order,
 so files hold vectors only and the sums, in the order of the pairs, do not depend on the
@@ -19,14 +20,16 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROW_SCHEMA = "owner int, side string, id string, place long, features array<double>, m array<double>, v array<double>, t int"
+#: Rows of the last epoch, and of every task the summed loss of its batches and their pairs (side ``l``).
+OUT_SCHEMA = "side string, id string, features array<double>, loss double, pairs long"
 #: Rows that a task hands back to Spark at a time.
 OUT_ROWS = 10_000
+#: Rounds whose loss is found together.
+LOSS_ROUNDS = 4
 
 
 def tasks_at_once(spark) -> int:
@@ -36,18 +39,20 @@ def tasks_at_once(spark) -> int:
     return spark.sparkContext.defaultParallelism // int(spark.conf.get("spark.task.cpus", "1"))
 
 
-def deal(rows: DataFrame, side: str, tasks: int) -> DataFrame:
-    """The start rows ``(id, features, m, v, t)`` with their owner and their place among the owner's rows."""
+def deal(ids: DataFrame, start: Column, path: str, tasks: int) -> DataFrame:
+    """Write the distinct ``id`` with their vectors ``start``, a folder for each owner; ``(id, place, owner)``, the place being that among the owner's rows."""
     owner = F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")
     place = (F.row_number().over(Window.partitionBy("owner").orderBy("id")) - 1).cast("long")
-    return rows.withColumn("id", F.col("id").cast("string")).withColumn("owner", owner).select("owner", F.lit(side).alias("side"), "id", place.alias("place"), *(F.col(c).cast("array<double>").alias(c) for c in ("features", "m", "v")), F.col("t").cast("int").alias("t"))
+    rows = ids.withColumn("owner", owner).repartition(tasks, "owner").select("owner", F.col("id").cast("string").alias("id"), place.alias("place"))
+    rows.withColumn("features", start).write.partitionBy("owner").parquet(path)
+    return ids.sparkSession.read.schema("id string, place long, owner int").parquet(path)
 
 
-def numbered(pairs: DataFrame, rows: DataFrame, tasks: int) -> DataFrame:
+def numbered(pairs: DataFrame, users: DataFrame, items: DataFrame, tasks: int) -> DataFrame:
     """``(user_id, item_id, u, i)``: the pairs with the numbers of their rows."""
     number = (F.col("place") * F.lit(tasks) + F.col("owner"))
-    for side, c in (("u", "user_id"), ("i", "item_id")):
-        pairs = pairs.join(rows.where(F.col("side") == side).select(F.col("id").alias(c), number.alias(side)), c)
+    for rows, side, c in ((users, "u", "user_id"), (items, "i", "item_id")):
+        pairs = pairs.join(rows.select(F.col("id").alias(c), number.alias(side)).hint("merge"), c)
     return pairs.select("user_id", "item_id", "u", "i")
 
 
@@ -126,13 +131,21 @@ class _Side:
 class _Rows:
     """The embedding rows of one side that a task owns."""
 
-    def __init__(self, part: pd.DataFrame, dim: int):
-        part = part.sort_values("place")
-        if len(part) and part["place"].iloc[-1] != len(part) - 1:
-            raise ValueError("rows are missing")
-        self.ids = part["id"].to_numpy()
-        self.w, self.m, self.v = (np.stack(part[c].to_numpy()) if len(part) else np.zeros((0, dim)) for c in ("features", "m", "v"))
-        self.t = part["t"].to_numpy(np.int64)
+    def __init__(self, w: np.ndarray, m: np.ndarray, v: np.ndarray, t: np.ndarray):
+        self.w, self.m, self.v, self.t = w, m, v, t
+
+    @classmethod
+    def first(cls, shared: Shared, folder: str, dim: int) -> _Rows:
+        place, w = shared.columns(folder, ["place", "features"])
+        if (place.to_numpy() != np.arange(len(place))).any():
+            raise ValueError("rows are missing or out of order")
+        w = w.combine_chunks().flatten().to_numpy().reshape(-1, dim).copy() if len(place) else np.zeros((0, dim))
+        return cls(w, np.zeros_like(w), np.zeros_like(w), np.zeros(len(w), np.int64))
+
+    @classmethod
+    def loaded(cls, held: bytes, dim: int) -> _Rows:
+        n = len(held) // (8 * (3 * dim + 1))
+        return cls(*np.frombuffer(held, np.float64, 3 * n * dim).reshape(3, n, dim).copy(), np.frombuffer(held, np.int64, n, 3 * n * dim * 8).copy())
 
     def update(self, slots: np.ndarray, grads: np.ndarray, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-7) -> None:
         """One lazy Adam step of the rows at ``slots`` by the sum of their gradients; a row counts its own steps."""
@@ -146,78 +159,123 @@ class _Rows:
         self.w[at] = (self.w[at] - step).astype(np.float32)
 
 
+def batch_loss(u: np.ndarray, v: np.ndarray) -> float:
+    """Summed in-batch softmax loss of the pairs (row k of u, row k of v)."""
+    s = u @ v.T
+    m = s.max(axis=1)
+    right = np.diag(s).copy()
+    s -= m[:, None]
+    lse = m + np.log(np.exp(s, out=s).sum(axis=1))
+    return float((lse - right).sum())
+
+
 def gradients(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the summed in-batch softmax loss of the pairs (row k of u, row k of v)."""
-    s = u @ v.T
-    p = np.exp(s - s.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    d = p - np.eye(len(u))
+    d = u @ v.T
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(axis=1, keepdims=True)
+    own = np.arange(len(u))
+    d[own, own] -= 1
     return d @ v, d.T @ u
 
 
+class _Sent:
+    """The vectors of some pairs, sent by their owners to the tasks whose batches hold them (``name`` tells the files apart)."""
+
+    def __init__(self, me: int, tasks: int, held: list[_Rows], pairs: tuple[np.ndarray, ...], shared: Shared, name: str):
+        batch, *ids = pairs
+        dim = held[0].w.shape[1]
+        self.first = np.flatnonzero(np.r_[len(batch) > 0, batch[1:] != batch[:-1]])
+        self.task = (np.cumsum(np.r_[0, batch[1:] != batch[:-1]]) % tasks) if len(batch) else batch
+        self.sides = [_Side(x, self.task, tasks) for x in ids]
+        mine = slice(me * tasks, me * tasks + tasks + 1)
+        self.span = [(s.sent[mine], s.got[mine]) for s in self.sides]
+        self.own = [s.by_owner[b[0]:b[-1]] for s, (b, _) in zip(self.sides, self.span)]       # pairs whose row is mine, by task
+        self.asked = [s.by_task[b[0]:b[-1]] for s, (_, b) in zip(self.sides, self.span)]      # pairs of my batches, by owner
+        self.files = [f"{name}-{k}" for k in range(tasks)]
+        shared.write(self.files[me], [x.w[s.slot[o]] for x, s, o in zip(held, self.sides, self.own)])
+        shared.wait(self.files)
+        self.vectors = [np.zeros((len(batch), dim)) for _ in self.sides]
+        for k in range(tasks):
+            start = [s.sent[k * tasks] for s in self.sides]
+            before = [0, self.sides[0].sent[(k + 1) * tasks] - start[0]]          # the items' rows follow the users'
+            parts = [(n + s.sent[k * tasks + me] - a, n + s.sent[k * tasks + me + 1] - a) for s, a, n in zip(self.sides, start, before)]
+            if any(hi > lo for lo, hi in parts):
+                for x, o, (_, b), rows in zip(self.vectors, self.asked, self.span, shared.read(self.files[k], parts, dim)):
+                    x[o[b[k] - b[0]:b[k + 1] - b[0]]] = rows
+        self.batches = [(lo, hi) for lo, hi in zip(self.first, [*self.first[1:], len(batch)]) if self.task[lo] == me]   # mine
+
+
 def run_round(me: int, tasks: int, held: list[_Rows], pairs: tuple[np.ndarray, ...], shared: Shared, run: str, r: int, lr: float) -> None:
     """The part of task ``me`` in a round: send rows, compute the gradients of its batches, update its rows."""
-    batch, *ids = pairs
-    dim = held[0].w.shape[1]
-    first = np.flatnonzero(np.r_[len(batch) > 0, batch[1:] != batch[:-1]])
-    task = (np.cumsum(np.r_[0, batch[1:] != batch[:-1]]) % tasks) if len(batch) else batch
-    sides = [_Side(x, task, tasks) for x in ids]
-    mine = slice(me * tasks, me * tasks + tasks + 1)
-    span = [(s.sent[mine], s.got[mine]) for s in sides]
-    own = [s.by_owner[b[0]:b[-1]] for s, (b, _) in zip(sides, span)]       # pairs whose row is mine, by task
-    asked = [s.by_task[b[0]:b[-1]] for s, (_, b) in zip(sides, span)]      # pairs of my batches, by owner
-
-    rows_of, grads_of = ([f"{run}/{kind}-{r}-{k}" for k in range(tasks)] for kind in ("rows", "grads"))
-    shared.write(rows_of[me], [x.w[s.slot[o]] for x, s, o in zip(held, sides, own)])
-    shared.wait(rows_of)
+    sent = _Sent(me, tasks, held, pairs, shared, f"{run}/rows-{r}")
     if r:
         shared.remove(f"{run}/grads-{r - 1}-{me}")   # all have ended the last round
-    vectors = [np.zeros((len(batch), dim)) for _ in sides]
-    for k in range(tasks):
-        start = [s.sent[k * tasks] for s in sides]
-        before = [0, sides[0].sent[(k + 1) * tasks] - start[0]]          # the items' rows follow the users'
-        parts = [(n + s.sent[k * tasks + me] - a, n + s.sent[k * tasks + me + 1] - a) for s, a, n in zip(sides, start, before)]
-        if any(hi > lo for lo, hi in parts):
-            for x, o, (_, b), rows in zip(vectors, asked, span, shared.read(rows_of[k], parts, dim)):
-                x[o[b[k] - b[0]:b[k + 1] - b[0]]] = rows
-    grads = [np.zeros((len(batch), dim)) for _ in sides]
-    for lo, hi in zip(first, [*first[1:], len(batch)]):
-        if task[lo] == me:
-            grads[0][lo:hi], grads[1][lo:hi] = gradients(vectors[0][lo:hi], vectors[1][lo:hi])
-    shared.write(grads_of[me], [g[o] for g, o in zip(grads, asked)])
-    shared.wait(grads_of)
-    shared.remove(rows_of[me])   # all have read it
+    dim, sides = held[0].w.shape[1], sent.sides
+    grads = [np.zeros_like(x) for x in sent.vectors]
+    for lo, hi in sent.batches:
+        grads[0][lo:hi], grads[1][lo:hi] = gradients(sent.vectors[0][lo:hi], sent.vectors[1][lo:hi])
+    files = [f"{run}/grads-{r}-{k}" for k in range(tasks)]
+    shared.write(files[me], [g[o] for g, o in zip(grads, sent.asked)])
+    shared.wait(files)
+    shared.remove(sent.files[me])   # all have read it
     for k in range(tasks):
         start = [s.got[k * tasks] for s in sides]
         before = [0, sides[0].got[(k + 1) * tasks] - start[0]]
         parts = [(n + s.got[k * tasks + me] - a, n + s.got[k * tasks + me + 1] - a) for s, a, n in zip(sides, start, before)]
         if any(hi > lo for lo, hi in parts):
-            for g, o, (b, _), rows in zip(grads, own, span, shared.read(grads_of[k], parts, dim)):
+            for g, o, (b, _), rows in zip(grads, sent.own, sent.span, shared.read(files[k], parts, dim)):
                 g[o[b[k] - b[0]:b[k + 1] - b[0]]] = rows
-    for x, s, g, o in zip(held, sides, grads, own):
+    for x, s, g, o in zip(held, sides, grads, sent.own):
         if len(o):
             o = np.sort(o)   # sums in the order of the pairs
             x.update(s.slot[o], g[o], lr)
 
 
-def train_epoch(rows: DataFrame, path: str, n_rounds: int, tasks: int, dim: int, lr: float) -> DataFrame:
-    """The rows after the rounds stored at ``path`` (by ``write_rounds``), one synchronous update each."""
+def loss_of(me: int, tasks: int, held: list[_Rows], path: str, n_rounds: int, shared: Shared, run: str) -> tuple[float, int]:
+    """The summed loss of this task's batches of all rounds under the rows as they are, and the number of their pairs."""
+    loss, n, last = 0.0, 0, None
+    for r in range(0, n_rounds, LOSS_ROUNDS):
+        pairs = tuple(map(np.concatenate, zip(*(shared.pairs(f"{path}/round={k}") for k in range(r, min(r + LOSS_ROUNDS, n_rounds))))))
+        sent = _Sent(me, tasks, held, pairs, shared, f"{run}/loss-{r}")
+        if last:
+            shared.remove(last)   # all have gone on
+        last = sent.files[me]
+        for lo, hi in sent.batches:
+            loss, n = loss + batch_loss(sent.vectors[0][lo:hi], sent.vectors[1][lo:hi]), n + hi - lo
+    return loss, n
+
+
+def train_epoch(spark: SparkSession, root: str, epoch: int, last: bool, n_rounds: int, tasks: int, dim: int, lr: float) -> DataFrame:
+    """The loss after the rounds stored at ``rounds-<epoch>`` (by ``write_rounds``), one synchronous update each, and with the last epoch the rows.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The rows begin as written by ``deal`` at ``u`` and ``i``.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import BarrierTaskContext
         context = BarrierTaskContext.get()
         me = context.partitionId()
-        part = pd.concat([pd.DataFrame(columns=["owner", "side", "id", "place", "features", "m", "v", "t"]), *batches], ignore_index=True)
-        if (part["owner"] != me).any():
-            raise ValueError("a row of another task")
-        held = [_Rows(part[part["side"] == side], dim) for side in ("u", "i")]
-        del part
-        shared, run = Shared(path), context.allGather(uuid.uuid4().hex)[0]   # a repeated stage has files of its own
+        shared, path = Shared(root), f"rounds-{epoch}"
+        run = f"{path}/exchange-{context.allGather(uuid.uuid4().hex)[0]}"   # a repeated stage has files of its own
+        held = [_Rows.loaded(shared.load(f"state-{epoch - 1}/{side}-{me}"), dim) if epoch else _Rows.first(shared, f"{side}/owner={me}", dim) for side in ("u", "i")]
         for r in range(n_rounds):
-            run_round(me, tasks, held, shared.pairs(f"round={r}"), shared, f"exchange-{run}", r, lr)
+            run_round(me, tasks, held, shared.pairs(f"{path}/round={r}"), shared, run, r, lr)
+        loss, n = loss_of(me, tasks, held, path, n_rounds, shared, run)
+        yield _out("l", [""], np.zeros((1, 0)), loss, n)
         for side, own in zip(("u", "i"), held):
-            for lo in range(0, len(own.ids), OUT_ROWS):
-                at = slice(lo, lo + OUT_ROWS)
-                yield pd.DataFrame({"owner": np.int32(me), "side": side, "id": own.ids[at], "place": np.arange(lo, lo + len(own.ids[at])), "features": list(own.w[at]), "m": list(own.m[at]), "v": list(own.v[at]), "t": own.t[at].astype(np.int32)})
+            if not last:
+                shared.write(f"state-{epoch}/{side}-{me}", [own.w, own.m, own.v, own.t])
+                continue
+            (ids,) = shared.columns(f"{side}/owner={me}", ["id"])
+            for lo in range(0, len(ids), OUT_ROWS):
+                w = own.w[lo:lo + OUT_ROWS]
+                yield _out(side, ids[lo:lo + len(w)].combine_chunks(), w, None, None)
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(work, OUT_SCHEMA, barrier=True)
+
 
-    return rows.repartitionById(tasks, "owner").mapInPandas(work, ROW_SCHEMA, barrier=True)
+def _out(side: str, ids, w: np.ndarray, loss: float | None, n: int | None) -> pa.RecordBatch:
+    features = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * w.shape[1], np.ascontiguousarray(w).reshape(-1))
+    return pa.RecordBatch.from_arrays([pa.array([side] * len(ids)), pa.array(ids, pa.string()), features, pa.array([loss] * len(ids), pa.float64()), pa.array([n] * len(ids), pa.int64())], names=["side", "id", "features", "loss", "pairs"])
