@@ -111,43 +111,55 @@ def negatives(tx: DataFrame, ratio: int = 1, seed: int = SEED, block: int = 4096
     so no draw repeats.  ``n_neg + n_pos`` draws and as many as P exceeds the articles
     leave ``n_neg`` survivors, or use up the catalogue: a user always gets
     ``min(n_neg, articles not bought)``.  Work is linear in the positives; there is no
-    user x item product.  A user who owns a large share of all rows is split into blocks
-    of ``block`` draws: survivors are counted per block, block offsets are a running sum
-    over a user's few blocks, and ranks are taken inside a block only.  Counts the
+    user x item product.  Draws are made in chunks of ``block`` and never shuffled: a positive is the
+    draw ``(idx - start) / step mod P`` of its user, so the positives go to their chunks, and only survivors
+    that are kept are joined with the articles.  A user who owns a large share of all rows has many chunks:
+    survivors are counted per chunk, and offsets are a running sum over a user's few chunks.  Counts the
     articles when called.
     """
     from cartwheel.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(tx.sparkSession)
-    # the positives feed four branches (item index, counts, draws, anti join):
-    # materialise them once in the shared checkpoint folder instead of recomputing
-    pos = tx.select("customer_id", "article_id").distinct().checkpoint(eager=True)
+    # the positives feed three branches (item index, counts, draws): write them once, compressed
+    pos = stored(tx.select("customer_id", "article_id").distinct(), "positives")
     items = index_ids(pos, "article_id")
     n_items = items.count()
     prime = prime_from(n_items)
     number = lambda *what: F.conv(F.substring(seeded_key(seed, "customer_id", *what), 1, 15), 16, 10).cast("long")
+    walk = {"start": F.pmod(number(F.lit("start")), F.lit(prime)), "step": 1 + F.pmod(number(F.lit("step")), F.lit(prime - 1))}
     npos = pos.groupBy("customer_id").agg(F.count("*").alias("n_pos"))
     # draws are generated chunk by chunk: a user with a huge history is spread over
     # many tasks instead of exploding into one
     chunks = (npos.withColumn("n_neg", F.col("n_pos") * ratio)
                   .withColumn("m", F.least(F.col("n_neg") + F.col("n_pos") + F.lit(prime - n_items), F.lit(prime)))
-                  .withColumn("start", F.pmod(number(F.lit("start")), F.lit(prime)))
-                  .withColumn("step", 1 + F.pmod(number(F.lit("step")), F.lit(prime - 1)))
+                  .withColumns(walk)
                   .where(F.col("n_neg") > 0)
                   .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))))
                   .repartition("customer_id", "blk"))
-    draws = (chunks.withColumn("j", F.explode(F.sequence(F.col("blk") * block,
-                                                         F.least(F.col("m"), (F.col("blk") + 1) * block) - 1)))
-                   .withColumn("idx", F.pmod(F.col("start") + F.col("j") * F.col("step"), F.lit(prime))))
-    # merge: a size taken before the draws are made would have them broadcast, all of them through the driver
-    cand = (draws.hint("merge").join(items, "idx").select("customer_id", "article_id", "j", "n_neg", "blk")
-                 .join(pos, ["customer_id", "article_id"], "left_anti"))
-    per_blk = cand.groupBy("customer_id", "blk").agg(F.count("*").alias("_c"))
+    # the positive with index idx is draw j: step to the power P - 2 is its inverse modulo P
+    bits = F.array(*[F.lit(bit == "1") for bit in bin(prime - 2)[2:]])
+    # the step travels in the state: its hash would be made again for every bit
+    power = lambda x, bit: x["power"] * x["power"] % F.lit(prime) * F.when(bit, x["step"]).otherwise(F.lit(1)) % F.lit(prime)
+    inverse = F.aggregate(bits, F.struct(F.lit(1).cast("long").alias("power"), F.col("step").cast("long").alias("step")),
+                          lambda x, bit: F.struct(power(x, bit).alias("power"), x["step"].alias("step")), lambda x: x["power"])
+    hits = pos.join(items.hint("merge"), "article_id").select("customer_id", "idx").withColumns(walk)
+    # exploded, so that it is found once and not for each use
+    hits = hits.select("customer_id", F.explode(F.array(F.pmod((F.col("idx") - F.col("start")) * inverse, F.lit(prime)))).alias("j"))
+    taken = (hits.select("customer_id", F.floor(F.col("j") / block).alias("blk"), "j").repartition("customer_id", "blk")
+                 .groupBy("customer_id", "blk").agg(F.collect_list("j").alias("taken")))
+    index = lambda j: F.pmod(F.col("start") + j * F.col("step"), F.lit(prime))
+    draws = F.sequence(F.col("blk") * block, F.least(F.col("m"), (F.col("blk") + 1) * block) - 1)
+    # merge: sizes guessed before the draws are made would have them broadcast, all of them through the driver
+    free = (chunks.join(taken.hint("merge"), ["customer_id", "blk"], "left")
+                  .withColumn("free", F.filter(F.array_except(draws, F.coalesce("taken", F.array().cast("array<long>"))), lambda j: index(j) < F.lit(n_items)))
+                  .select("customer_id", "blk", "n_neg", "start", "step", "free"))
+    per_blk = free.select("customer_id", "blk", F.size("free").alias("_c"))
     w = Window.partitionBy("customer_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_blk.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    r = Window.partitionBy("customer_id", "blk").orderBy("j")
-    return (cand.join(offs, ["customer_id", "blk"])
-                .withColumn("_rank", F.col("_before") + F.row_number().over(r))
-                .where(F.col("_rank") <= F.col("n_neg"))
+    left = F.greatest(F.lit(0), F.least(F.col("n_neg") - F.col("_before"), F.size("free"))).cast("int")
+    kept = (free.join(offs.hint("merge"), ["customer_id", "blk"])
+                .withColumn("j", F.explode(F.slice("free", F.lit(1), left)))
+                .select("customer_id", index(F.col("j")).alias("idx")))
+    return (kept.hint("merge").join(items, "idx")
                 .select("customer_id", "article_id", F.lit(0).alias("label"),
                         F.lit(0.0).alias("recency_weight"),
                         F.lit(None).cast("int").alias("days_since_purchase")))

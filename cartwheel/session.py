@@ -76,4 +76,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written when called as Parquet (which is compressed, unlike a checkpoint) into a new shared folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffle files behind it go when the driver's JVM finds them unreachable, which on an idle driver takes long
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

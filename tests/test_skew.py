@@ -37,6 +37,17 @@ def test_negatives_hot_user_matches_brute_force(spark):
     assert got == _draws_reference(rows)
 
 
+def test_draws_of_negatives_are_not_shuffled(spark):
+    rows = [(f"u{u}", f"a{(u * 7 + n) % 40}") for u in range(12) for n in range(5)] + [("u1", "a39"), ("u2", "a38")]
+    tx = spark.createDataFrame(rows, "customer_id string, article_id string")
+    neg = sp.negatives(tx, ratio=3, block=4)
+    assert {(r.customer_id, r.article_id) for r in neg.collect()} == _draws_reference(rows, 3)
+    plan = neg._jdf.queryExecution().optimizedPlan().toString()
+    draws = plan.index("explode(slice(free")
+    # only kept survivors are exploded, and above them nothing but the join with the articles
+    assert "LeftAnti" not in plan and plan[:draws].count("Join") == 1
+
+
 def test_cache_lookup_hot_user_matches_brute_force(spark):
     rng = np.random.default_rng(11)
     t0 = dt.datetime(2024, 1, 1)
